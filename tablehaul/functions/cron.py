@@ -123,8 +123,9 @@ def next_slot(ts: Column, expression: str, zone: str | None = "UTC") -> Column:
         while upcoming and upcoming[0] <= m:
             upcoming.pop(0)
         following.append(upcoming[0] if upcoming else None)
-    # element_at counts from 1
-    later_today = F.element_at(F.array(*[F.lit(v).cast("int") for v in following]), minute + 1)
+    # One literal after constant folding; an empty entry is null, element_at counts from 1.
+    minutes = F.split(F.lit(",".join("" if v is None else str(v) for v in following)), ",")
+    later_today = F.element_at(minutes, minute + 1).try_cast("int")
     ahead = F.filter(F.sequence(F.lit(1), F.lit(HORIZON_DAYS)), lambda i: _day_matches(F.date_add(today, i), plan))
     days = F.get(ahead, F.lit(0))
 

@@ -97,7 +97,7 @@ def history_flat(records: DataFrame) -> DataFrame:
 def export_history(records: DataFrame, path: str, kind: str = "csv") -> None:
     """CSV with every cell quoted, or the records as JSON lines."""
     if kind == "json":
-        records.write.mode("overwrite").json(path)
+        records.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").json(path)
         return
     cells = history_flat(records).drop("duration", "by_type")
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cells.columns]

@@ -110,31 +110,28 @@ def evolve_load(src: DataFrame, table: str, root: str) -> str:
     return publish(grown, table, root)
 
 
-def _bucketed(children: DataFrame) -> DataFrame:
-    return children.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(CHILD_BUCKETS)).cast("int"))
+def _bucketed(children: DataFrame, buckets: int) -> DataFrame:
+    return children.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
 
 
-def mirror_children(fresh: DataFrame, runs: DataFrame, path: str) -> None:
-    """Delete the children of ``runs`` in the table at ``path`` and insert ``fresh``.
+def mirror_children(fresh: DataFrame, runs: DataFrame, table: str, location: str, buckets: int = CHILD_BUCKETS) -> None:
+    """Delete the children of ``runs`` in a table and insert ``fresh``; the first call creates it.
 
     Children live in a fixed number of hash buckets of their run, so a mirror
     rewrites only the buckets its runs are in, and the number of folders does not
     grow with the number of runs. The rebalance splits a bucket that one large run
-    fills over several tasks.
+    fills over several tasks. ``buckets`` stays the same for the life of a table.
     """
     spark = fresh.sparkSession
     ids = runs.select("run_id").distinct()
-    incoming = _bucketed(fresh)
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-            raise
-        incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").parquet(path)
+    incoming = _bucketed(fresh, buckets)
+    if not table_exists(spark, table):
+        writer = incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").format("parquet")
+        writer.option("path", location).saveAsTable(table)
         return
-    touched = [r[0] for r in _bucketed(ids).select("run_bucket").distinct().collect()]  # at most CHILD_BUCKETS
-    old = existing.filter(F.col("run_bucket").isin(touched))
+    touched = [r[0] for r in _bucketed(ids, buckets).select("run_bucket").distinct().collect()]  # at most ``buckets``
+    old = spark.table(table).filter(F.col("run_bucket").isin(touched))
     # Overwriting what is read: the new buckets are complete before the old ones go.
     use_checkpoints(spark)
     merged = replace_children(old, incoming, ids).hint("rebalance", "run_bucket").checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)
+    merged.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)

@@ -7,24 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from tablehaul.functions.records import DIAGNOSTICS_SCHEMA, RECORD_SCHEMA
 from tablehaul.operators.history import diagnostics_archive, success_archive
 
+# Times with all six digits, or none; Spark's own JSON format would cut them to three.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records; blank lines are no records, a broken line fails the scan."""
-    return spark.read.schema(RECORD_SCHEMA).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(RECORD_SCHEMA).options(**TIMES).option("mode", "FAILFAST").json(path)
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DIAGNOSTICS_SCHEMA).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(DIAGNOSTICS_SCHEMA).options(**TIMES).option("mode", "FAILFAST").json(path)
 
 
 def append_runs(records: DataFrame, path: str, archive: str | None = None) -> None:
     """Append run records to the log, and those that succeeded to the archive."""
-    records.write.mode("append").json(path)
+    records.write.mode("append").options(**TIMES).json(path)
     if archive:
-        success_archive(records).write.mode("append").json(archive)
+        success_archive(records).write.mode("append").options(**TIMES).json(archive)
 
 
 def append_diagnostics(diagnostics: DataFrame, path: str, archive: str | None = None) -> None:
-    diagnostics.write.mode("append").json(path)
+    diagnostics.write.mode("append").options(**TIMES).json(path)
     if archive:
-        diagnostics_archive(diagnostics).write.mode("append").json(archive)
+        diagnostics_archive(diagnostics).write.mode("append").options(**TIMES).json(archive)

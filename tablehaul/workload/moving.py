@@ -25,7 +25,9 @@ def scan_orders(spark: SparkSession, sf: str) -> DataFrame:
     SELECT o_orderkey, o_totalprice, (o_orderkey - lo) // ((hi - lo + 8) // 8) AS chunk_id FROM orders, b"""
 )
 def range_scan(spark, sf):
-    ranged = partition.with_chunk_id(base(spark, sf, "orders"), "o_orderkey", 8)
+    orders = base(spark, sf, "orders")
+    key = partition.choose_key(orders.schema, primary_key=["o_orderpriority", "o_orderkey"])
+    ranged = partition.with_chunk_id(orders, key, 8)
     return ranged.select("o_orderkey", "o_totalprice", "chunk_id")
 
 
