@@ -171,8 +171,8 @@ def missing_name(message: Column) -> Column:
     found = F.coalesce(
         *[F.nullif(strip(F.regexp_extract(message, "(?i)" + p, 1)), F.lit("")) for p in MISSING_NAME_PATTERNS]
     )
-    parts = F.filter(F.transform(F.split(found, r"\."), lambda p: F.trim(p, quotes)), lambda p: p != "")
-    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.trim(found, quotes))
+    parts = F.filter(F.transform(F.split(found, r"\."), lambda p: F.btrim(p, quotes)), lambda p: p != "")
+    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.btrim(found, quotes))
 
 
 def already_exists(message: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Every character that counts as white space, for trimming.
@@ -14,7 +16,7 @@ WHITE = (
 
 def strip(text: Column) -> Column:
     """Without white space at both ends (``trim`` alone only takes blanks)."""
-    return F.trim(text, F.lit(WHITE))
+    return F.btrim(text, F.lit(WHITE))
 
 
 def plain(text: Column) -> Column:
@@ -36,3 +38,22 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 def replace_all(text: Column, found: str, by: str) -> Column:
     return F.replace(text, F.lit(found), F.lit(by))
+
+
+def folded(text: Column) -> Column:
+    """Lower case as case-insensitive patterns see it, for a cheap search before a pattern runs.
+
+    Four characters equal a plain letter when case is ignored but are not lowered to it.
+    """
+    for odd, letter in (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i"), ("\u0131", "i")):
+        text = replace_all(text, odd, letter)
+    return F.lower(text)
+
+
+def quick_start(pattern: str) -> str:
+    """The same pattern with a look at the next letter before each leading word boundary.
+
+    Java decides a Unicode word boundary by looking up both neighbours at every
+    place of the text; the letter rules out most places first.
+    """
+    return re.sub(r"(^|(?<=[(|]))\\b([A-Za-z])(?![*?{])", r"(?=\2)\\b\2", pattern)

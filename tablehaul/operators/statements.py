@@ -7,32 +7,58 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablehaul.functions.checks import check_errors, check_warnings, semantic_problem
+from tablehaul.functions.checks import (
+    balanced,
+    check_errors,
+    check_warnings,
+    only_parentheses,
+    semantic_problem,
+    without_strings,
+)
 from tablehaul.functions.names import quoted
 from tablehaul.functions.rewrite_rules import Rule, builtin_rules, pair_rules
-from tablehaul.functions.text import plain, replace_all, strip
-from tablehaul.operators.merge import one_per_key
+from tablehaul.functions.text import contains_any, folded, plain, quick_start, replace_all, strip
 
 LOOKUP_FIELDS = [
     "source", "target", "source_database", "source_schema", "target_database", "target_schema", "object_type",
 ]
 
 
-def standardize(sql: Column, squeeze: bool = False) -> Column:
-    """Plain newlines, no escaped control text, no trailing blanks, at most one empty line.
+# What standard text is free of. (texts of which one must occur, pattern, replacement)
+_LAYOUT = [
+    (["\\\n"], r"(?U)\\+\n[\s\x1c-\x1f]*", "\n"),
+    ([" \n", "\t\n"], r"[ \t]+\n", "\n"),
+    (["\n ", "\n\t"], r"\n[ \t]+", "\n"),
+    (["\n\n\n"], r"\n{3,}", "\n\n"),
+]
+_BLANKS = (["  ", " \t", "\t ", "\t\t"], r"[ \t]{2,}", " ")
+# Control characters and quotes spelled out, longest first.
+_ESCAPED = [("\\r\\n", "\n"), ("\\n", "\n"), ("\\r", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')]
+
 
-    ``squeeze`` also makes runs of blanks one blank.
+def standardize(df: DataFrame, col: str, squeeze: bool = False) -> DataFrame:
+    """``col`` with plain newlines, no escaped control text, no trailing blanks, at most one empty line.
+
+    Blank text stays as it is. ``squeeze`` also makes runs of blanks one blank. A pattern only runs on texts
+    that have what it looks for; each is a projection of its own, so that no text
+    is worked out twice.
     """
-    given = F.coalesce(sql, F.lit(""))
-    text = replace_all(replace_all(given, "\r\n", "\n"), "\r", "\n")
-    text = F.regexp_replace(text, r"(?U)\\+\n[\s\x1c-\x1f]*", "\n")
-    for escaped, real in (("\\r\\n", "\n"), ("\\n", "\n"), ("\\r", "\n"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
-        text = replace_all(text, escaped, real)
-    for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n")):
-        text = F.regexp_replace(text, pattern, by)
-    if squeeze:
-        text = F.regexp_replace(text, r"[ \t]{2,}", " ")
-    return F.when(strip(given) == "", given).otherwise(strip(text))
+    text = F.col(quoted(col))
+
+    def tidy(steps: DataFrame, words: list[str], pattern: str, by: str) -> DataFrame:
+        return steps.withColumn(col, F.when(contains_any(text, words), F.regexp_replace(text, pattern, by)).otherwise(text))
+
+    given = df.withColumn(col, F.coalesce(text, F.lit("")))
+    given = given.withColumn("_blank", F.when(strip(text) == "", text))
+    steps = given.withColumn(col, replace_all(replace_all(text, "\r\n", "\n"), "\r", "\n"))
+    steps = tidy(steps, *_LAYOUT[0])
+    unescaped = text
+    for escaped, real in _ESCAPED:
+        unescaped = replace_all(unescaped, escaped, real)
+    steps = steps.withColumn(col, unescaped)
+    for step in [*_LAYOUT[1:], *([_BLANKS] if squeeze else [])]:
+        steps = tidy(steps, *step)
+    return steps.withColumn(col, F.coalesce("_blank", strip(text))).drop("_blank")
 
 
 def java_pattern(rule: Rule) -> str:
@@ -44,7 +70,7 @@ def java_pattern(rule: Rule) -> str:
     for group in re.findall(r"\(\?([imsx]+)\)", rule.pattern):
         flags |= set(group)
     body = re.sub(r"\(\?[imsx]+\)", "", rule.pattern)
-    return f"(?{''.join(sorted(flags))}Ud)" + body
+    return f"(?{''.join(sorted(flags))}Ud)" + quick_start(body)
 
 
 def java_replacement(text: str) -> str:
@@ -76,27 +102,33 @@ def checked_rules(spark, rules: list[Rule]) -> tuple[list[Rule], list[tuple[str,
 def apply_rules(df: DataFrame, col: str, rules: list[Rule], applied: str = "applied_rules") -> DataFrame:
     """Apply the rules in order to ``col``; ``applied`` lists each rule that hit and how often.
 
-    One projection per rule: each text is used by the next rule and by its count,
-    and Spark keeps such projections apart, so no text is computed twice. Where a
-    rule does not occur, one search is all it costs.
+    One projection finds out whether a rule occurs, the next counts and replaces;
+    Spark keeps projections apart whose results are used more than once, so no text
+    is computed twice. Most rules do not occur in most texts: a search for the
+    rule's word in the folded text is then all they cost.
     """
-    text = F.col(quoted(col))
-    steps = df
+    text, low = F.col(quoted(col)), F.col("_low")
+    steps = df.withColumn("_low", folded(text))
     for i, rule in enumerate(rules):
         pattern = java_pattern(rule)
-        hit = text.rlike(pattern)
+        occurs = text.rlike(pattern)
+        steps = steps.withColumn("_hit", low.contains(rule.word) & occurs if rule.word else occurs)
+        hit = F.col("_hit")
+        replaced = F.regexp_replace(text, pattern, java_replacement(rule.replacement))
         steps = steps.withColumns(
             {
                 f"_n{i}": F.when(hit, F.regexp_count(text, F.lit(pattern))).otherwise(0),
-                col: F.when(hit, F.regexp_replace(text, pattern, java_replacement(rule.replacement))).otherwise(text),
+                "_low": F.when(hit, folded(replaced)).otherwise(low),
+                col: F.when(hit, replaced).otherwise(text),
             }
         )
     hits = [
         F.when(F.col(f"_n{i}") > 0, F.struct(F.lit(rule.name).alias("name"), F.col(f"_n{i}").alias("count")))
         for i, rule in enumerate(rules)
     ]
-    done = F.array_compact(F.array(*hits)) if hits else F.lit(None).cast("array<struct<name:string,count:int>>")
-    return steps.withColumn(applied, done).drop(*[f"_n{i}" for i in range(len(rules))])
+    none = F.lit(None).cast("array<struct<name:string,count:int>>")
+    done = F.array_compact(F.array(*hits)) if hits else F.coalesce(none, F.array())
+    return steps.withColumn(applied, done).drop("_low", "_hit", *[f"_n{i}" for i in range(len(rules))])
 
 
 def rewrite_text(
@@ -109,14 +141,13 @@ def rewrite_text(
     """
     first, broken = checked_rules(df.sparkSession, builtin_rules(target))
     then, broken_then = checked_rules(df.sparkSession, pair_rules(source, target) if rules is None else rules)
-    out = df.withColumn(col, standardize(F.col(quoted(col))))
-    out = apply_rules(out, col, first, "_first")
-    out = out.withColumn(col, standardize(F.col(quoted(col))))
-    out = apply_rules(out, col, then, "_then")
+    out = apply_rules(standardize(df, col), col, first, "_first")
+    out = apply_rules(standardize(out, col), col, then, "_then")
+    out = standardize(out, col)
     errors = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("name", "pattern", "error"), e)]) for e in broken + broken_then]
     none = F.lit(None).cast("array<struct<name:string,pattern:string,error:string>>")
     return out.select(
-        *[standardize(F.col(quoted(c))).alias(c) if c == col else F.col(quoted(c)) for c in df.columns],
+        *[F.col(quoted(c)) for c in df.columns],
         F.concat("_first", "_then").alias("applied_rules"),
         (F.array(*errors) if errors else F.coalesce(none, F.array())).alias("rule_errors"),
     )
@@ -124,16 +155,22 @@ def rewrite_text(
 
 def check_text(df: DataFrame, col: str, target: str, object_type: str = "") -> DataFrame:
     """Adds ``errors``, ``warnings``, ``is_valid`` and ``refused_for``."""
-    sql = F.col(quoted(col))
-    return (
-        df.withColumns(
-            {
-                "errors": check_errors(sql, target),
-                "warnings": check_warnings(sql, object_type),
-                "refused_for": semantic_problem(F.coalesce(sql, F.lit("")), target, object_type),
-            }
-        ).withColumn("is_valid", F.size("errors") == 0)
+    raw = F.coalesce(F.col(quoted(col)), F.lit(""))
+    text, low = F.col("_text"), F.col("_low")
+    steps = (
+        df.withColumn("_text", strip(raw))
+        .withColumns({"_low": folded(text), "_bare": without_strings(text)})
+        .withColumn("_parens", only_parentheses(F.col("_bare")))
+    )
+    pairs = balanced(F.col("_bare"), F.col("_parens"))
+    checked = steps.withColumns(
+        {
+            "errors": check_errors(text, low, pairs, target),
+            "warnings": check_warnings(text, low, object_type),
+            "refused_for": semantic_problem(raw, target, object_type),
+        }
     )
+    return checked.withColumn("is_valid", F.size("errors") == 0).drop("_text", "_low", "_bare", "_parens")
 
 
 # Fixed values: (words in the message, target, name, pattern, replacement, description).
@@ -188,24 +225,43 @@ def normal_sql(sql: Column) -> Column:
 
 
 def _digest(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x01", *parts), 256)
+    # Never null, and Spark should know: a join on a key that might be null adds a
+    # filter that computes the digest a second time at the scan.
+    return F.coalesce(F.sha2(F.concat_ws("\x01", *parts), 256), F.lit(""))
 
 
-def fingerprint(sql: Column, fields: list[Column]) -> Column:
-    """sha-256 over the normal text and the compared form of every field."""
-    return _digest(normal_sql(sql), *[plain(f) for f in fields])
+def _key(normal: Column, fields: list[str]) -> Column:
+    return _digest(normal, *[plain(F.col(f)) for f in fields])
 
 
 def with_fingerprint(df: DataFrame, sql: str = "input_sql", name: str = "history_key") -> DataFrame:
-    fields = [F.col(c) for c in [*LOOKUP_FIELDS, "object_name"]]
-    return df.withColumn(name, fingerprint(F.col(quoted(sql)), fields))
+    """Adds the sha-256 over the normal text and the compared form of every field."""
+    normal = df.withColumn("_normal", normal_sql(F.col(quoted(sql))))
+    return normal.withColumn(name, _key(F.col("_normal"), [*LOOKUP_FIELDS, "object_name"])).drop("_normal")
 
 
 def latest_transforms(history: DataFrame, order: str = "seq") -> DataFrame:
     """Last write per fingerprint, and ``first_seq``, when the fingerprint was first written."""
-    keyed = with_fingerprint(history)
-    first = keyed.groupBy("history_key").agg(F.min(order).alias("first_seq"))
-    return one_per_key(keyed, ["history_key"], [order]).join(first, "history_key")
+    return _latest(with_fingerprint(history), order)
+
+
+def _latest(keyed: DataFrame, order: str) -> DataFrame:
+    rest = [c for c in keyed.columns if c != "history_key"]
+    last = F.max_by(F.struct(*[F.col(quoted(c)) for c in rest]), F.col(order)).alias("_last")
+    written = keyed.groupBy("history_key").agg(last, F.min(order).alias("first_seq"))
+    return written.select("history_key", "_last.*", "first_seq")
+
+
+def _with_keys(df: DataFrame) -> DataFrame:
+    """``history_key`` and ``_loose``, the key without the object name; null when a field is blank."""
+    normal = F.col("_normal")
+    filled = reduce(Column.__and__, [plain(F.col(c)) != "" for c in LOOKUP_FIELDS]) & (normal != "")
+    return df.withColumn("_normal", normal_sql(F.col("input_sql"))).withColumns(
+        {
+            "history_key": _key(normal, [*LOOKUP_FIELDS, "object_name"]),
+            "_loose": F.when(filled, _key(normal, LOOKUP_FIELDS)),
+        }
+    ).drop("_normal")
 
 
 def transform_reuse(requests: DataFrame, history: DataFrame, order: str = "seq") -> DataFrame:
@@ -216,21 +272,18 @@ def transform_reuse(requests: DataFrame, history: DataFrame, order: str = "seq")
     cut to one row per key before either join, so no request multiplies, however
     many statements are alike.
     """
-    filled = reduce(Column.__and__, [plain(F.col(c)) != "" for c in LOOKUP_FIELDS]) & (normal_sql(F.col("input_sql")) != "")
-
-    def loose_key(df):
-        fields = [F.col(c) for c in LOOKUP_FIELDS]
-        return df.withColumn("_loose", F.when(filled, fingerprint(F.col("input_sql"), fields)))
-
-    usable = loose_key(latest_transforms(history, order)).filter((plain(F.col("status")) == "success") & F.col("_loose").isNotNull())
-    exact = usable.select("history_key", F.struct("history_key", "output_sql").alias("_exact"))
-    oldest = usable.groupBy("_loose").agg(F.min_by(F.struct("history_key", "output_sql"), "first_seq").alias("_oldest"))
-    asked = loose_key(with_fingerprint(requests, name="_key"))
+    known = _with_keys(history).select("history_key", "_loose", "status", "output_sql", order)
+    usable = _latest(known, order).filter((plain(F.col("status")) == "success") & F.col("_loose").isNotNull())
+    # Both uses read the same columns, so the aggregated history is shuffled once and reused.
+    output = F.struct("history_key", "output_sql", "first_seq")
+    exact = usable.select(F.col("history_key").alias("_key"), output.alias("_exact"))
+    oldest = usable.groupBy("_loose").agg(F.min_by(output, "first_seq").alias("_oldest"))
+    asked = _with_keys(requests).withColumnRenamed("history_key", "_key")
     # A request with a blank field hits nothing; its keys match no digest but still spread over the shuffle.
     nothing = F.concat(F.lit("-"), F.col("_key"))
     asked = asked.withColumn("_key", F.when(F.col("_loose").isNull(), nothing).otherwise(F.col("_key")))
     asked = asked.withColumn("_loose", F.coalesce("_loose", "_key"))
-    joined = asked.join(exact.withColumnRenamed("history_key", "_key"), "_key", "left").join(oldest, "_loose", "left")
+    joined = asked.join(exact, "_key", "left").join(oldest, "_loose", "left")
     hit = F.coalesce("_exact", "_oldest")
     return joined.select(
         *[F.col(quoted(c)) for c in requests.columns],

@@ -59,9 +59,16 @@ def jdbc_options(engine: str, connection: dict, batch: int = DEFAULT_BATCH) -> d
     return options
 
 
-def read_table(spark: SparkSession, table: str, fmt: str = "parquet") -> DataFrame:
-    """A folder or file of ``fmt``, or with ``fmt="table"`` a catalog table."""
-    return spark.table(table) if fmt == "table" else spark.read.format(fmt).load(table)
+def read_table(spark: SparkSession, table: str, fmt: str = "parquet", spread: bool = False) -> DataFrame:
+    """A folder or file of ``fmt``, or with ``fmt="table"`` a catalog table.
+
+    ``spread`` is for work that is heavy per row: a table that comes in fewer
+    splits than there are cores is dealt out over all of them. A large table has
+    more splits than that and is not moved.
+    """
+    df = spark.table(table) if fmt == "table" else spark.read.format(fmt).load(table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def read_jdbc(

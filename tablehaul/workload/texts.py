@@ -40,10 +40,8 @@ def _standard(col: str, squeeze: bool = False) -> str:
 
 @query(f"WITH {ctes('pages_text')} SELECT page_id, {_standard('body')} AS body, {_standard('body', True)} AS squeezed FROM pages_text")
 def standardize_text(spark, sf):
-    body = F.col("body")
-    return table(spark, sf, "pages_text").select(
-        "page_id", statements.standardize(body).alias("body"), statements.standardize(body, squeeze=True).alias("squeezed")
-    )
+    pages = table(spark, sf, "pages_text").withColumn("squeezed", F.col("body"))
+    return statements.standardize(statements.standardize(pages, "body"), "squeezed", squeeze=True)
 
 
 def _rewrite_sql(source: str, target: str) -> str:
@@ -136,7 +134,7 @@ def _checks_sql(target: str, object_type: str) -> str:
     string = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
     constant = r"""(?is)\bselect\s+('[^']*'|"[^"]*"|\d+)(?:\s+as\s+\w+)?\s*;?$"""
     syntax = [
-        f"CASE WHEN regexp_matches(t, {_text('(?is)' + p)}) THEN {_text(m)} END" for p, m in checks.UNSUPPORTED_SYNTAX[target]
+        f"CASE WHEN regexp_matches(t, {_text('(?is)' + p)}) THEN {_text(m)} END" for p, _, m in checks.UNSUPPORTED_SYNTAX[target]
     ]
     escaped = "(regexp_matches(t, '\\\\\\r?\\n') OR contains(t, chr(92) || 'n') OR contains(t, chr(92) || 'r') OR contains(t, chr(92) || 't'))"
     tokens = ""
