@@ -58,7 +58,7 @@ def cell_text(value: Column, kind: T.DataType, style: CellStyle) -> Column:
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         micros = F.date_format(value, "SSSSSS")
-        text = F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+        text = F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
     elif isinstance(kind, T.BinaryType):
         text = F.lower(F.hex(value))
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):

@@ -122,5 +122,6 @@ def quantile_cuts(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS,
 def with_quantile_chunk(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
     """As :func:`with_chunk_id`, but cut at approximate quantiles instead of equal widths."""
     col = F.col(quoted(key))
-    below = F.size(F.filter(quantile_cuts(df, key, partitions), lambda cut: cut <= col))
+    cuts = quantile_cuts(df, key, partitions)
+    below = sum((F.when(F.get(cuts, F.lit(i)) <= col, 1).otherwise(0) for i in range(partitions - 1)), F.lit(0))
     return df.withColumn("chunk_id", F.when(col.isNotNull(), below.cast("bigint")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tablehaul.functions.names import quoted
@@ -114,24 +115,37 @@ def _bucketed(children: DataFrame, buckets: int) -> DataFrame:
     return children.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
 
 
-def mirror_children(fresh: DataFrame, runs: DataFrame, table: str, location: str, buckets: int = CHILD_BUCKETS) -> None:
-    """Delete the children of ``runs`` in a table and insert ``fresh``; the first call creates it.
+def read_children(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("run_id IS NOT NULL").drop("run_bucket")
+
+
+def mirror_children(fresh: DataFrame, runs: DataFrame, path: str, buckets: int = CHILD_BUCKETS) -> None:
+    """Delete the children of ``runs`` at ``path`` and insert ``fresh``; the first call creates it.
 
     Children live in a fixed number of hash buckets of their run, so a mirror
     rewrites only the buckets its runs are in, and the number of folders does not
     grow with the number of runs. The rebalance splits a bucket that one large run
-    fills over several tasks. ``buckets`` stays the same for the life of a table.
+    fills over several tasks. ``buckets`` stays the same for the life of a folder.
     """
     spark = fresh.sparkSession
     ids = runs.select("run_id").distinct()
     incoming = _bucketed(fresh, buckets)
-    if not table_exists(spark, table):
-        writer = incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").format("parquet")
-        writer.option("path", location).saveAsTable(table)
+    try:
+        existing = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").parquet(path)
         return
     touched = [r[0] for r in _bucketed(ids, buckets).select("run_bucket").distinct().collect()]  # at most ``buckets``
-    old = spark.table(table).filter(F.col("run_bucket").isin(touched))
+    if not touched:
+        return
+    old = existing.filter(F.col("run_bucket").isin(touched) & F.col("run_id").isNotNull())
+    # Only buckets with rows are overwritten, so each gets a row without a run; it takes
+    # the place of a bucket whose children are all gone.
+    marks = spark.range(buckets).select(F.col("id").cast("int").alias("run_bucket")).filter(F.col("run_bucket").isin(touched))
     # Overwriting what is read: the new buckets are complete before the old ones go.
     use_checkpoints(spark)
-    merged = replace_children(old, incoming, ids).hint("rebalance", "run_bucket").checkpoint()
-    merged.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    merged = replace_children(old, incoming, ids).unionByName(marks, allowMissingColumns=True)
+    ready = merged.hint("rebalance", "run_bucket").checkpoint()
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)

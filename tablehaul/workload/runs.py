@@ -280,15 +280,14 @@ def mirror_runs(spark, sf):
 )
 def mirror_children(spark, sf):
     path = scratch_path(spark, "children")
-    name = "t_" + path.rsplit("-", 1)[1]
     records = run_records(spark, sf)
     runs = records.select("run_summary.run_id", "seq")
     old = runs.filter("seq % 4 <> 1")
     first = old.select("run_id", F.lit(1).cast("bigint").alias("sequence_no"), F.lit("info").alias("level"), F.lit("old line").alias("message"))
-    writes.mirror_children(first, old, name, path, buckets=8)
+    writes.mirror_children(first, old, path, buckets=8)
     again = records.filter("seq % 2 = 0")
-    writes.mirror_children(history.log_rows(again), again.select("run_summary.run_id"), name, path, buckets=8)
-    return spark.table(name).drop("run_bucket")
+    writes.mirror_children(history.log_rows(again), again.select("run_summary.run_id"), path, buckets=8)
+    return writes.read_children(spark, path)
 
 
 # --- messages -------------------------------------------------------------
