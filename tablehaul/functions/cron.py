@@ -102,7 +102,7 @@ def cron_match(ts: Column, expression: str, zone: str | None = "UTC") -> Column:
 
 def slot_of(ts: Column, zone: str | None = "UTC") -> Column:
     """The local minute a time falls in, as text."""
-    return F.date_format(local_time(ts, zone), "yyyy-MM-dd'T'HH:mm")
+    return F.replace(F.left(local_time(ts, zone).cast("string"), F.lit(16)), F.lit(" "), F.lit("T"))
 
 
 def next_slot(ts: Column, expression: str, zone: str | None = "UTC") -> Column:

@@ -56,9 +56,9 @@ def cell_text(value: Column, kind: T.DataType, style: CellStyle) -> Column:
     elif isinstance(kind, T.DecimalType) and kind.scale > 6:
         text = F.replace(F.format_number(value, kind.scale), F.lit(","), F.lit(""))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(value, "SSSSSS")
-        text = F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+        # A cast, not date_format, which would move a plain time into the session's zone.
+        trimmed = value.cast("string")
+        text = F.when(trimmed.contains("."), F.rpad(trimmed, 26, "0")).otherwise(trimmed)
     elif isinstance(kind, T.BinaryType):
         text = F.lower(F.hex(value))
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):

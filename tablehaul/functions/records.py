@@ -133,16 +133,23 @@ def script_text(objects: Column) -> Column:
     return strip(F.array_join(entries, "\n\n"))
 
 
-def _seconds(started: Column, completed: Column) -> Column:
-    return F.floor((F.unix_micros(completed.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1000000)
+def _clock(started: Column, completed: Column) -> tuple[Column, Column, Column]:
+    """Whole hours, minutes and seconds between two times; no session zone involved."""
+    def part(unit: str) -> Column:
+        return F.floor(F.extract(F.lit(unit), completed - started)).cast("bigint")
+
+    return part("DAY") * 24 + part("HOUR"), part("MINUTE"), part("SECOND")
+
+
+def _unknown(started: Column, completed: Column) -> Column:
+    return started.isNull() | completed.isNull() | (completed < started)
 
 
 def duration_label(started: Column, completed: Column) -> Column:
     """1h 2m 03s, 2m 03s or 3s; ``--`` when a time is missing or they are the wrong way round."""
-    total = _seconds(started, completed)
-    h, m, s = F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
+    h, m, s = _clock(started, completed)
     return (
-        F.when(started.isNull() | completed.isNull() | (completed < started), F.lit("--"))
+        F.when(_unknown(started, completed), F.lit("--"))
         .when(h > 0, F.format_string("%dh %dm %02ds", h, m, s))
         .when(m > 0, F.format_string("%dm %02ds", m, s))
         .otherwise(F.format_string("%ds", s))
@@ -151,10 +158,8 @@ def duration_label(started: Column, completed: Column) -> Column:
 
 def minutes_label(started: Column, completed: Column) -> Column:
     """The short form: 62m 3s."""
-    total = _seconds(started, completed)
-    return F.when(started.isNull() | completed.isNull() | (completed < started), F.lit("--")).otherwise(
-        F.format_string("%dm %ds", F.floor(total / 60), total % 60)
-    )
+    h, m, s = _clock(started, completed)
+    return F.when(_unknown(started, completed), F.lit("--")).otherwise(F.format_string("%dm %ds", h * 60 + m, s))
 
 
 def by_type_label(by_type: Column) -> Column:

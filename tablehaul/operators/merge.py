@@ -42,15 +42,15 @@ def one_per_key(df: DataFrame, keys: list[str], order_by: list[str] | None, last
         order = [F.col(quoted(c)).desc_nulls_last() if last else F.col(quoted(c)).asc_nulls_first() for c in order_by]
         rank = F.row_number().over(Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(*order))
         return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-    rest = [c for c in df.columns if c not in keys]
-    row = F.any_value(F.struct(*[F.col(quoted(c)) for c in rest])) if rest else F.lit(None)
-    problem = F.raise_error(F.lit(f"key {keys} repeats in the source; give order_by")).cast("int")
-    return (
-        df.groupBy(*[F.col(quoted(k)) for k in keys])
-        .agg(row.alias("_row"), F.when(F.count("*") > 1, problem).otherwise(1).alias("_once"))
-        .filter("_once = 1")
-        .select(*[F.col(quoted(c)) if c in keys else F.col(f"_row.{quoted(c)}").alias(c) for c in df.columns])
-    )
+    # The rows stay where they are; only their keys are shuffled, in a branch that
+    # has no rows and fails the query when a key repeats.
+    problem = F.raise_error(F.lit(f"key {keys} repeats in the source; give order_by")).cast("boolean")
+    guard = _key_counts(df, keys).filter(F.when(F.col("_n") > 1, problem).otherwise(F.lit(False))).drop("_n")
+    return df.unionByName(guard, allowMissingColumns=True)
+
+
+def _key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("_n"))
 
 
 def _inserts(tgt: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,16 +78,17 @@ def upsert(
     unknown = [c for c in src.columns if c not in tgt.columns and c not in order_only]
     if unknown or any(k not in src.columns for k in keys):
         raise ValueError(f"source must have the keys {keys} and only target columns; extra: {unknown}")
-    new = keyed(src, keys)
-    new = _fold(new, keys, order_by, fill, keep) if (fill or keep) and order_by else one_per_key(new, keys, order_by)
-    new, src = new.drop(*order_only), src.drop(*order_only)
+    given = keyed(src, keys)
     old = keyed(tgt, keys)
-    whole_rows = set(src.columns) == set(tgt.columns) and not fill and not keep
-    if whole_rows:
-        # Every matched row is replaced outright, so the join only has to drop it.
-        kept = old.join(new.select(*[F.col(quoted(k)) for k in keys]), keys, "left_anti")
-        merged = kept.unionByName(new)
+    if set(src.columns) - set(order_only) == set(tgt.columns) and not fill and not keep:
+        # Every matched row is replaced outright, so the join only has to drop it. The
+        # counted keys are those of the uniqueness check, so they are shuffled once.
+        hits = _key_counts(given, keys).filter("_n > 0").drop("_n")
+        merged = old.join(hits, keys, "left_anti").unionByName(one_per_key(given, keys, order_by).drop(*order_only))
+        src = src.drop(*order_only)
     else:
+        new = _fold(given, keys, order_by, fill, keep) if (fill or keep) and order_by else one_per_key(given, keys, order_by)
+        new, src = new.drop(*order_only), src.drop(*order_only)
         plain = [c for c in src.columns if c not in keys]
         side = new.select(*[F.col(quoted(k)) for k in keys], F.struct(*[F.col(quoted(c)) for c in plain], F.lit(True).alias("_hit")).alias("_new"))
         hit = F.col("_new._hit").isNotNull()
@@ -132,7 +133,7 @@ def skip_existing(tgt: DataFrame, src: DataFrame, keys: list[str], order_by: lis
 def merge_counts(tgt: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     """One row: source rows sent, keys inserted, keys updated, rows not applied because a later one won."""
     _need(keys)
-    per_key = keyed(src, keys).groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("_n"))
+    per_key = _key_counts(keyed(src, keys), keys)
     known = keyed(tgt, keys).select(*[F.col(quoted(k)) for k in keys], F.lit(True).alias("_hit")).dropDuplicates(keys)
     counted = per_key.join(known, keys, "left").agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("sent"),
@@ -148,7 +149,7 @@ def merge_counts(tgt: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
 
 def key_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
-    return keyed(df, keys).groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("row_count")).filter("row_count > 1")
+    return _key_counts(keyed(df, keys), keys).withColumnRenamed("_n", "row_count").filter("row_count > 1")
 
 
 def key_check(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,15 +46,18 @@ def work_list(
     plan = objects if types is None else objects.filter(F.col("object_type").isin(list(types)))
     plan = plan.withColumn("type_rank", type_rank(F.col("object_type")))
     if selection is not None:
-        names = selection.select("object_type", "object_name").distinct()
-        chosen = names.withColumn("_chosen", F.lit(True))
-        limited = names.select("object_type").distinct().withColumn("_limited", F.lit(True))
-        plan = plan.join(limited, "object_type", "left").join(chosen, ["object_type", "object_name"], "left")
-        plan = plan.filter(F.col("_limited").isNull() | F.col("_chosen")).drop("_limited", "_chosen")
+        # The list of types is as short as the vocabulary of types; a join on it would
+        # send all objects of a type to one task.
+        limited = selection.agg(F.collect_set("object_type")).scalar()
+        chosen = selection.select("object_type", "object_name").distinct().withColumn("_chosen", F.lit(True))
+        plan = plan.join(chosen, ["object_type", "object_name"], "left")
+        plan = plan.filter(F.col("_chosen") | ~F.array_contains(limited, F.col("object_type"))).drop("_chosen")
     reached = F.lit(True)
     if resume is not None:
         given = resume.select(*here).withColumn("type_rank", type_rank(F.col("object_type")))
-        found = given.join(plan.select(*here).withColumn("_there", F.lit(True)).distinct(), here, "left")
+        # The few checkpoints are the side that is sent around, not the catalog.
+        there = plan.join(given.select(*here), here, "left_semi").select(*here).distinct()
+        found = given.join(there.withColumn("_there", F.lit(True)), here, "left")
         marks = found.select(*scope, F.when(F.col("_there"), _spot()).alias("_from"))
         if scope:
             plan = plan.join(marks.withColumn("_given", F.lit(True)), scope, "left")

@@ -340,7 +340,7 @@ def bulk_extract(spark, sf):
     result = staged_csv.bulk_extract(base(spark, sf, "lineitem").repartition(8), path, output_partitions=4)
     files = spark.read.csv(result["output_dir"], header=True).select("_metadata.file_name")
     return files.groupBy("file_name").agg(F.count("*").alias("n")).agg(
-        F.lit(result["status"]).alias("status"), F.lit(result["row_count"]).alias("row_count"),
+        F.lit(result["status"]).alias("status"), F.lit(result["row_count"]).cast("bigint").alias("row_count"),
         F.count("*").cast("int").alias("files"), F.sum("n").alias("rows_on_disk"),
     )
 

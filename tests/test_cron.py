@@ -1,4 +1,5 @@
 import datetime as dt
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -14,9 +15,12 @@ def times(spark, moments):
     return spark.createDataFrame([(m,) for m in moments], "ts timestamp_ntz")
 
 
+schedule = lru_cache(parse_schedule)
+
+
 def fires(expression, local):
     """Minute by minute, by the definition."""
-    plan = parse_schedule(expression)
+    plan = schedule(expression)
     if plan is None:
         return False
     weekday = local.isoweekday() % 7

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tablehaul.operators import merge
 
-QUICK = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 SCHEMA = "k int, v string, n int"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from tablehaul.operators import partition
 
-QUICK = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def test_key_choice(spark):

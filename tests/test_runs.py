@@ -10,7 +10,7 @@ from tablehaul.operators import history, runlog
 from tablehaul.plans import work_list as plans
 from tablehaul.plans.rules import BLOCKERS, UNSUPPORTED
 
-QUICK = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+QUICK = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def result(spark, fn, *values):
