@@ -15,10 +15,12 @@ VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 def has_content(schema: T.StructType) -> Column:
     """True where a cell is neither null nor a white-space-only string."""
+    # Null tests first: with a key or a number in the row no text is looked at.
+    fields = sorted(schema.fields, key=lambda f: isinstance(f.dataType, T.StringType))
     cells = [
         F.col(quoted(f.name)).rlike(VISIBLE) if isinstance(f.dataType, T.StringType)
         else F.col(quoted(f.name)).isNotNull()
-        for f in schema.fields
+        for f in fields
     ]
     # A null string makes rlike null, and "null OR true" is still true.
     return F.coalesce(reduce(Column.__or__, cells), F.lit(False))

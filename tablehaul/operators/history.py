@@ -14,6 +14,7 @@ from tablehaul.functions.records import (
     script_text,
 )
 from tablehaul.operators.merge import one_per_key
+from tablehaul.operators.skew import join_per_key
 
 PAGE_SIZE = 10
 
@@ -177,5 +178,5 @@ def log_rows(records: DataFrame) -> DataFrame:
 
 def replace_children(existing: DataFrame, fresh: DataFrame, runs: DataFrame) -> DataFrame:
     """Child rows after the children of ``runs`` (run_id) were deleted and ``fresh`` inserted."""
-    kept = existing.join(runs.select("run_id").distinct(), "run_id", "left_anti")
+    kept = join_per_key(existing, runs.select("run_id").distinct(), ["run_id"], "left_anti")
     return kept.unionByName(fresh)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablehaul.functions.names import quoted
+from tablehaul.operators.skew import join_per_key
 
 
 def _need(keys: list[str]) -> None:
@@ -55,7 +56,7 @@ def _key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _inserts(tgt: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``src`` (unique keys) whose key the target lacks; reads only the target's key columns."""
-    return src.join(keyed(tgt, keys).select(*[F.col(quoted(k)) for k in keys]), keys, "left_anti")
+    return src.join(keyed(tgt, keys).select(*[F.col(quoted(k)) for k in keys]).distinct(), keys, "left_anti")
 
 
 def upsert(
@@ -84,7 +85,8 @@ def upsert(
         # Every matched row is replaced outright, so the join only has to drop it. The
         # counted keys are those of the uniqueness check, so they are shuffled once.
         hits = _key_counts(given, keys).filter("_n > 0").drop("_n")
-        merged = old.join(hits, keys, "left_anti").unionByName(one_per_key(given, keys, order_by).drop(*order_only))
+        kept = join_per_key(old, hits, keys, "left_anti")
+        merged = kept.unionByName(one_per_key(given, keys, order_by).drop(*order_only))
         src = src.drop(*order_only)
     else:
         new = _fold(given, keys, order_by, fill, keep) if (fill or keep) and order_by else one_per_key(given, keys, order_by)
@@ -101,7 +103,7 @@ def upsert(
                 fresh = F.coalesce(fresh, F.col(quoted(name)))
             return F.when(hit, fresh).otherwise(F.col(quoted(name))).alias(name)
 
-        updated = old.join(side, keys, "left").select(*[value(c) for c in tgt.columns])
+        updated = join_per_key(old, side, keys).select(*[value(c) for c in tgt.columns])
         merged = updated.unionByName(_inserts(tgt, new, keys), allowMissingColumns=True)
     merged = merged.unionByName(unkeyed(tgt, keys)).unionByName(unkeyed(src, keys), allowMissingColumns=True)
     return merged.select(*[F.col(quoted(c)) for c in tgt.columns])

@@ -18,6 +18,7 @@ from tablehaul.functions.checks import (
 from tablehaul.functions.names import quoted
 from tablehaul.functions.rewrite_rules import Rule, builtin_rules, pair_rules
 from tablehaul.functions.text import contains_any, folded, plain, quick_start, replace_all, strip
+from tablehaul.operators.skew import join_per_key
 
 LOOKUP_FIELDS = [
     "source", "target", "source_database", "source_schema", "target_database", "target_schema", "object_type",
@@ -283,7 +284,7 @@ def transform_reuse(requests: DataFrame, history: DataFrame, order: str = "seq")
     nothing = F.concat(F.lit("-"), F.col("_key"))
     asked = asked.withColumn("_key", F.when(F.col("_loose").isNull(), nothing).otherwise(F.col("_key")))
     asked = asked.withColumn("_loose", F.coalesce("_loose", "_key"))
-    joined = asked.join(exact, "_key", "left").join(oldest, "_loose", "left")
+    joined = join_per_key(join_per_key(asked, exact, ["_key"]), oldest, ["_loose"])
     hit = F.coalesce("_exact", "_oldest")
     return joined.select(
         *[F.col(quoted(c)) for c in requests.columns],

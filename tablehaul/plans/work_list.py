@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablehaul.functions.names import engine_name, quoted
 from tablehaul.functions.records import OBJECT_TYPES
+from tablehaul.operators.skew import join_per_key
 from tablehaul.plans.rules import BLOCKERS, type_rank, unsupported_reason
 
 # Sort by these to get the order the objects are moved in.
@@ -50,7 +51,7 @@ def work_list(
         # send all objects of a type to one task.
         limited = selection.agg(F.collect_set("object_type")).scalar()
         chosen = selection.select("object_type", "object_name").distinct().withColumn("_chosen", F.lit(True))
-        plan = plan.join(chosen, ["object_type", "object_name"], "left")
+        plan = join_per_key(plan, chosen, ["object_type", "object_name"])
         plan = plan.filter(F.col("_chosen") | ~F.array_contains(limited, F.col("object_type"))).drop("_chosen")
     reached = F.lit(True)
     if resume is not None:
@@ -60,7 +61,7 @@ def work_list(
         found = given.join(there.withColumn("_there", F.lit(True)), here, "left")
         marks = found.select(*scope, F.when(F.col("_there"), _spot()).alias("_from"))
         if scope:
-            plan = plan.join(marks.withColumn("_given", F.lit(True)), scope, "left")
+            plan = join_per_key(plan, marks.withColumn("_given", F.lit(True)), scope)
             reached = F.col("_given").isNull() | F.coalesce(_spot() >= F.col("_from"), F.lit(False))
         else:
             mark = marks.select(F.struct("_from")).scalar()
@@ -107,9 +108,9 @@ def dependency_blocks(results: DataFrame, run: str = "run_id", order: str = "seq
     """Results with ``blocked_by``, the status and the reason after dependency blocks.
 
     One small row per run is joined to its objects, instead of a window that would
-    hold a whole run in one task.
+    hold a whole run in one task; a large run's objects are split over many.
     """
-    joined = results.join(first_failures(results, run, order), run, "left")
+    joined = join_per_key(results, first_failures(results, run, order), [run])
     blocked = F.lit("")
     for kind, blockers in BLOCKERS.items():
         hits = [F.when(F.col(f"_fail_{b}") < F.col(order), F.lit(b)) for b in sorted(blockers)]

@@ -15,7 +15,7 @@ _FORMAT = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 250_000
 
 
 def stage_csv(df: DataFrame, path: str, style: str = "sentinel", rows_per_file: int = ROWS_PER_FILE) -> None:
