@@ -126,8 +126,8 @@ def next_slot(ts: Column, expression: str, zone: str | None = "UTC") -> Column:
     # One literal after constant folding; an empty entry is null, element_at counts from 1.
     minutes = F.split(F.lit(",".join("" if v is None else str(v) for v in following)), ",")
     later_today = F.element_at(minutes, minute + 1).try_cast("int")
-    ahead = F.filter(F.sequence(F.lit(1), F.lit(HORIZON_DAYS)), lambda i: _day_matches(F.date_add(today, i), plan))
-    days = F.get(ahead, F.lit(0))
+    # Stops at the first day that matches; compiled, unlike a filter over an array of days.
+    days = F.coalesce(*[F.when(_day_matches(F.date_add(today, i), plan), F.lit(i)) for i in range(1, HORIZON_DAYS + 1)])
 
     def at(day: Column, minutes: Column) -> Column:
         return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
