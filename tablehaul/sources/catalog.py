@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablehaul.functions.records import OBJECT_TYPES
-from tablehaul.sources.tables import read_jdbc
+from tablehaul.sources.tables import canonical_engine, read_jdbc
 
 # Schemas that belong to the engine.
 SYSTEM_SCHEMAS = ["information_schema", "pg_catalog"]
@@ -13,18 +15,40 @@ SYSTEM_SCHEMAS = ["information_schema", "pg_catalog"]
 KINDS = {"BASE TABLE": "table", "VIEW": "view", "PROCEDURE": "storedprocedure", "FUNCTION": "function"}
 
 
+def _view(view: str, schema: str, item: str, kind: str) -> str:
+    return f"SELECT {schema} AS schema_name, {item} AS object_name, {kind} AS kind FROM {view}"
+
+
+_TABLES = _view("information_schema.tables", "table_schema", "table_name", "table_type")
+_ROUTINES = _view("information_schema.routines", "routine_schema", "routine_name", "routine_type")
+_TRIGGERS = _view("information_schema.triggers", "trigger_schema", "trigger_name", "'TRIGGER'")
+
+# Catalog queries of each engine, all with the columns schema_name, object_name, kind.
+INVENTORY = {
+    "MySQL": [_TABLES, _ROUTINES, _TRIGGERS, _view("information_schema.events", "event_schema", "event_name", "'EVENT'")],
+    "PostgreSQL": [_TABLES, _ROUTINES.replace("routine_schema", "specific_schema"), _TRIGGERS],
+    "SQL Server": [
+        _TABLES,
+        _ROUTINES,
+        "SELECT s.name AS schema_name, t.name AS object_name, 'TRIGGER' AS kind FROM sys.triggers t "
+        "JOIN sys.objects o ON t.parent_id = o.object_id JOIN sys.schemas s ON o.schema_id = s.schema_id "
+        "WHERE t.parent_class = 1",
+        "SELECT SCHEMA_NAME(schema_id) AS schema_name, name AS object_name, 'SEQUENCE' AS kind FROM sys.sequences",
+        "SELECT SCHEMA_NAME(schema_id) AS schema_name, name AS object_name, 'SYNONYM' AS kind FROM sys.synonyms",
+    ],
+    "Snowflake": [
+        _TABLES,
+        _view("information_schema.procedures", "procedure_schema", "procedure_name", "'PROCEDURE'"),
+        _view("information_schema.functions", "function_schema", "function_name", "'FUNCTION'"),
+    ],
+}
+
+
 def read_inventory(spark: SparkSession, engine: str, connection: dict) -> DataFrame:
-    """(database, schema, object_type, object_name) of one database through its information_schema."""
-    def view(name: str, schema: str, item: str, kind: Column) -> DataFrame:
-        rows = read_jdbc(spark, f"information_schema.{name}", engine, connection)
-        return rows.select(F.col(schema).alias("schema_name"), F.col(item).alias("object_name"), kind.alias("kind"))
-
-    rows = (
-        view("tables", "table_schema", "table_name", F.col("table_type"))
-        .unionAll(view("routines", "routine_schema", "routine_name", F.col("routine_type")))
-        .unionAll(view("triggers", "trigger_schema", "trigger_name", F.lit("TRIGGER")))
-    )
-    return objects_of(rows.withColumn("database_name", F.lit(connection.get("database"))))
+    """(schema_name, object_name, object_type, database_name) of one database through its catalog views."""
+    rows = [read_jdbc(spark, f"({sql}) inventory", engine, connection) for sql in INVENTORY[canonical_engine(engine)]]
+    united = reduce(DataFrame.unionAll, [r.toDF("schema_name", "object_name", "kind") for r in rows])
+    return objects_of(united.withColumn("database_name", F.lit(connection.get("database"))))
 
 
 def objects_of(rows: DataFrame) -> DataFrame:
