@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import hosts, line_chunks, pii, quality, secrets
+from tablehaul.llm import bpe, decontaminate, hosts, line_chunks, near_dup, pii, quality, secrets
 from tablehaul.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_near_duplicates(spark, sf_dir):
+    return near_dup.near_dup_rows(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 @query
 def op3_host_reputation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -43,6 +48,16 @@ def op6_line_chunks(spark, sf_dir):
     return line_chunks.dedup_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_benchmark_items(spark, sf_dir):
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_bpe_lexicon(spark, sf_dir):
+    return bpe.encode_rows(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_rule_ledger(spark, sf_dir):
     return quality.quality_rows(table(spark, sf_dir, "documents"))
