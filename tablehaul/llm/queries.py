@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import bpe, decontaminate, hosts, line_chunks, near_dup, pii, quality, secrets
+from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, quality, revisits, secrets
 from tablehaul.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op4_secret_ledger(spark, sf_dir):
     return secrets.secrets_digest(table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
 
 
+@query
+def op5_revisits(spark, sf_dir):
+    return revisits.revisit_rows(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_line_chunks(spark, sf_dir):
     return line_chunks.dedup_rows(table(spark, sf_dir, "documents"))
@@ -53,6 +58,11 @@ def op7_benchmark_items(spark, sf_dir):
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_class_lm(spark, sf_dir):
+    return brown_lm.lm_rows(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe_lexicon(spark, sf_dir):
     return bpe.encode_rows(table(spark, sf_dir, "documents"))

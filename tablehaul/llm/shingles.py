@@ -55,6 +55,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of bytes other than the white ones; A-Z count as a-z. A word's
     polynomial is the difference of two prefix sums, brought back to place 0.
     """
+    hashes, counts, _ = word_hashes_and_ends(texts)
+    return hashes, counts
+
+
+def word_hashes_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the last byte of every word."""
     raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     white = _white()[raw]
     edge = np.flatnonzero(white[1:] != white[:-1])
@@ -64,7 +70,28 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mixed((sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
     text_ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, text_ends, "right")]))
-    return hashes, counts
+    return hashes, counts, raw[ends - 1]
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted table; nearly constant time each, as hashes are spread evenly."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.shift = np.uint64(64 - max(4, int(len(table)).bit_length() + 1))
+        buckets = np.arange((1 << int(64 - int(self.shift))) + 1, dtype=np.uint64)
+        first = np.searchsorted(table >> self.shift, buckets)
+        self.first = first[:-1].astype(np.int32)
+        self.deepest = int(np.diff(first).max()) if len(table) else 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if the table lacks it."""
+        out = np.full(len(hashes), -1, np.int64)
+        start = self.first[hashes >> self.shift]
+        for step in range(self.deepest):
+            at = np.minimum(start + step, len(self.table) - 1)
+            out = np.where(self.table[at] == hashes, at, out)
+        return out
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
