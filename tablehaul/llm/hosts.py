@@ -98,12 +98,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, keep: Sequence[str] = ("page_id
     without a host. Every input row gives one row, equal rows too. Only the narrow
     columns are joined; a hot host's rows are split (``join_per_key``).
     """
-    parts = with_host(pages.select(*[F.col(k).alias(f"_{k}") for k in keep], F.col(url).alias("_url")), "_url")
+    parts = with_host(pages.select(*[F.col(k).alias(f"_keep_{k}") for k in keep], F.col(url).alias("_url")), "_url")
     ruled = parts.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).drop("_url")
     joined = join_per_key(ruled, reputations(outcomes), ["host"])
     method = F.when(F.col("lower") > F.lit(MOST_BAD), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select(
-        *[F.col(f"_{k}").alias(k) for k in keep], "host", "path", F.col("_rule.rule").alias("rule"),
+        *[F.col(f"_keep_{k}").alias(k) for k in keep], "host", "path", F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_labelled"),
     )
 
