@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablehaul.llm.arrow import slices
+from tablehaul.llm.frequent import most_frequent
 from tablehaul.llm.shingles import Lookup, word_hashes_and_ends
 from tablehaul.session import scratch_path
 
@@ -120,10 +121,8 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
             before = np.concatenate([[END], cls[:-1]])
             pairs += np.bincount(before * ALL + cls, minlength=ALL * ALL)
             if words:
-                known = place >= 0
-                rank = np.where(known, own.word[place], -1)
-                known &= rank >= 0
-                rank, spot = rank[known], at[known]
+                rank, spot = own.word[place[place >= 0]], at[place >= 0]
+                rank, spot = rank[rank >= 0], spot[rank >= 0]
                 for side, near in ((0, before[spot]), (1, cls[spot + 1])):
                     around[:, side] += np.bincount(rank * ALL + near, minlength=CLUSTERED * ALL).reshape(CLUSTERED, ALL)
         salt = TaskContext.get().partitionId() % 64
@@ -191,7 +190,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     context = train.sparkSession.sparkContext
     ends = train.count()
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.orderBy(F.desc("n"), "h").limit(HELD).toArrow()
+    top = most_frequent(vocabulary, HELD).select("h", "e", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
     h, e, n = (top.column(c).to_numpy() for c in ("h", "e", "n"))
     order = np.argsort(h.view(np.uint64))
     word = np.where(np.arange(len(h)) < CLUSTERED, np.arange(len(h)), -1)[order]

@@ -43,7 +43,7 @@ def signed(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     columns and whether the text was null.
     """
     others = [F.col(c) for c in df.columns if c not in (key, text)]
-    rest = F.struct(*others, F.col(text).isNull().alias("_null"))
+    rest = F.struct((F.struct(*others) if others else F.lit(0)).alias("row"), F.col(text).isNull().alias("none"))
     narrow = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
     fields = [narrow.schema["id"], T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("text", T.StringType()), narrow.schema["rest"]]
 
@@ -295,5 +295,5 @@ def near_dup_rows(documents: DataFrame, k: int, percent: int) -> DataFrame:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first row of each group of near duplicates, with the columns of ``df``; equal rows are copies too."""
     found = group(df, key, text).where("rid = first")
-    back = {key: F.col("id"), text: F.when(~F.col("rest._null"), F.col("text"))}
-    return found.select(*[back.get(c, F.col("rest")[c]).alias(c) for c in df.columns])
+    back = {key: F.col("id"), text: F.when(~F.col("rest.none"), F.col("text"))}
+    return found.select(*[back[c].alias(c) if c in back else F.col("rest.row")[c].alias(c) for c in df.columns])
