@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablehaul.functions.names import quoted
@@ -42,10 +46,24 @@ def key_bounds(df: DataFrame, key: str, lower=None, upper=None, partitions: int
     )
 
 
+def _ordinal(df: DataFrame, key: str) -> Column | None:
+    """The key as a whole number: floor of a number, day of a date, microsecond of a time; None for other kinds."""
+    col, kind = F.col(quoted(key)), df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(col).cast("decimal(38,0)")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("decimal(38,0)")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col).cast("decimal(38,0)")
+    if isinstance(kind, T.TimestampNTZType):
+        return (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)).cast("decimal(38,0)")
+    return None
+
+
 def _plan(df: DataFrame, key: str, partitions: int) -> DataFrame:
     """One row: first key, range width and number of ranges, in exact integers."""
-    col = F.col(quoted(key))
-    ends = df.agg(F.floor(F.min(col)).cast("decimal(38,0)").alias("lo"), F.floor(F.max(col)).cast("decimal(38,0)").alias("hi"))
+    at = _ordinal(df, key)
+    ends = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     n = max(1, int(partitions or 1))
     return (
         ends.withColumn("step", F.greatest(F.lit(1), F.expr(f"(hi - lo + {n}) div {n}")).cast("decimal(38,0)"))
@@ -56,27 +74,33 @@ def _plan(df: DataFrame, key: str, partitions: int) -> DataFrame:
 def with_chunk_id(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
     """``df`` with the number of the half-open key range each row is in.
 
-    Null keys have a null ``chunk_id``. Keys that are not numbers cannot be cut
-    by width, so the whole table is range 0.
+    Null keys have a null ``chunk_id``. Numbers, dates and times are cut by
+    width; other keys have none, so use :func:`with_quantile_chunk` for order
+    or leave the table whole: it is range 0.
     """
-    col = F.col(quoted(key))
-    if not isinstance(df.schema[key].dataType, T.NumericType):
-        return df.withColumn("chunk_id", F.when(col.isNotNull(), F.lit(0).cast("bigint")))
+    at = _ordinal(df, key)
+    if at is None:
+        return df.withColumn("chunk_id", F.when(F.col(quoted(key)).isNotNull(), F.lit(0).cast("bigint")))
     plan = _plan(df, key, partitions).select(F.struct("lo", "step")).scalar()
-    offset = F.floor(col).cast("decimal(38,0)") - plan.getField("lo")
+    offset = at - plan.getField("lo")
     return df.withColumn("chunk_id", F.call_function("div", offset, plan.getField("step")))
 
 
 def chunk_stats(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS) -> DataFrame:
-    """Rows, least and greatest key per range; empty ranges stay, null keys get a row of their own."""
+    """Rows, least and greatest key per range; empty ranges stay, null keys get a row of their own.
+
+    ``range_start`` and ``range_end`` are whole numbers: of days for dates, of
+    microseconds for times, null for kinds without a width.
+    """
     col = F.col(quoted(key))
     counted = (
         with_chunk_id(df.select(col), key, partitions)
         .groupBy("chunk_id")
         .agg(F.count("*").alias("row_count"), F.min(col).alias("min_key"), F.max(col).alias("max_key"))
     )
-    if not isinstance(df.schema[key].dataType, T.NumericType):
-        return counted
+    if _ordinal(df, key) is None:
+        none = F.lit(None).cast("bigint")
+        return counted.select("chunk_id", none.alias("range_start"), none.alias("range_end"), "row_count", "min_key", "max_key")
     ranges = (
         _plan(df, key, partitions)
         .filter("ranges IS NOT NULL")
@@ -98,19 +122,64 @@ def chunk_stats(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS) -
     )
 
 
-def range_predicates(key: str, lower: int, upper: int, partitions: int = DEFAULT_PARTITIONS) -> list[str]:
+def cut_points(lower, upper, partitions: int = DEFAULT_PARTITIONS) -> list:
+    """Inner bounds of ranges of equal width from ``lower`` to ``upper``: integers, decimals, dates or times."""
+    n = max(1, int(partitions or 1))
+    if isinstance(lower, (dt.date, dt.datetime)):
+        unit = dt.timedelta(microseconds=1) if isinstance(lower, dt.datetime) else dt.timedelta(days=1)
+        span = (upper - lower) // unit + 1
+        step = max(1, -(-span // n))
+        return [lower + unit * at for at in range(step, span, step)]
+    low, high = math.floor(lower), math.floor(upper)
+    step = max(1, -(-(high - low + 1) // n))
+    return list(range(low + step, high + 1, step))
+
+
+def _sql_value(value) -> str:
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
+    return f"DATE '{value.isoformat()}'" if isinstance(value, dt.date) else str(value)
+
+
+def cut_predicates(key: str, cuts: list) -> list[str]:
     """SQL conditions, one per reader, that cover every row exactly once.
 
-    The ranges are half-open, so fractional keys between two integers are read;
-    the first and last are open outwards, and null keys have their own reader.
+    The ranges are half-open, so fractional keys between two cuts are read; the
+    first and last are open outwards, and null keys have their own reader.
     """
-    n = max(1, int(partitions or 1))
-    step = max(1, -(-(upper - lower + 1) // n))
-    cuts = list(range(lower + step, upper + 1, step))
     if not cuts:
         return [f"{key} IS NOT NULL", f"{key} IS NULL"]
-    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])]
-    return [f"{key} < {cuts[0]}", *inner, f"{key} >= {cuts[-1]}", f"{key} IS NULL"]
+    at = [_sql_value(c) for c in cuts]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(at, at[1:])]
+    return [f"{key} < {at[0]}", *inner, f"{key} >= {at[-1]}", f"{key} IS NULL"]
+
+
+def range_predicates(key: str, lower, upper, partitions: int = DEFAULT_PARTITIONS) -> list[str]:
+    """:func:`cut_predicates` of ranges of equal width."""
+    return cut_predicates(key, cut_points(lower, upper, partitions))
+
+
+def plan_ranges(df: DataFrame, key: str | None = None, partitions: int = DEFAULT_PARTITIONS, quantiles: bool = False, **choice) -> list[str] | None:
+    """Key, bounds and conditions of a table in one step; None if no column can be cut.
+
+    Bounds are one aggregation; with ``quantiles`` the cuts are approximate
+    quantiles, for uneven keys. The driver sees ``partitions`` values.
+    """
+    key = key or choose_key(df.schema, **choice)
+    if key is None or not _splittable(df.schema[key].dataType):
+        return None
+    name = quoted(key)
+    if quantiles:
+        shares = [i / partitions for i in range(1, partitions)]
+        found = df.agg(F.percentile_approx(F.col(name), shares, 10000).alias("cuts")).first()["cuts"] if shares else None
+        return cut_predicates(name, sorted(set(found or [])))
+    ends = df.agg(F.min(name).alias("lo"), F.max(name).alias("hi")).first()
+    return cut_predicates(name, [] if ends["lo"] is None else cut_points(ends["lo"], ends["hi"], partitions))
+
+
+def read_ranges(df: DataFrame, predicates: list[str]) -> DataFrame:
+    """The table as the union of its ranged reads; each condition is pushed to the scan."""
+    return reduce(DataFrame.unionAll, [df.filter(p) for p in predicates])
 
 
 def quantile_cuts(df: DataFrame, key: str, partitions: int = DEFAULT_PARTITIONS, accuracy: int = 10000) -> Column:

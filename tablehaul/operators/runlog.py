@@ -52,19 +52,15 @@ def run_stats(objects: DataFrame) -> DataFrame:
 
 
 def run_stats_by_type(objects: DataFrame) -> DataFrame:
-    """Counters per run for all nine known types, zero where a run has none, and any other type it has."""
+    """Counters per run for all nine known types, zero where a run has none, and any other type it has, null too."""
     counted = objects.groupBy("run_id", "object_type").agg(
         F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in _TALLIES]
     )
-    # What is collected per run is one entry per object type, not its rows.
-    entry = F.struct(F.col("object_type"), F.struct("total", *_TALLIES))
-    per_run = counted.groupBy("run_id").agg(F.map_from_entries(F.collect_list(entry)).alias("seen"))
-    types = F.array_union(F.lit(OBJECT_TYPES), F.map_keys("seen"))
-    rows = per_run.select("run_id", "seen", F.explode(types).alias("object_type"))
-    found = F.col("seen")[F.col("object_type")]
-    return rows.select(
-        "run_id", "object_type", *[F.coalesce(found[c], F.lit(0).cast("bigint")).alias(c) for c in ["total", *_TALLIES]]
-    )
+    # Each of these few rows brings zeros for all known types along; nothing is gathered per run.
+    names = ["total", *_TALLIES]
+    zeros = [F.struct(F.lit(t).alias("object_type"), *[F.lit(0).cast("bigint").alias(n) for n in names]) for t in OBJECT_TYPES]
+    rows = counted.select("run_id", F.inline(F.array(F.struct("object_type", *names), *zeros)))
+    return rows.groupBy("run_id", "object_type").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def run_status(objects: DataFrame, runs: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablehaul.functions.checks import (
@@ -80,24 +81,25 @@ def java_replacement(text: str) -> str:
 
 
 def checked_rules(spark, rules: list[Rule]) -> tuple[list[Rule], list[tuple[str, str, str]]]:
-    """The rules whose patterns compile, and (name, pattern, error) of the others."""
-    def trial(batch):
-        counts = [F.regexp_count(F.lit("x"), F.lit(java_pattern(r))) for r in batch]
-        swaps = [F.regexp_replace(F.lit("x"), java_pattern(r), java_replacement(r.replacement)) for r in batch]
-        spark.range(1).select(*counts, *swaps).collect()
-
-    try:
-        trial(rules)
-        return list(rules), []
-    except Exception:
-        good, bad = [], []
-        for rule in rules:
-            try:
-                trial([rule])
-                good.append(rule)
-            except Exception as error:
-                bad.append((rule.name, rule.pattern, str(error).splitlines()[0]))
-        return good, bad
+    """The rules that can run, and (name, pattern, error) of the others.
+
+    Patterns are compiled by the driver's JVM, without a job; only a pattern error
+    makes a rule bad. A replacement must not name a group the pattern lacks.
+    """
+    compiler = spark._jvm.java.util.regex.Pattern
+    good, bad = [], []
+    for rule in rules:
+        try:
+            groups = compiler.compile(java_pattern(rule)).matcher("").groupCount()
+        except IllegalArgumentException as error:  # what a pattern error is
+            bad.append((rule.name, rule.pattern, str(error).splitlines()[0]))
+            continue
+        asked = max((int(n) for n in re.findall(r"\\(\d+)", rule.replacement)), default=0)
+        if asked > groups:
+            bad.append((rule.name, rule.pattern, f"the replacement names group {asked}, the pattern has {groups}"))
+        else:
+            good.append(rule)
+    return good, bad
 
 
 def apply_rules(df: DataFrame, col: str, rules: list[Rule], applied: str = "applied_rules") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tablehaul.functions.names import quoted
-from tablehaul.operators.columns import append_evolving, drop_blank_rows, match_columns
+from tablehaul.operators.columns import append_evolving, drop_blank_rows, matched_names
 from tablehaul.operators.history import replace_children
 from tablehaul.operators.merge import new_rows, upsert
 from tablehaul.session import use_checkpoints
@@ -21,17 +21,33 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
-def prepare(src: DataFrame, target_schema) -> DataFrame:
-    """What is sent to a target: no blank rows, the shared columns, the target's names and types."""
+def prepare(src: DataFrame, target_schema, order_by: list[str] = (), fill: bool = False) -> DataFrame:
+    """What is sent to a target: no blank rows, the shared columns, the target's names and types.
+
+    Columns of ``order_by``, named as in the source, come along as ``_order_0``
+    and so on, whether the target has them or not; an unknown one is an error.
+    With ``fill`` the target's other columns are there as typed nulls, in its order.
+    """
+    unknown = [c for c in order_by if c not in src.columns]
+    if unknown:
+        raise ValueError(f"the source has no column {unknown} to order by; it has {src.columns}")
     kinds = {f.name: f.dataType for f in target_schema.fields}
-    matched = match_columns(drop_blank_rows(src), target_schema)
-    return matched.select(*[F.col(quoted(c)).cast(kinds[c]).alias(c) for c in matched.columns])
+    pairs = matched_names(src.columns, target_schema.names)
+    rows = drop_blank_rows(src)
+    values = {t: F.col(quoted(s)).cast(kinds[t]).alias(t) for s, t in pairs}
+    if fill:
+        values = {n: values.get(n, F.lit(None).cast(kinds[n]).alias(n)) for n in target_schema.names}
+    return rows.select(*values.values(), *[F.col(quoted(c)).alias(f"_order_{i}") for i, c in enumerate(order_by)])
+
+
+def _order_names(order_by: list[str] | None) -> list[str] | None:
+    return [f"_order_{i}" for i in range(len(order_by))] if order_by else None
 
 
 def append_load(src: DataFrame, path: str) -> int:
-    """Insert into the table at ``path``; returns the rows sent."""
+    """Insert into the table at ``path``; returns the rows sent. Columns the source lacks are null."""
     spark = src.sparkSession
-    counted, seen = _counted(prepare(src, spark.read.parquet(path).schema))
+    counted, seen = _counted(prepare(src, spark.read.parquet(path).schema, fill=True))
     counted.write.mode("append").parquet(path)
     return seen.get["n"]
 
@@ -50,19 +66,24 @@ def truncate_load(src: DataFrame, table: str, location: str) -> int:
     spark = src.sparkSession
     if not table_exists(spark, table):
         create_table(spark, table, src.schema, location)
-    schema = spark.table(table).schema
-    ready = prepare(src, schema)
-    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in ready.columns]
-    counted, seen = _counted(ready.select("*", *rest).select(*[F.col(quoted(c)) for c in schema.names]))
+    counted, seen = _counted(prepare(src, spark.table(table).schema, fill=True))
     counted.write.insertInto(table, overwrite=True)
     return seen.get["n"]
 
 
 def replace_load(src: DataFrame, table: str, location: str) -> int:
-    """Drop the table if it is there and create it anew with the source's columns."""
+    """Give the table the source's columns and rows, whatever it had before.
+
+    The new files are complete, in a folder of their own below ``location``, before
+    the old definition goes, so the source may read the table itself and a failed
+    write changes nothing.
+    """
+    spark = src.sparkSession
     counted, seen = _counted(drop_blank_rows(src))
-    src.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    counted.write.mode("overwrite").option("path", location).format("parquet").saveAsTable(table)
+    folder = f"{location.rstrip('/')}/v-{uuid.uuid4().hex}"
+    counted.write.parquet(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    create_table(spark, table, src.schema, folder)
     return seen.get["n"]
 
 
@@ -86,15 +107,14 @@ def publish(df: DataFrame, table: str, root: str) -> str:
 def upsert_load(src: DataFrame, table: str, root: str, keys: list[str], order_by: list[str] | None = None) -> str:
     """Merge into a table by key; built-in file formats have no MERGE, so a new version is published."""
     tgt = src.sparkSession.table(table)
-    order = [c for c in order_by or [] if c in src.columns]
-    ready = prepare(src, tgt.schema)
-    return publish(upsert(tgt, ready, keys, [c for c in order if c in ready.columns] or None), table, root)
+    return publish(upsert(tgt, prepare(src, tgt.schema, order_by or []), keys, _order_names(order_by)), table, root)
 
 
 def skip_existing_load(src: DataFrame, path: str, keys: list[str], order_by: list[str] | None = None) -> int:
     """Append the rows whose key the table at ``path`` lacks; nothing else is written."""
     tgt = src.sparkSession.read.parquet(path)
-    counted, seen = _counted(new_rows(tgt, prepare(src, tgt.schema), keys, order_by))
+    ready = prepare(src, tgt.schema, order_by or [], fill=True)
+    counted, seen = _counted(new_rows(tgt, ready, keys, _order_names(order_by)).select(*[F.col(quoted(c)) for c in tgt.columns]))
     counted.write.mode("append").parquet(path)
     return seen.get["n"]
 
@@ -119,16 +139,29 @@ def read_children(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter("run_id IS NOT NULL").drop("run_bucket")
 
 
+def _same_buckets(spark: SparkSession, path: str, buckets: int, first: bool) -> None:
+    """Keep the number of buckets beside the data, and refuse another one."""
+    note = f"{path}/_buckets"  # a folder that readers of ``path`` pass over
+    if first:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(note)
+        return
+    made = spark.read.schema("buckets int").json(note).first()["buckets"]
+    if made != buckets:
+        raise ValueError(f"{path} was made with {made} buckets, not {buckets}")
+
+
 def mirror_children(fresh: DataFrame, runs: DataFrame, path: str, buckets: int = CHILD_BUCKETS) -> None:
     """Delete the children of ``runs`` at ``path`` and insert ``fresh``; the first call creates it.
 
-    Children live in a fixed number of hash buckets of their run, so a mirror
-    rewrites only the buckets its runs are in, and the number of folders does not
-    grow with the number of runs. The rebalance splits a bucket that one large run
-    fills over several tasks. ``buckets`` stays the same for the life of a folder.
+    Runs that only ``fresh`` has are mirrored like those of ``runs``; all others
+    keep their children. Children live in a fixed number of hash buckets of their
+    run, so a mirror rewrites only the buckets its runs are in, and the number of
+    folders does not grow with the number of runs. The rebalance splits a bucket
+    that one large run fills over several tasks. ``buckets`` is kept with the data;
+    another number is an error.
     """
     spark = fresh.sparkSession
-    ids = runs.select("run_id").distinct()
+    ids = runs.select("run_id").unionAll(fresh.select("run_id")).distinct()
     incoming = _bucketed(fresh, buckets)
     try:
         existing = spark.read.parquet(path)
@@ -136,7 +169,9 @@ def mirror_children(fresh: DataFrame, runs: DataFrame, path: str, buckets: int =
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").parquet(path)
+        _same_buckets(spark, path, buckets, first=True)
         return
+    _same_buckets(spark, path, buckets, first=False)
     touched = [r[0] for r in _bucketed(ids, buckets).select("run_bucket").distinct().collect()]  # at most ``buckets``
     if not touched:
         return

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablehaul.functions.records import OBJECT_TYPES
 from tablehaul.sources.tables import canonical_engine, read_jdbc
 
-# Schemas that belong to the engine.
-SYSTEM_SCHEMAS = ["information_schema", "pg_catalog"]
+# Schemas that belong to the engine, in lower case; engines differ in how they write them.
+SYSTEM_SCHEMAS = {
+    "MySQL": ["information_schema", "mysql", "performance_schema", "sys"],
+    "PostgreSQL": ["information_schema", "pg_catalog", "pg_toast"],
+    "SQL Server": ["information_schema", "sys", "guest"],
+    "Snowflake": ["information_schema"],
+}
 # Object type of each information_schema kind.
 KINDS = {"BASE TABLE": "table", "VIEW": "view", "PROCEDURE": "storedprocedure", "FUNCTION": "function"}
 
@@ -44,19 +49,33 @@ INVENTORY = {
 }
 
 
+def inventory_queries(engine: str, database: str | None) -> list[str]:
+    """The catalog queries for one database. A MySQL server's views show all its databases, which are its schemas there."""
+    queries = INVENTORY[canonical_engine(engine)]
+    if canonical_engine(engine) != "MySQL" or not database:
+        return queries
+    name = database.replace("\\", "\\\\").replace("'", "''")
+    return [f"SELECT * FROM ({sql}) found WHERE schema_name = '{name}'" for sql in queries]
+
+
 def read_inventory(spark: SparkSession, engine: str, connection: dict) -> DataFrame:
     """(schema_name, object_name, object_type, database_name) of one database through its catalog views."""
-    rows = [read_jdbc(spark, f"({sql}) inventory", engine, connection) for sql in INVENTORY[canonical_engine(engine)]]
+    queries = inventory_queries(engine, connection.get("database"))
+    rows = [read_jdbc(spark, f"({sql}) inventory", engine, connection) for sql in queries]
     united = reduce(DataFrame.unionAll, [r.toDF("schema_name", "object_name", "kind") for r in rows])
-    return objects_of(united.withColumn("database_name", F.lit(connection.get("database"))))
+    return objects_of(united.withColumn("database_name", F.lit(connection.get("database"))), engine)
 
 
-def objects_of(rows: DataFrame) -> DataFrame:
-    """Catalog rows with a ``kind`` as objects with a type; system schemas and other kinds are left out."""
+def objects_of(rows: DataFrame, engine: str | None = None) -> DataFrame:
+    """Catalog rows with a ``kind`` as objects with a type; other kinds and system schemas are left out.
+
+    Schemas are compared in lower case with those of the engine, or of all engines.
+    """
+    own = SYSTEM_SCHEMAS[canonical_engine(engine)] if engine else sorted({s for names in SYSTEM_SCHEMAS.values() for s in names})
     pairs = [F.lit(part) for item in KINDS.items() for part in item]
     kind = F.upper("kind")
     typed = rows.withColumn("object_type", F.coalesce(F.element_at(F.create_map(*pairs), kind), F.lower("kind")))
-    return typed.filter(F.col("object_type").isin(OBJECT_TYPES) & ~F.col("schema_name").isin(SYSTEM_SCHEMAS)).drop("kind")
+    return typed.filter(F.col("object_type").isin(OBJECT_TYPES) & ~F.lower("schema_name").isin(own)).drop("kind")
 
 
 def databases(objects: DataFrame) -> DataFrame:
@@ -83,11 +102,13 @@ def object_summary(objects: DataFrame) -> DataFrame:
 
 
 def key_lookup(constraints: DataFrame, usage: DataFrame) -> DataFrame:
-    """Primary-key columns of every table by ordinal: constraints joined to key usage on three columns."""
-    on = ["constraint_name", "table_schema", "table_name"]
-    primary = constraints.filter(F.col("constraint_type") == "PRIMARY KEY").select(*on)
-    return (
-        usage.join(primary, on)
-        .select("table_schema", "table_name", "ordinal_position", "column_name")
-        .orderBy("table_schema", "table_name", "ordinal_position")
-    )
+    """Primary-key columns of every table by ordinal.
+
+    Constraints meet the key usage on name, schema and table, and on the database
+    where both sides name it (``database_name``).
+    """
+    scope = [c for c in ("database_name",) if c in constraints.columns and c in usage.columns]
+    on = [*scope, "constraint_name", "table_schema", "table_name"]
+    primary = constraints.filter(F.col("constraint_type") == "PRIMARY KEY").select(*on).distinct()
+    placed = [*scope, "table_schema", "table_name", "ordinal_position"]
+    return usage.join(primary, on).select(*placed, "column_name").orderBy(*placed)

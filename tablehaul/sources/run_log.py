@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablehaul.functions.records import DIAGNOSTICS_SCHEMA, RECORD_SCHEMA
 from tablehaul.operators.history import diagnostics_archive, success_archive
@@ -11,9 +11,28 @@ from tablehaul.operators.history import diagnostics_archive, success_archive
 TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
 
+ZONE = r"[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def plain_time(text: Column) -> Column:
+    """A time as written, one with a zone in UTC; null if it is no time."""
+    written = F.trim(text)
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), written.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(written.rlike(ZONE), in_utc).otherwise(written.try_cast("timestamp_ntz"))
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run records; blank lines are no records, a broken line fails the scan."""
-    return spark.read.schema(RECORD_SCHEMA).options(**TIMES).option("mode", "FAILFAST").json(path)
+    """Run records; blank lines are no records, a broken line fails the scan.
+
+    Times are read as text first: one that can't be understood is null in its
+    record, which stays, and sorts last.
+    """
+    as_text = RECORD_SCHEMA.replace("timestamp_ntz", "string")
+    rows = spark.read.schema(as_text).option("mode", "FAILFAST").json(path)
+    timed = lambda c: c.withField("started_at", plain_time(c["started_at"])).withField("completed_at", plain_time(c["completed_at"]))
+    run = F.col("run_summary")
+    objects = F.transform(run["object_results"], timed)
+    return rows.withColumn("run_summary", timed(run.withField("object_results", objects)))
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablehaul.functions.names import ENGINE_ALIASES
-from tablehaul.operators.partition import DEFAULT_PARTITIONS, range_predicates
+from tablehaul.operators.partition import DEFAULT_PARTITIONS, choose_key, range_predicates
 
 DEFAULT_BATCH = 10000
 
@@ -59,16 +59,9 @@ def jdbc_options(engine: str, connection: dict, batch: int = DEFAULT_BATCH) -> d
     return options
 
 
-def read_table(spark: SparkSession, table: str, fmt: str = "parquet", spread: bool = False) -> DataFrame:
-    """A folder or file of ``fmt``, or with ``fmt="table"`` a catalog table.
-
-    ``spread`` is for work that is heavy per row: a table that comes in fewer
-    splits than there are cores is dealt out over all of them. A large table has
-    more splits than that and is not moved.
-    """
-    df = spark.table(table) if fmt == "table" else spark.read.format(fmt).load(table)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, table: str, fmt: str = "parquet") -> DataFrame:
+    """A folder or file of ``fmt``, or with ``fmt="table"`` a catalog table."""
+    return spark.table(table) if fmt == "table" else spark.read.format(fmt).load(table)
 
 
 def read_jdbc(
@@ -81,18 +74,30 @@ def read_jdbc(
     partitions: int = DEFAULT_PARTITIONS,
     batch: int = DEFAULT_BATCH,
 ) -> DataFrame:
-    """A JDBC table, in one task or in one per key range.
+    """A JDBC table, in one task per key range.
 
-    With ``key`` and ``bounds`` every row is read by exactly one range reader,
-    null and fractional keys and keys outside the bounds included.
+    Without ``key`` the first column that can be cut is taken, without ``bounds``
+    one query asks for the least and greatest key. Every row is read by exactly one
+    range reader, null and fractional keys and keys outside the bounds included. A
+    table without such a column, and an empty one, is read in one task.
     """
     options = jdbc_options(engine, connection, batch)
     url = options.pop("url")
-    if key is None or bounds is None:
-        return spark.read.jdbc(url, table, properties=options)
+    whole = spark.read.jdbc(url, table, properties=options)
+    key = key or choose_key(whole.schema)
+    if key is None:
+        return whole
+    if bounds is None:
+        bounds = tuple(spark.read.jdbc(url, bounds_query(table, key), properties=options).first())
+    if bounds[0] is None:
+        return whole
     return spark.read.jdbc(url, table, predicates=range_predicates(key, *bounds, partitions), properties=options)
 
 
+def bounds_query(table: str, key: str) -> str:
+    return f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {table}) bounds"
+
+
 def write_jdbc(df: DataFrame, table: str, engine: str, connection: dict, mode: str = "append", batch: int = DEFAULT_BATCH) -> None:
     """Append, or with ``mode="truncate"`` empty the table first and keep its definition."""
     options = jdbc_options(engine, connection, batch)

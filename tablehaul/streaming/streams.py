@@ -11,16 +11,25 @@ from tablehaul.operators.merge import one_per_key, unkeyed, keyed, upsert
 LIVE_EVENT = "type string, message string, run_id string, seq bigint"
 
 
+BROKEN = "_broken"
+
+
 def live_log(spark: SparkSession, path: str, schema: str = LIVE_EVENT) -> DataFrame:
-    """Log events that arrive as JSON lines in a folder."""
-    return spark.readStream.schema(schema).json(path)
+    """Log events that arrive as JSON lines in a folder; ``_broken`` has the text of a line that is none."""
+    reader = spark.readStream.schema(f"{schema}, {BROKEN} string")
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+
+
+def broken_lines(events: DataFrame) -> DataFrame:
+    """The lines of a live log that are no events, with what could be read of them, for a sink of their own."""
+    return events.filter(F.col(BROKEN).isNotNull()).withColumnRenamed(BROKEN, "line")
 
 
 def describe_log(events: DataFrame) -> DataFrame:
     """Level, tone, time and text of log events; the same on a stream and on a batch."""
     message = F.col("message")
     return events.filter(F.col("type") == "log").select(
-        *[c for c in events.columns if c not in ("type", "message")],
+        *[c for c in events.columns if c not in ("type", "message", BROKEN)],
         log_level(message).alias("level"),
         log_tone(message).alias("tone"),
         log_stamp(message).alias("logged_at"),

@@ -169,14 +169,14 @@ BASE = [
 ]
 
 
-def base(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet", spread=spread)
+def base(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A derived table as Spark reads it; tables of long texts are spread over the cores."""
+    """A derived table as Spark reads it."""
     body = TABLES[name].replace("CAST(NULL AS timestamp)", "CAST(NULL AS timestamp_ntz)")
-    used = {b: base(spark, sf, b, spread=b in ("documents", "pages")) for b in BASE if "{" + b + "}" in body}
+    used = {b: base(spark, sf, b) for b in BASE if "{" + b + "}" in body}
     df = spark.sql(body, **used)
     # date_trunc gives a zoned timestamp; the tables hold plain ones.
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
@@ -189,7 +189,7 @@ def ctes(*names: str) -> str:
 
 def run_records(spark: SparkSession, sf: str) -> DataFrame:
     """One nested record per event, with up to three objects each."""
-    events = base(spark, sf, "events", spread=True)
+    events = base(spark, sf, "events")
     e, ts = F.col("event_id"), F.col("ts")
     types = F.lit(OBJECT_TYPES)
 

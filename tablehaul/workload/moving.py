@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablehaul.functions.sql_types import MONEY_PRECISION, MYSQL_DEFAULT_LENGTH, MYSQL_LONGEST, NO_SUFFIX, type_map_rows
-from tablehaul.operators import columns, conform as conforming, merge, partition, reconcile as reconciling, writes
+from tablehaul.operators import columns, conform as conforming, copy as copying, merge, partition, reconcile as reconciling, writes
 from tablehaul.session import scratch_path
 from tablehaul.sources import catalog, staged_csv, tables
 from tablehaul.workload.inputs import base, ctes, table
@@ -28,7 +28,23 @@ def range_scan(spark, sf):
     orders = base(spark, sf, "orders")
     key = partition.choose_key(orders.schema, primary_key=["o_orderpriority", "o_orderkey"])
     ranged = partition.with_chunk_id(orders, key, 8)
-    return ranged.select("o_orderkey", "o_totalprice", "chunk_id")
+    read = partition.read_ranges(ranged, partition.plan_ranges(orders, key, 8))
+    return read.select("o_orderkey", "o_totalprice", "chunk_id")
+
+
+@query("SELECT event_id, ts FROM events UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 100 = 0")
+def range_scan_dates(spark, sf):
+    """Ranged reads by a time that is sometimes missing."""
+    events = base(spark, sf, "events").select("event_id", "ts")
+    rows = events.unionAll(events.filter("event_id % 100 = 0").withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    return partition.read_ranges(rows, partition.plan_ranges(rows, primary_key=["ts"], partitions=6))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+def range_scan_quantile(spark, sf):
+    """Ranged reads with about equal rows in each."""
+    items = base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return partition.read_ranges(items, partition.plan_ranges(items, "l_orderkey", 6, quantiles=True))
 
 
 @query("SELECT min(l_orderkey) AS lower_bound, max(l_orderkey) AS upper_bound, 8 AS num_partitions FROM lineitem")
@@ -217,12 +233,26 @@ def append_load(spark, sf):
 
 
 @query(
-    f"""WITH {ctes('old_orders')}, src AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 1)
+    """SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
+    UNION ALL SELECT -o_orderkey, o_totalprice, NULL FROM orders UNION ALL SELECT -o_orderkey, NULL, NULL FROM orders"""
+)
+def append_fewer_columns(spark, sf):
+    """Sources that lack columns of the target, once and again."""
+    path = scratch_path(spark, "append-fewer")
+    orders = base(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    orders.write.parquet(path)
+    fewer = orders.select((-F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice")
+    writes.append_load(fewer, path)
+    writes.append_load(fewer.select("o_orderkey"), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    f"""WITH {ctes('old_orders')}, src AS (SELECT * FROM orders)
     SELECT * FROM src UNION ALL SELECT * FROM old_orders t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.o_orderkey = t.o_orderkey)"""
 )
 def upsert_merge(spark, sf):
-    source = base(spark, sf, "orders").filter("o_orderkey % 3 <> 1")
-    return merge.upsert(table(spark, sf, "old_orders"), source, ["o_orderkey"])
+    return merge.upsert(table(spark, sf, "old_orders"), base(spark, sf, "orders"), ["o_orderkey"])
 
 
 @query(
@@ -242,13 +272,12 @@ def upsert_some_columns(spark, sf):
 
 
 @query(
-    f"""WITH {ctes('old_orders')}, src AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 1),
+    f"""WITH {ctes('old_orders')}, src AS (SELECT * FROM orders),
     k AS (SELECT s.o_orderkey, t.o_orderkey IS NOT NULL AS hit FROM src s LEFT JOIN old_orders t ON s.o_orderkey = t.o_orderkey)
     SELECT count(*) AS sent, count(*) FILTER (NOT hit) AS inserted, count(*) FILTER (hit) AS updated, 0::bigint AS superseded FROM k"""
 )
 def merge_counts(spark, sf):
-    source = base(spark, sf, "orders").filter("o_orderkey % 3 <> 1")
-    return merge.merge_counts(table(spark, sf, "old_orders"), source, ["o_orderkey"])
+    return merge.merge_counts(table(spark, sf, "old_orders"), base(spark, sf, "orders"), ["o_orderkey"])
 
 
 @query(
@@ -285,6 +314,45 @@ def replace_load(spark, sf):
     return spark.table(name)
 
 
+@query("SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0")
+def replace_from_itself(spark, sf):
+    """The source of a replacement reads the table that it replaces."""
+    location = scratch_path(spark, "replace-itself")
+    name = "t_" + location.rsplit("-", 1)[1]
+    writes.replace_load(base(spark, sf, "orders").select("o_orderkey", "o_totalprice"), name, location)
+    half = spark.table(name).filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    writes.replace_load(half, name, location)
+    return spark.table(name)
+
+
+_FIRST, _LAST = "ORDER BY ts, event_id", "ORDER BY ts DESC, event_id DESC"
+
+
+def _users(spark, sf):
+    """Events as a source that is ordered by columns the target lacks."""
+    return base(spark, sf, "events").select("user_id", "event_type", "value", F.col("ts").alias("loaded_at"), "event_id")
+
+
+@query(f"SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id {_LAST}) = 1")
+def upsert_order_column(spark, sf):
+    root = scratch_path(spark, "order-column")
+    name = "t_" + root.rsplit("-", 1)[1]
+    rows = _users(spark, sf)
+    writes.publish(rows.select("user_id", "event_type", "value").filter("event_id % 2 = 0").dropDuplicates(["user_id"]), name, root)
+    writes.upsert_load(rows, name, root, ["user_id"], ["loaded_at", "event_id"])
+    return spark.table(name)
+
+
+@query(f"SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id {_FIRST}) = 1")
+def skip_existing_order_column(spark, sf):
+    path = scratch_path(spark, "skip-order")
+    rows = _users(spark, sf)
+    rows.select("user_id", "event_type", "value").limit(0).write.parquet(path)
+    writes.skip_existing_load(rows, path, ["user_id"], ["loaded_at", "event_id"])
+    writes.skip_existing_load(rows, path, ["user_id"], ["loaded_at", "event_id"])
+    return spark.read.parquet(path)
+
+
 @query(
     f"""WITH {ctes('run_mirror', 'run_updates')},
     latest AS (SELECT run_id, arg_max(source_db, seq) AS source_db, arg_min(status, seq) AS status,
@@ -405,13 +473,18 @@ def replay_check(spark, sf):
       sum(CAST(o_totalprice * 100 AS bigint))::bigint AS target_cents FROM merged"""
 )
 def copy_and_reconcile(spark, sf):
-    """The whole path of one table: scan, blank rows, column matching, upsert, counts."""
+    """The whole path of one table: scan, blank rows, column matching, upsert, counts of the stored table."""
     target = table(spark, sf, "old_orders")
     renamed = base(spark, sf, "orders").toDF("O_ORDER_KEY", "oCustKey", "o-orderstatus", "O_TotalPrice", "o_order_date", "oOrderPriority")
     blanks = base(spark, sf, "customer").select(
         *[F.lit({"o-orderstatus": " ", "oOrderPriority": ""}.get(f.name)).cast(f.dataType).alias(f.name) for f in renamed.schema]
     )
     ready = columns.match_columns(columns.drop_blank_rows(renamed.unionAll(blanks)), target.schema)
-    merged = merge.upsert(target, ready, ["o_orderkey"])
-    cents = merged.agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))).scalar()
-    return reconciling.reconcile({"orders": (ready, merged)}).withColumn("target_cents", cents)
+    root = scratch_path(spark, "copy")
+    name = "t_" + root.rsplit("-", 1)[1]
+    writes.publish(target, name, root)
+    record = copying.copy_table(ready, name, root, "upsert", ["o_orderkey"])
+    cents = spark.table(name).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))).scalar()
+    return record.select(
+        F.lit("orders").alias("table_name"), "source_row_count", "target_row_count", "missing_row_count", cents.alias("target_cents")
+    )

@@ -50,22 +50,26 @@ def run_stats_by_type(spark, sf):
 
 
 @query(
-    f"""WITH {ctes("objects")}, kept AS (SELECT * FROM objects WHERE status <> 'partial' AND (seq % 1000 >= 900 OR status = 'success')),
+    f"""WITH {ctes("objects")}, varied AS (SELECT CASE WHEN run_id = 'run-5' THEN 'elsewhere' ELSE run_id END AS run_id,
+      CASE WHEN CAST(substr(run_id, 5) AS bigint) % 3 = 0 THEN 'success' ELSE status END AS status FROM objects),
     runs AS (SELECT 'run-' || user_id AS run_id, bool_or(user_id % 40 = 3) AS failed, bool_or(user_id % 30 = 4) AS stopped
              FROM events GROUP BY user_id),
     c AS (SELECT run_id, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'error') AS error,
-      count(*) FILTER (status = 'skipped') AS skipped FROM kept WHERE run_id <> 'run-5' GROUP BY 1)
+      count(*) FILTER (status = 'skipped') AS skipped FROM varied WHERE run_id IS NOT NULL GROUP BY 1)
     SELECT r.run_id, CASE WHEN failed THEN 'error' WHEN stopped THEN 'stopped' WHEN coalesce(total, 0) = coalesce(success, 0) THEN 'success' ELSE 'partial' END AS status,
       coalesce(total, 0) AS total, coalesce(success, 0) AS success, coalesce(error, 0) AS error, coalesce(skipped, 0) AS skipped
     FROM runs r LEFT JOIN c USING (run_id)"""
 )
 def run_status(spark, sf):
-    objects = table(spark, sf, "objects").filter("status <> 'partial' AND (seq % 1000 >= 900 OR status = 'success')")
+    # All objects; those of every third run succeed and one run has none, so that each status occurs.
+    run = F.col("run_id")
+    varied = F.when(F.substring(run, 5, 20).cast("bigint") % 3 == 0, "success").otherwise(F.col("status"))
+    objects = table(spark, sf, "objects").withColumns({"status": varied, "run_id": F.when(run == "run-5", "elsewhere").otherwise(run)})
     runs = base(spark, sf, "events").groupBy("user_id").agg(
         F.bool_or(F.col("user_id") % 40 == 3).alias("failed"), F.bool_or(F.col("user_id") % 30 == 4).alias("stopped")
     )
     runs = runs.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run_id"), "failed", "stopped")
-    return runlog.run_status(objects.filter("run_id <> 'run-5'"), runs)
+    return runlog.run_status(objects, runs)
 
 
 @query(
@@ -290,6 +294,35 @@ def mirror_children(spark, sf):
     return writes.read_children(spark, path)
 
 
+@query(
+    """SELECT 'r' || event_id AS run_id, 1::bigint AS sequence_no, 'old' AS message FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT 'r' || event_id, 1::bigint, 'new' FROM events WHERE event_id % 3 = 1"""
+)
+def mirror_new_runs(spark, sf):
+    """What is mirrored belongs to runs that are not stored yet and that ``runs`` does not name."""
+    path = scratch_path(spark, "new-runs")
+    runs = base(spark, sf, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("run_id"), "event_id")
+    rows = runs.withColumn("sequence_no", F.lit(1).cast("bigint"))
+    columns = ["run_id", "sequence_no", "message"]
+    writes.mirror_children(rows.filter("event_id % 3 = 0").withColumn("message", F.lit("old")).select(*columns), runs, path, buckets=8)
+    fresh = rows.filter("event_id % 3 = 1").withColumn("message", F.lit("new")).select(*columns)
+    writes.mirror_children(fresh, runs.limit(0), path, buckets=8)
+    return writes.read_children(spark, path)
+
+
+@query(
+    """SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 3 THEN ts - INTERVAL 2 HOUR ELSE ts END AS started_at FROM events"""
+)
+def runs_odd_dates(spark, sf):
+    """Run records whose times are no times, or have a zone."""
+    path = scratch_path(spark, "odd-dates")
+    e, at = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.when(e % 4 == 0, "not a date").when(e % 4 == 1, at).when(e % 4 == 2, F.concat(at, F.lit("Z"))).otherwise(F.concat(at, F.lit("+02:00")))
+    records = base(spark, sf, "events").select(F.struct(e.cast("string").alias("run_id"), text.alias("started_at")).alias("run_summary"), e.alias("seq"))
+    records.write.json(path)
+    return run_log.read_runs(spark, path).select("seq", F.col("run_summary.started_at").alias("started_at"))
+
+
 # --- messages -------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tablehaul.functions import checks
-from tablehaul.functions.rewrite_rules import builtin_rules, pair_rules
+from tablehaul.functions.rewrite_rules import Rule, builtin_rules, pair_rules
 from tablehaul.operators import merge, statements
 from tablehaul.session import scratch_path
 from tablehaul.streaming import streams
@@ -78,6 +78,17 @@ def rewrite_rules_back(spark, sf):
     return _rewritten(spark, sf, "snowflake", "mysql")
 
 
+@query("SELECT doc_id, replace(text, 'the', 'THE') AS text, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits, 2 AS broken FROM documents")
+def rewrite_broken_rules(spark, sf):
+    """A rule with a broken pattern and one that names a missing group are reported; the good one is applied."""
+    rules = [Rule("open", "(the", "x", ""), Rule("group", "(the)", r"\2", ""), Rule("good", "the", "THE", "")]
+    docs = base(spark, sf, "documents").select("doc_id", "text")
+    good, bad = statements.checked_rules(spark, rules)
+    done = statements.apply_rules(docs, "text", good)
+    hits = F.aggregate("applied_rules", F.lit(0), lambda n, r: n + r["count"]).cast("bigint")
+    return done.select("doc_id", "text", hits.alias("hits"), F.lit(len(bad)).alias("broken"))
+
+
 _NORMAL = "replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
@@ -309,6 +320,20 @@ def stream_log(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query(f"WITH {ctes('log_lines')} SELECT count(*) AS broken, count(*) FILTER (turn = 4) AS results FROM log_lines WHERE turn % 2 = 0")
+def stream_log_broken(spark, sf):
+    """Lines of a live log that were cut off go to a sink of their own and are counted."""
+    root = scratch_path(spark, "live-broken")
+    line = F.to_json(F.struct(F.when(F.col("turn") == 4, "result").otherwise("log").alias("type"), "message", F.col("turn").alias("seq")))
+    lines = table(spark, sf, "log_lines").withColumn("line", line)
+    cut = F.when(F.col("turn") % 2 == 0, F.left("line", F.length("line") - 1)).otherwise(F.col("line"))
+    lines.select(cut.alias("value")).write.text(f"{root}/in")
+    broken = streams.broken_lines(streams.live_log(spark, f"{root}/in"))
+    streams.start_sink(broken, f"{root}/out", f"{root}/state").awaitTermination()
+    found = spark.read.parquet(f"{root}/out")
+    return found.agg(F.count("*").alias("broken"), F.count_if(F.col("line").startswith('{"type":"result"')).alias("results"))
+
+
 @query("SELECT event_id, 'UPDATE' AS trigger_event, ts AS processed_at FROM events")
 def stream_changes(spark, sf):
     root = scratch_path(spark, "changes")

@@ -37,3 +37,23 @@ def test_key_lookup(spark, rows):
     constraints = spark.createDataFrame([("pk", "s", "t", "PRIMARY KEY"), ("u", "s", "t", "UNIQUE"), ("pk", "s2", "t", "CHECK")], "constraint_name string, table_schema string, table_name string, constraint_type string")
     usage = spark.createDataFrame([("pk", "s", "t", 2, "b"), ("pk", "s", "t", 1, "a"), ("u", "s", "t", 1, "c"), ("pk", "s2", "t", 1, "d")], "constraint_name string, table_schema string, table_name string, ordinal_position int, column_name string")
     assert [tuple(r) for r in catalog.key_lookup(constraints, usage).collect()] == [("s", "t", 1, "a"), ("s", "t", 2, "b")]
+
+
+def test_key_lookup_over_databases_with_equal_names(spark, rows):
+    constraints = spark.createDataFrame([(d, "pk", "s", "t", "PRIMARY KEY") for d in ("a", "b")], "database_name string, constraint_name string, table_schema string, table_name string, constraint_type string")
+    usage = spark.createDataFrame([("a", "pk", "s", "t", 1, "x"), ("b", "pk", "s", "t", 1, "y")], "database_name string, constraint_name string, table_schema string, table_name string, ordinal_position int, column_name string")
+    assert rows(catalog.key_lookup(constraints, usage)) == [("a", "s", "t", 1, "x"), ("b", "s", "t", 1, "y")]
+
+
+def test_system_schemas_in_any_case(spark):
+    raw = frame(spark, *[("d", s, "VIEW", "v") for s in ("INFORMATION_SCHEMA", "sys", "MySQL", "Performance_Schema", "own")])
+    assert [r.schema_name for r in catalog.objects_of(raw).collect()] == ["own"]
+    assert {r.schema_name for r in catalog.objects_of(raw, "Snowflake").collect()} == {"sys", "MySQL", "Performance_Schema", "own"}
+
+
+def test_mysql_reads_the_database_that_is_asked_for():
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA one; CREATE SCHEMA \"t'wo\"; CREATE TABLE one.t (a INT); CREATE TABLE \"t'wo\".u (a INT)")
+    found = con.execute(catalog.inventory_queries("mysql", "t'wo")[0]).fetchall()
+    assert found == [("t'wo", "u", "BASE TABLE")]
+    assert catalog.inventory_queries("postgresql", "d") == catalog.INVENTORY["PostgreSQL"]

@@ -146,19 +146,98 @@ def test_jdbc_options():
         tables.jdbc_options("Snowflake", {"host": "h"})
 
 
-def test_small_tables_are_spread_and_large_ones_left(spark):
-    path = scratch_path(spark, "test")
-    spark.range(100).repartition(1).write.parquet(path)
-    assert tables.read_table(spark, path, spread=True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(40).write.parquet(path + "-many")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    try:
-        assert tables.read_table(spark, path + "-many", spread=True).rdd.getNumPartitions() == 40
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-
-
 def test_scratch_is_below_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or scratch_path(spark, "x").startswith(named.rstrip("/"))
     assert shared_root(spark)
+
+
+# --- write paths that must not lose anything ------------------------------
+
+
+def children(spark, *rows):
+    return spark.createDataFrame(list(rows), "run_id string, message string")
+
+
+def test_mirror_keeps_runs_that_only_share_a_bucket(spark, rows):
+    path = scratch_path(spark, "bucket")
+    stored = [(f"r{i}", "old") for i in range(20)]
+    writes.mirror_children(children(spark, *stored), children(spark, *stored).select("run_id"), path, 4)
+    fresh = [(f"n{i}", "new") for i in range(6)]
+    writes.mirror_children(children(spark, *fresh), children(spark, fresh[0]).select("run_id"), path, 4)
+    assert rows(writes.read_children(spark, path)) == sorted(stored + fresh, key=repr)
+
+
+def test_mirror_refuses_another_number_of_buckets(spark, rows):
+    path = scratch_path(spark, "bucket-number")
+    one = children(spark, ("a", "1"))
+    writes.mirror_children(one, one.select("run_id"), path, 4)
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        writes.mirror_children(one, one.select("run_id"), path, 8)
+    assert rows(writes.read_children(spark, path)) == [("a", "1")]
+
+
+def test_replace_may_read_its_own_table_and_survives_a_failed_write(spark, rows):
+    location = scratch_path(spark, "own")
+    name = "t_" + location.rsplit("-", 1)[1]
+    writes.replace_load(spark.range(6), name, location)
+    assert writes.replace_load(spark.table(name).filter("id > 2"), name, location) == 3
+    broken = spark.table(name).select(F.when(F.col("id") > 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        writes.replace_load(broken, name, location)
+    assert rows(spark.table(name)) == [(3,), (4,), (5,)]
+
+
+def test_order_columns_need_not_be_in_the_target(spark, rows):
+    root = scratch_path(spark, "order")
+    name = "t_" + root.rsplit("-", 1)[1]
+    target = spark.createDataFrame([("a", "old", "mon")], "k string, v string, day string")
+    source = spark.createDataFrame([("a", "early", "tue", 1), ("a", "late", "tue", 2)], "k string, v string, DAY string, loaded_at int")
+    writes.publish(target, name, root)
+    writes.upsert_load(source, name, root, ["k"], ["DAY", "loaded_at"])
+    assert rows(spark.table(name)) == [("a", "late", "tue")]
+    with pytest.raises(ValueError, match="no column"):
+        writes.upsert_load(source, name, root, ["k"], ["nowhere"])
+    path = scratch_path(spark, "order-skip")
+    target.limit(0).write.parquet(path)
+    assert writes.skip_existing_load(source, path, ["k"], ["loaded_at"]) == 1
+    assert rows(spark.read.parquet(path)) == [("a", "early", "tue")]
+
+
+def test_appending_fewer_columns_keeps_the_schema(spark):
+    path = scratch_path(spark, "fewer")
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(path)
+    for i in range(4):
+        writes.append_load(spark.createDataFrame([(i,)], "k int"), path)
+        assert spark.read.parquet(path).columns == ["k", "v"]
+    assert spark.read.parquet(path).filter("v IS NULL").count() == 4
+
+
+@pytest.mark.parametrize("mode,expected", [("append", 5), ("truncate", 3), ("replace", 3), ("upsert", 4), ("skip_existing", 4)])
+def test_copy_counts_what_is_stored(spark, mode, expected):
+    from tablehaul.operators.copy import copy_table
+
+    root = scratch_path(spark, "copy")
+    name = "t_" + root.rsplit("-", 1)[1]
+    writes.publish(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), name, root)
+    source = spark.createDataFrame([(2, "B"), (3, "C"), (4, "D")], "K int, V string")
+    record = copy_table(source, name, root, mode, ["k"]).first()
+    assert (record.status, record.source_row_count, record.target_row_count) == ("success", 3, expected)
+    assert spark.table(name).count() == expected
+    with pytest.raises(ValueError):
+        copy_table(source, name, root, "other")
+
+
+# --- logs -----------------------------------------------------------------
+
+
+def test_odd_times_keep_their_record(spark):
+    path = scratch_path(spark, "times")
+    lines = [
+        '{"run_summary": {"run_id": "%s", "started_at": %s, "object_results": [{"object_name": "o", "started_at": %s}]}, "seq": 1}' % (i, t, t)
+        for i, t in enumerate(['"not a date"', '"2024-01-01T01:02:03Z"', '"2024-01-01T01:02:03+01:00"', '"2024-01-01 01:02:03.5"', "null"])
+    ]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    found = {r.run_summary.run_id: (r.run_summary.started_at, r.run_summary.object_results[0].started_at) for r in run_log.read_runs(spark, path).collect()}
+    at = lambda h, s=3, u=0: dt.datetime(2024, 1, 1, h, 2, s, u)
+    assert found == {"0": (None, None), "1": (at(1), at(1)), "2": (at(0), at(0)), "3": (at(1, 3, 500000),) * 2, "4": (None, None)}

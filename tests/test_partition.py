@@ -83,3 +83,38 @@ def test_quantile_chunks_are_even_on_a_skewed_key(spark):
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 10
     widths = [r["count"] for r in partition.with_chunk_id(df, "k", 4).groupBy("chunk_id").count().collect()]
     assert max(widths) > 500
+
+
+def test_ranged_reads_cover_every_row_once(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    day, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 3)
+    kinds = {
+        "bigint": [1, 5, 5, None, 100, -7],
+        "decimal(12,3)": [Decimal("0.5"), Decimal("1.5"), None, Decimal("99.125")],
+        "date": [day, None, *[day + dt.timedelta(days=i * i) for i in range(20)]],
+        "timestamp_ntz": [at, None, *[at + dt.timedelta(seconds=i**3) for i in range(20)]],
+        "timestamp": [at, None, *[at + dt.timedelta(hours=i) for i in range(20)]],
+    }
+    for kind, values in kinds.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, k {kind}")
+        for quantiles in (False, True):
+            predicates = partition.plan_ranges(df, "k", 4, quantiles)
+            assert 2 <= len(predicates) <= 5 and predicates[-1].endswith("IS NULL")
+            assert sorted(r.i for r in partition.read_ranges(df, predicates).collect()) == list(range(len(values)))
+        found = {r.chunk_id: r for r in partition.chunk_stats(df, "k", 4).collect()}
+        assert sum(r.row_count for r in found.values()) == len(values) and len(found) > 2
+    assert partition.plan_ranges(spark.createDataFrame([("a",)], "k string"), "k") is None
+    assert partition.chunk_stats(spark.createDataFrame([("a",)], "k string"), "k").columns == partition.chunk_stats(df, "k").columns
+    assert partition.plan_ranges(spark.createDataFrame([], "k int"), "k") == ["`k` IS NOT NULL", "`k` IS NULL"]
+
+
+def test_bounds_query_of_a_server():
+    import duckdb
+
+    from tablehaul.sources.tables import bounds_query
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT range AS k FROM range(3, 9)")
+    assert con.execute(f"SELECT * FROM {bounds_query('t', 'k')}").fetchall() == [(3, 8)]
