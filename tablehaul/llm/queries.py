@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, quality, revisits, secrets
+from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, quality, revisits, secrets, sql
 from tablehaul.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_host_reputation": sql.HOST_REPUTATION,
+    "op5_revisits": sql.REVISITS,
+    "op10_rule_ledger": sql.RULE_LEDGER,
+}
 
 
 def query(fn):
