@@ -32,7 +32,11 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 
 def matched_names(source: list[str], target: list[str], aliases: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """(source name, target name) for the columns both sides have, in source order."""
-    wanted = {column_key(t, aliases): t for t in target}
+    wanted: dict[str, str] = {}
+    for t in target:
+        other = wanted.setdefault(column_key(t, aliases), t)
+        if other != t:
+            raise ValueError(f"several target columns have one normal name: {[other, t]}")
     pairs = [(s, wanted[column_key(s, aliases)]) for s in source if column_key(s, aliases) in wanted]
     if not pairs:
         raise ValueError(f"no column in common: source {source}, target {target}")

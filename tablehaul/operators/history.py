@@ -77,6 +77,22 @@ def history_page(records: DataFrame, page: int = 1, size: int = PAGE_SIZE, order
     return placed.filter((F.col("position") > (shown - 1) * size) & (F.col("position") <= shown * size)).drop("_n")
 
 
+def history_after(records: DataFrame, started_at=None, seq: int | None = None, size: int = PAGE_SIZE, order: str = "seq") -> DataFrame:
+    """The page after the record with this start and number, in the order of :func:`history_page`; the first without ``seq``.
+
+    However deep the page is, each task keeps ``size`` records: the last record
+    shown says where to go on, and nothing before it is sorted or counted.
+    """
+    start, number = F.col("run_summary.started_at"), F.col(order)
+    rest = records
+    if seq is not None and started_at is None:
+        rest = records.filter(start.isNull() & (number < seq))
+    elif seq is not None:
+        at = F.lit(started_at).cast("timestamp_ntz")
+        rest = records.filter(start.isNull() | (start < at) | ((start == at) & (number < seq)))
+    return rest.orderBy(start.desc_nulls_last(), number.desc()).limit(size)
+
+
 def history_flat(records: DataFrame) -> DataFrame:
     """The flat export: one row of plain cells per record, and the two labels shown with it."""
     run = F.col("run_summary")

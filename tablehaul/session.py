@@ -40,6 +40,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable; a folder the cluster names is left as it is."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+    """Make ``checkpoint()`` usable; a folder that is set already is left as it is."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablehaul.functions.records import DIAGNOSTICS_SCHEMA, RECORD_SCHEMA
 from tablehaul.operators.history import diagnostics_archive, success_archive
+from tablehaul.session import scratch_path
 
 # Times with all six digits, or none; Spark's own JSON format would cut them to three.
 TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
@@ -39,14 +40,26 @@ def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DIAGNOSTICS_SCHEMA).options(**TIMES).option("mode", "FAILFAST").json(path)
 
 
+def _fixed(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "log-copy")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_runs(records: DataFrame, path: str, archive: str | None = None) -> None:
-    """Append run records to the log, and those that succeeded to the archive."""
+    """Append run records to the log, and those that succeeded to the archive.
+
+    Both are written from one copy, so they agree even if ``records`` would come
+    out differently when computed again.
+    """
+    records = _fixed(records) if archive else records
     records.write.mode("append").options(**TIMES).json(path)
     if archive:
         success_archive(records).write.mode("append").options(**TIMES).json(archive)
 
 
 def append_diagnostics(diagnostics: DataFrame, path: str, archive: str | None = None) -> None:
+    diagnostics = _fixed(diagnostics) if archive else diagnostics
     diagnostics.write.mode("append").options(**TIMES).json(path)
     if archive:
         diagnostics_archive(diagnostics).write.mode("append").options(**TIMES).json(archive)

@@ -28,6 +28,19 @@ def stage_csv(df: DataFrame, path: str, style: str = "sentinel", rows_per_file:
     writer.option("maxRecordsPerFile", rows_per_file).csv(path, header=STYLES[style].header, lineSep="\n")
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a data file is at or below ``path``; looks no further than the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return False
+    files = system.listFiles(folder, True)
+    while files.hasNext():
+        if files.next().getPath().getName()[:1] not in ("_", "."):
+            return True
+    return False
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, style: str = "sentinel") -> DataFrame:
     """Read a staged file or, recursively, a folder of them; columns go by position.
 
@@ -44,7 +57,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, style:
         .option("recursiveFileLookup", True)
         .csv(path, header=STYLES[style].header)
     )
-    if not raw.inputFiles():
+    if not _has_files(spark, path):
         raise FileNotFoundError(f"no staged files in {path}")
     return raw.select(
         *[cell_value(F.col(f"c{i}"), f.dataType, STYLES[style], f.name).alias(f.name) for i, f in enumerate(kinds.fields)]
@@ -56,7 +69,7 @@ def bulk_extract(df: DataFrame, path: str, output_partitions: int | None = None,
     counted = Observation()
     out = df.observe(counted, F.count(F.lit(1)).alias("row_count")) if count_rows else df
     if output_partitions:
-        out = out.coalesce(max(1, output_partitions))
+        out = out.repartition(max(1, output_partitions))  # coalesce would narrow the scan too
     flat = [
         F.to_json(quoted(f.name)).alias(f.name)
         if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))

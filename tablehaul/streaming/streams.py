@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tablehaul.functions.messages import log_level, log_stamp, log_text, log_tone
 from tablehaul.operators.merge import one_per_key, unkeyed, keyed, upsert
+from tablehaul.operators.writes import publish
 
 LIVE_EVENT = "type string, message string, run_id string, seq bigint"
 
@@ -59,8 +61,8 @@ def start_upsert(feed: DataFrame, path: str, checkpoint: str, keys: list[str], o
 
     The target is not rewritten per batch. A batch writes only its own ``batch_id``
     folder and overwrites it when it is replayed, so a retry changes nothing;
-    :func:`current_rows` merges on reading and :func:`tablehaul.operators.writes.publish`
-    folds the batches in when wanted.
+    :func:`current_rows` merges on reading and :func:`fold` publishes a version that
+    has the batches when wanted.
     """
     def keep(batch: DataFrame, batch_id: int) -> None:
         last = one_per_key(keyed(batch, keys), keys, order_by).unionByName(unkeyed(batch, keys))
@@ -70,7 +72,49 @@ def start_upsert(feed: DataFrame, path: str, checkpoint: str, keys: list[str], o
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def folded_batch(spark: SparkSession, path: str) -> int:
+    """The last batch that a published version has; -1 before the first."""
+    try:
+        return spark.read.schema("batch_id bigint").json(f"{path}/_folded").agg(F.max("batch_id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+
+
 def current_rows(tgt: DataFrame, path: str, keys: list[str], order_by: list[str]) -> DataFrame:
-    """The target with all kept batches merged in, later batches over earlier ones."""
-    changes = tgt.sparkSession.read.option("basePath", path).parquet(path)
-    return upsert(tgt, changes, keys, ["batch_id", *order_by])
+    """The target with all batches merged in that no published version has, later ones over earlier ones."""
+    spark = tgt.sparkSession
+    try:
+        changes = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as error:  # no batch yet, or all retired
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return tgt
+    fresh = changes.filter(F.col("batch_id") > folded_batch(spark, path))
+    return upsert(tgt, fresh, keys, ["batch_id", *order_by])
+
+
+def fold(table: str, root: str, path: str, keys: list[str], order_by: list[str]) -> None:
+    """Publish the current rows as a new version of the table, and pass over its batches from then on.
+
+    The batches stay until :func:`retire` deletes them, so a reader that began
+    before can finish. A failure before the note is written only means that the
+    next reader merges the same batches again, which changes nothing.
+    """
+    spark = SparkSession.active()
+    batches = spark.read.option("basePath", path).parquet(path).agg(F.max("batch_id")).first()[0]
+    publish(current_rows(spark.table(table), path, keys, order_by).select(*spark.table(table).columns), table, root)
+    spark.createDataFrame([(batches,)], "batch_id bigint").coalesce(1).write.mode("append").json(f"{path}/_folded")
+
+
+def retire(spark: SparkSession, path: str) -> int:
+    """Delete the folders of batches that a published version has; returns their number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last, gone = folded_batch(spark, path), 0
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=")[1]) <= last:
+            gone += bool(system.delete(status.getPath(), True))
+    return gone

@@ -174,6 +174,20 @@ def history_page(spark, sf):
     return page.select("run_summary.run_id", F.col("position").cast("bigint").alias("position"))
 
 
+@query(
+    f"""WITH {RECORDS}, o AS (SELECT run_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, seq DESC) AS position FROM records)
+    SELECT run_id FROM o WHERE position BETWEEN 21 AND 30"""
+)
+def history_page_after(spark, sf):
+    """The third page, reached from the last record of the one before."""
+    records = run_records(spark, sf)
+    last = (None, None)
+    for _ in range(2):
+        shown = history.history_after(records, *last).select("run_summary.started_at", "seq").collect()
+        last = (shown[-1].started_at, shown[-1].seq)
+    return history.history_after(records, *last).select("run_summary.run_id")
+
+
 @query(
     f"""WITH {RECORDS} SELECT count(*) AS runs, CAST(sum(total_objects) AS bigint) AS objects, CAST(sum(success_objects) AS bigint) AS success,
       CAST(sum(error_objects) AS bigint) AS error, CAST(sum(total_rows_migrated) AS bigint) AS rows, CAST(sum(total_missing_rows) AS bigint) AS missing

@@ -366,6 +366,27 @@ def stream_upsert(spark, sf):
     return streams.current_rows(target, f"{root}/changes", ["user_id"], ["ts", "event_id"])
 
 
+@query("SELECT user_id, event_type, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) = 1")
+def stream_upsert_folded(spark, sf):
+    """Batches, a published version that has them, and further batches on top of it."""
+    from tablehaul.operators import writes
+
+    root = scratch_path(spark, "folded")
+    name = "t_" + root.rsplit("-", 1)[1]
+    events = base(spark, sf, "events")
+    columns = ["user_id", "event_type", "value", "ts"]
+    writes.publish(events.select(*columns).limit(0), name, f"{root}/table")
+    order = ["ts", "event_id"]
+    for part in (0, 1):
+        events.filter(f"event_id % 2 = {part}").write.mode("append").parquet(f"{root}/in")
+        feed = spark.readStream.schema(events.schema).parquet(f"{root}/in").select(*columns, "event_id")
+        streams.start_upsert(feed, f"{root}/changes", f"{root}/state", ["user_id"], order).awaitTermination()
+        if part == 0:
+            streams.fold(name, f"{root}/table", f"{root}/changes", ["user_id"], order)
+            streams.retire(spark, f"{root}/changes")
+    return streams.current_rows(spark.table(name), f"{root}/changes", ["user_id"], order)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders")
 def publish_merged(spark, sf):
     """Upsert into a catalog table: a new version is written and the table pointed to it."""

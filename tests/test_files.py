@@ -241,3 +241,27 @@ def test_odd_times_keep_their_record(spark):
     found = {r.run_summary.run_id: (r.run_summary.started_at, r.run_summary.object_results[0].started_at) for r in run_log.read_runs(spark, path).collect()}
     at = lambda h, s=3, u=0: dt.datetime(2024, 1, 1, h, 2, s, u)
     assert found == {"0": (None, None), "1": (at(1), at(1)), "2": (at(0), at(0)), "3": (at(1, 3, 500000),) * 2, "4": (None, None)}
+
+
+def test_folded_batches_are_passed_over(spark, rows):
+    root = scratch_path(spark, "fold")
+    name = "t_" + root.rsplit("-", 1)[1]
+    frame = lambda *r: spark.createDataFrame(list(r), "k int, v string, at int")
+    writes.publish(frame().select("k", "v"), name, f"{root}/table")
+    frame((1, "a", 1), (2, "b", 1)).write.parquet(f"{root}/in/batch_id=0")
+    streams.fold(name, f"{root}/table", f"{root}/in", ["k"], ["at"])
+    assert rows(spark.table(name)) == [(1, "a"), (2, "b")] and streams.folded_batch(spark, f"{root}/in") == 0
+    # someone else's newer write is not undone by the batch that was folded
+    writes.publish(frame((1, "newer", 0)).select("k", "v"), name, f"{root}/table")
+    assert rows(streams.current_rows(spark.table(name), f"{root}/in", ["k"], ["at"])) == [(1, "newer")]
+    assert streams.retire(spark, f"{root}/in") == 1
+    assert rows(streams.current_rows(spark.table(name), f"{root}/in", ["k"], ["at"])) == [(1, "newer")]
+    frame((3, "c", 1)).write.parquet(f"{root}/in/batch_id=1")
+    assert rows(streams.current_rows(spark.table(name), f"{root}/in", ["k"], ["at"])) == [(1, "newer"), (3, "c")]
+
+
+def test_clashing_target_names_are_an_error(spark):
+    from tablehaul.operators.columns import matched_names
+
+    with pytest.raises(ValueError, match="one normal name"):
+        matched_names(["a_b"], ["A B", "a-b"])
