@@ -15,7 +15,7 @@ SYMBOLS = r"[#*$%&|<>]+"
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > 10 * n_words",
+    "symbols": "10 * n_symbols > n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "repeated_lines": "100 * n_dup_lines > 70 * n_lines",
