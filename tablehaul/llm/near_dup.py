@@ -139,69 +139,136 @@ def linked(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFram
     return _with_ends(pairs, nodes, "text").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-#: Members of a bucket that one task compares with as many others at a time.
-SIDE = 512
+#: Buckets of so many members give their pairs to the verification; larger ones are verified where they are compared.
+SMALL = 16
+#: Members of a large bucket that one task compares with as many others at a time.
+SIDE = 256
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key as a table, from batches in which equal keys are neighbours."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *change], [*change, batch.num_rows]):
+            if a == b:
+                continue
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def signature_rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), HASHES)
+
+
+def small_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u < v) of one bucket but different components whose signatures may link them; for ``SMALL`` buckets."""
+    full = join_per_key(members, nodes.select("v", "signature"), ["v"], "inner")
+    ready = full.repartition("b").sortWithinPartitions("b", "v").select("b", "v", "c", "signature")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ("b",)):
+            v, c = rows.column("v").to_numpy(), rows.column("c").to_numpy()
+            signatures = signature_rows(rows.column("signature"))
+            a, b = np.triu_indices(len(v), 1)
+            apart = c[a] != c[b]
+            a, b = a[apart], b[apart]
+            stay = survivors(signatures[a], signatures[b], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(v[a[stay]]), pa.array(v[b[stay]])], ["u", "v"])
+
+    return ready.mapInArrow(run, "u bigint, v bigint").distinct()
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (u < v) of one bucket but different components whose signatures may link them.
 
-    ``members`` (b, v, c) are cut into sides of about ``SIDE`` per bucket; every two
-    sides are compared in one task, which returns the survivors only. So no task
-    holds more than two sides, and no pair that the posterior rules out is a row.
+def block_links(v: np.ndarray, c: np.ndarray, signatures: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray, band: int, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` (places, or the same twice) that join different components.
+
+    A pair belongs to the first band it agrees in, so other buckets leave it out.
+    The likeliest pairs are verified first, and none whose ends earlier links have
+    joined: at most one link per row comes out.
     """
-    sizes = members.groupBy("b").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias("g"))
-    split = join_per_key(members, sizes, ["b"], "inner").withColumn("s", F.pmod(F.xxhash64("v"), F.col("g")).cast("int"))
-    dealt = split.select("b", "v", "c", "s", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    dealt = dealt.select("v", "c", "s", "b", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
-    full = join_per_key(dealt, nodes.select("v", "signature"), ["v"], "inner")
-    ready = full.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "v").select("b", "i", "j", "s", "v", "c", "signature")
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v, c, s = (rows.column(x).to_numpy() for x in ("v", "c", "s"))
-        signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(len(v), HASHES)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        us, vs = [], []
-        for row in range(len(v)):  # one row with all later ones, or with those of the other side
-            others = np.arange(row + 1, len(v))
-            others = others[c[others] != c[row]]
-            if i != j:
-                others = others[s[others] != s[row]]
-            if len(others):
-                hits = others[survivors(np.broadcast_to(signatures[row], (len(others), HASHES)), signatures[others], percent)]
-                us.append(np.minimum(v[row], v[hits]))
-                vs.append(np.maximum(v[row], v[hits]))
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+    keys = signatures.reshape(len(v), BANDS, ROWS)
+    apart = c[left][:, None] != c[right][None, :]
+    if left is right:
+        apart &= np.triu(np.ones(apart.shape, bool), 1)
+    for t in range(band):
+        apart &= ~(keys[left, t][:, None, :] == keys[right, t][None, :, :]).all(axis=2)
+    a, b = np.nonzero(apart)
+    a, b = left[a], right[b]
+    stay = survivors(signatures[a], signatures[b], percent)
+    a, b = a[stay], b[stay]
+    if not len(a):
+        return []
+    order = np.argsort(-(signatures[a] == signatures[b]).sum(axis=1), kind="stable")
+    needed, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    flat, sizes = distinct_shingles([texts[i] for i in needed], k)
+    sets = np.split(flat, np.cumsum(sizes)[:-1])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    out = []
+    for i in order.tolist():
+        x, y = sets[at[i]], sets[at[len(a) + i]]
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            continue
+        u, w = root(int(c[a[i]])), root(int(c[b[i]]))
+        if u == w:
+            continue
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            parent[max(u, w)] = min(u, w)
+            out.append((int(min(v[a[i]], v[b[i]])), int(max(v[a[i]], v[b[i]]))))
+    return out
+
+
+def dense_links(members: DataFrame, sizes: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u < v) that join components of one large bucket.
+
+    Members (b, i, v, c) are cut into sides of about ``SIDE`` per bucket; every two
+    sides are compared in one task, by signatures and then by their full sets. So
+    no task holds more than two sides, and only links are rows, not pairs.
+    """
+    sides = sizes.select("b", F.ceil(F.col("m") / F.lit(SIDE)).cast("int").alias("g"))
+    split = join_per_key(members, sides, ["b"], "inner").withColumn("s", F.pmod(F.xxhash64("v"), F.col("g")).cast("int"))
+    dealt = split.select("v", "c", "s", "b", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    dealt = dealt.select("v", "c", "s", "b", "i", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
+    full = join_per_key(dealt, nodes, ["v"], "inner")
+    ready = full.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y", "v").select("b", "i", "x", "y", "s", "v", "c", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            u, v = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        def key(batch: pa.RecordBatch, at: int) -> tuple:
-            return tuple(batch.column(x)[at].as_py() for x in ("b", "i", "j"))
-
-        for batch in batches:
-            keys = [batch.column(x).to_numpy() for x in ("b", "i", "j")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, int)
-            for a, b in zip([0, *change], [*change, batch.num_rows]):
-                run_of = batch.slice(a, b - a)
-                if held and key(held[0], 0) != key(run_of, 0):
-                    yield out(pa.Table.from_batches(held))
-                    held = []
-                if run_of.num_rows:
-                    held.append(run_of)
-        if held:
-            yield out(pa.Table.from_batches(held))
+        for rows in grouped(batches, ("b", "x", "y")):
+            v, c, s = (rows.column(n).to_numpy() for n in ("v", "c", "s"))
+            x, y, band = (rows.column(n)[0].as_py() for n in ("x", "y", "i"))
+            left = np.flatnonzero(s == x)
+            right = left if x == y else np.flatnonzero(s == y)
+            found = block_links(v, c, signature_rows(rows.column("signature")), rows.column("text").to_pylist(), left, right, band, k, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
     return ready.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def cross_links(members: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every link that may join different components of one bucket, or enough of them to join the same."""
+    sizes = members.groupBy("b").agg(F.count("*").alias("m"))
+    sized = join_per_key(members, sizes, ["b"], "inner")
+    small = small_pairs(sized.where(F.col("m") <= SMALL).drop("m", "i"), nodes, percent)
+    large = dense_links(sized.where(F.col("m") > SMALL).drop("m"), sizes, nodes, k, percent)
+    return linked(small, nodes, k, percent).unionAll(large)
+
+
 def relabel(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(b, v, c) of the buckets that hold two components or more."""
+    """(b, i, v, c) of the buckets that hold two components or more."""
     if labels is None:
         known = members.withColumn("c", F.col("v"))
     else:
@@ -236,7 +303,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
 
     Equal sets become one node, so exact copies cost no pairs. Banded MinHash puts
     nodes into buckets. In each bucket a hub is compared first, one pair a node; what
-    is then in different components is compared in blocks inside tasks. All
+    is then in different components is compared in blocks inside tasks, which return
+    links and not pairs. All
     comparisons are sequential: signatures batch by batch, dropped when the posterior
     says so (chance ``MISS`` at most), then exact sets for the rest. Sets are compared
     by 64-bit shingle hashes and named by 128 bits.
@@ -258,7 +326,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.first("signature").alias("signature"), F.min(lead).alias("lead"))
     classes = kept(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
 
-    banded = classes.select("v", F.explode(bands(F.col("signature"))).alias("b"))
+    banded = classes.select("v", F.posexplode(bands(F.col("signature"))).alias("i", "b"))
     shared = banded.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b")
     members = kept(join_per_key(banded, shared, ["b"], "inner"), "members")
     wanted = classes.join(members.select("v").distinct(), "v", "left_semi").select("s1", "s2", "v", "signature")
@@ -268,8 +336,11 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
     links, labels = None, None
     for turn in range(HUB_TURNS + 1):
         apart = relabel(members, labels)
-        pairs = pruned(hub_pairs(apart, turn), nodes, percent) if turn < HUB_TURNS else cross_pairs(apart, nodes, percent)
-        found = kept(linked(pairs, nodes, k, percent), f"links-{turn}")
+        if turn < HUB_TURNS:
+            found = linked(pruned(hub_pairs(apart, turn), nodes, percent), nodes, k, percent)
+        else:
+            found = cross_links(kept(apart, "apart"), nodes, k, percent)
+        found = kept(found, f"links-{turn}")
         links = found if links is None else links.unionAll(found)
         labels = components(links)
 

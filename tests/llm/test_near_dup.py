@@ -58,25 +58,32 @@ def test_many_copies_make_no_pairs(spark):
     assert {c for *_, c, _ in got} == {0} and sum(k for *_, k in got) == 1
 
 
-def test_cross_pairs_in_blocks(spark, monkeypatch):
-    """A bucket over several sides finds the same pairs as plain comparison."""
-    pick = np.random.default_rng(1)
-    base = pick.integers(0, 1 << 32, near_dup.HASHES, dtype=np.uint32)
-    rows = []
-    for v in range(60):
-        own = base.copy()
-        change = pick.choice(near_dup.HASHES, int(pick.integers(0, 70)), replace=False)
-        own[change] = pick.integers(0, 1 << 32, len(change), dtype=np.uint32)
-        rows.append((v, own))
-    nodes = spark.createDataFrame([(v, bytearray(s.astype("<u4").tobytes())) for v, s in rows], "v long, signature binary")
-    members = spark.createDataFrame([(b, v, v % 7) for b in (11, 12) for v in range(60)], "b long, v long, c long")
-    monkeypatch.setattr(near_dup, "SIDE", 8)
-    got = [tuple(r) for r in near_dup.cross_pairs(members, nodes, 80).collect()]
-    want = {
-        (u, v) for u in range(60) for v in range(u + 1, 60)
-        if u % 7 != v % 7 and len(near_dup.survivors(rows[u][1][None], rows[v][1][None], 80))
-    }
-    assert len(got) == len(set(got)) and set(got) == want and want
+@pytest.mark.parametrize("small,side", [(16, 256), (2, 8), (1000, 256)])
+def test_dense_bucket_that_hubs_do_not_join(spark, monkeypatch, small, side):
+    """Texts that are linked along a chain only: every cut of the buckets gives the same groups."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "SIDE", side)
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 60])) for i in range(90)] + [(100 + i, " ".join(words[i * 40 : i * 40 + 60])) for i in range(9)]
+    random.Random(8).shuffle(rows)
+    got = groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(got) == sorted(wanted(rows))
+
+
+def test_block_links_join_what_all_pairs_join():
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 120, 2)]
+    flat, sizes = near_dup.distinct_shingles(texts, 4)
+    signatures = near_dup.block_minima(flat, np.cumsum(sizes) - sizes, near_dup.HASHES)
+    v = np.arange(len(texts)) + 1000
+    all_rows, half = np.arange(len(texts)), np.arange(len(texts)) < 30
+    found = near_dup.block_links(v, v, signatures, texts, all_rows, all_rows, 0, 4, 80)
+    assert len(found) == len(texts) - 1  # a tree
+    between = near_dup.block_links(v, v, signatures, texts, all_rows[half], all_rows[~half], 0, 4, 80)
+    assert between and all((a < 1030) != (b < 1030) for a, b in between)
+    # a pair is left to the first band in which it agrees
+    parts = {p for band in range(near_dup.BANDS) for p in near_dup.block_links(v, v, signatures, texts, all_rows[:2], all_rows[:2], band, 4, 80)}
+    assert parts == {(1000, 1001)}
 
 
 def test_posterior_bounds():
