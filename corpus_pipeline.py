@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks leave the texts; a document that had text and has no word left goes."""
     done = line_chunks.dedup_lines(docs)
-    kept = done.where((F.col("chunks") <= 0) | F.col("text").rlike(r"[^ \t-\r]"))
-    fields = {"text": F.col("text"), "n_chars": F.when(F.col("chunks") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return kept.select(*[fields.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    kept = done.where((F.col("chunks") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    length = F.when(F.col("chunks") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
+    fields = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": length}
+    return kept.select(*[(fields[c] if c in fields else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,12 +87,14 @@ def repeated_chunks(keyed: DataFrame, divisor: int, long_line: int) -> DataFrame
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """``df`` packed as (row, text, removed): the text without repeated chunks and the lines taken out.
+    """(id, text, removed, chunks, rest): the text without repeated chunks, what was taken out, and the other columns.
 
     The first place of a chunk stays, also within one document. A null text stays
     null, an empty one empty; rows equal in id and text get the same result.
     """
-    packed = _keyed(df.select(F.struct("*").alias("row"), F.col(key).alias("id"), whole(text).alias("text"), F.col(text).isNull().alias("none")))
+    others = [F.col(c) for c in df.columns if c not in (key, text)]
+    rest = F.struct(*others) if others else F.lit(0)
+    packed = _keyed(df.select(F.col(key).alias("id"), whole(text).alias("text"), F.col(text).isNull().alias("none"), rest.alias("rest")))
     gone = repeated_chunks(packed, divisor, long_line).groupBy("id", "k1", "k2").agg(F.collect_set("pos").alias("gone"))
     # null ids meet by a marker column, as a join on null keys finds nothing
     some = F.coalesce(F.xxhash64("id"), F.lit(0))
@@ -100,12 +102,12 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor:
     right = gone.withColumns({"idh": some, "no_id": F.col("id").isNull()}).drop("id")
     joined = join_per_key(left, right, ["idh", "no_id", "k1", "k2"])
     cut = chunks(F.col("text"), divisor, long_line)
-    kept = F.filter(cut, lambda c: ~F.array_contains("gone", c["pos"]))
-    lost = F.filter(cut, lambda c: F.array_contains("gone", c["pos"]))
+    kept = let(cut, lambda cs: F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), "gone"), lambda p: F.get(cs, p)["text"]))
+    lost = let(cut, lambda cs: F.aggregate("gone", F.lit(0), lambda n, p: n + F.get(cs, p)["size"]))
     changed = F.col("gone").isNotNull()
-    clean = F.when(changed, F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).when(~F.col("none"), F.col("text"))
-    removed = F.when(changed, F.aggregate(lost, F.lit(0), lambda a, c: a + c["size"])).otherwise(F.lit(0))
-    return joined.select("row", clean.alias("text"), removed.cast("long").alias("removed"), F.coalesce(F.size("gone"), F.lit(0)).alias("chunks"))
+    clean = F.when(changed, F.array_join(kept, "\n")).when(~F.col("none"), F.col("text"))
+    removed = F.when(changed, lost).otherwise(F.lit(0))
+    return joined.select("id", clean.alias("text"), removed.cast("long").alias("removed"), F.greatest(F.size("gone"), F.lit(0)).alias("chunks"), "rest")
 
 
 def dedup_rows(documents: DataFrame) -> DataFrame:
@@ -113,6 +115,6 @@ def dedup_rows(documents: DataFrame) -> DataFrame:
     done = dedup_lines(documents.select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     return done.select(
-        "row.doc_id", F.col("removed").alias("n_removed_lines"), F.when(F.col("chunks") > 0, F.col("chunks")).otherwise(0).cast("long").alias("n_removed_chunks"),
+        F.col("id").alias("doc_id"), F.col("removed").alias("n_removed_lines"), F.col("chunks").cast("long").alias("n_removed_chunks"),
         F.length(left).cast("long").alias("n_chars_left"), F.sha2(left, 256).alias("text_sha256"),
     )

@@ -38,7 +38,7 @@ def test_chunks_make_up_the_text(spark, texts):
 def test_documents(spark, documents, texts):
     rows = sorted(texts.items())
     parts = cut(spark, [t for _, t in rows])
-    got = {r["row"].doc_id: r.text for r in line_chunks.dedup_lines(documents).collect()}
+    got = {r.id: r.text for r in line_chunks.dedup_lines(documents).collect()}
     assert got == dict(zip([k for k, _ in rows], expected(rows, parts)))
     assert got != texts
 
@@ -53,7 +53,7 @@ def test_boundaries_resist_shifts(spark):
 def test_long_passage_goes_everywhere_but_first(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"own line {i}\n{passage}\nlast {i}") for i in range(40)]
-    out = {r["row"].doc_id: (r.text, r.removed) for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.id: (r.text, r.removed) for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0] == (rows[0][1], 0)
     assert all(out[i] == (f"own line {i}\nlast {i}", 1) for i in range(1, 40))
 
@@ -61,7 +61,7 @@ def test_long_passage_goes_everywhere_but_first(spark):
 def test_short_single_lines_stay(spark):
     rows = [(i, f"all rights reserved\n{' '.join(f'w{i}x{j}' for j in range(50))}") for i in range(20)]
     out = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["row"].doc_id: r.text for r in out.collect()} == dict(rows)
+    assert {r.id: r.text for r in out.collect()} == dict(rows)
 
 
 def test_repeats_inside_one_document(spark):
@@ -71,7 +71,7 @@ def test_repeats_inside_one_document(spark):
 
 
 def test_odd_empty_and_clashing(odd, empty, clashing):
-    out = [(r["row"].doc_id, r.text, r.removed) for r in line_chunks.dedup_lines(odd).collect()]
+    out = [(r.id, r.text, r.removed) for r in line_chunks.dedup_lines(odd).collect()]
     assert len(out) == odd.count()
     assert [t for k, t, _ in out if k == 1] == [None] and [t for k, t, _ in out if k == 2] == [""]
     assert [t for k, t, _ in out if k is None] == ["a null id has a text of its own here"]

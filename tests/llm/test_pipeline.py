@@ -25,7 +25,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert rows_of(after) == [(k, t) for k, t in before if k in good]
             assert not [k for k in good if brute.quality(dict(before)[k])[-1]]
         elif name == "line dedup":
-            left = {r["row"].doc_id: r.text for r in line_chunks.dedup_lines(docs).collect()}
+            left = {r.id: r.text for r in line_chunks.dedup_lines(docs).collect()}
             assert rows_of(after) == [(k, left[k]) for k, t in before if brute.WORD.search(left[k]) or left[k] == t]
             assert all(r.n_chars == len(r.text) for r in after.collect())
         elif name == "near duplicates":
