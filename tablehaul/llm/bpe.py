@@ -15,6 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablehaul.llm.arrow import slices
+from tablehaul.llm.frequent import most_frequent
 from tablehaul.llm.lexicon import Lexicon, compile_lexicon
 from tablehaul.session import scratch_path
 
@@ -137,8 +138,10 @@ def _ship(spark: SparkSession, flat: np.ndarray) -> str:
 
 
 def build_lexicon(df: DataFrame, text: str, vocabulary: Vocabulary, size: int) -> str:
-    """Compile the ``size`` most frequent words of the whole corpus, ties in word order, and ship them."""
-    top = count_words(df, text).orderBy(F.desc("n"), "word").limit(size)
+    """Compile the most frequent words of the whole corpus, ``size`` at most, and ship them."""
+    path = scratch_path(df.sparkSession, "word-counts")
+    count_words(df, text).write.parquet(path)
+    top = most_frequent(df.sparkSession.read.parquet(path), size)
     find = regex.compile(PATTERN).findall
     entries = []
     for row in top.collect():
