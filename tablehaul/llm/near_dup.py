@@ -142,7 +142,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFram
 #: Buckets of so many members give their pairs to the verification; larger ones are verified where they are compared.
 SMALL = 16
 #: Members of a large bucket that one task compares with as many others at a time.
-SIDE = 256
+SIDE = 512
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
