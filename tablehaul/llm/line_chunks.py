@@ -1,16 +1,18 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines, and by passages of whole lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablehaul.llm.columns import WHITE, let, whole
+from tablehaul.llm.columns import WHITE, let, running_sums, whole, words
 from tablehaul.operators.skew import join_per_key
 
 #: A boundary follows a line when the hash of it and the line before is 0 modulo this: two lines a chunk on average.
 DIVISOR = 2
 #: A line of so many words is a chunk of its own.
 LONG_LINE = 40
+#: A passage has more words than this.
+PASSAGE = 50
 
 CHUNK = "array<struct<pos:int,first:int,size:int,text:string,long:boolean>>"
 
@@ -54,6 +56,11 @@ def chunks(text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) ->
     return let(F.split(text, "\n", -1), cut).cast(CHUNK)
 
 
+def _counts(c: Column) -> Column:
+    """If a chunk has two lines that aren't blank, or is one long line."""
+    return c["long"] | ((c["size"] > 1) & c["text"].rlike(r"[^\s][ \t\r\f\x0B]*\n[\s]*[^\s]"))
+
+
 def _keyed(packed: DataFrame) -> DataFrame:
     """Rows under the key of their id and text; equal rows are one document listed twice."""
     return packed.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
@@ -70,8 +77,7 @@ def repeated_chunks(keyed: DataFrame, divisor: int, long_line: int) -> DataFrame
     group; its places are then found by a join that splits hot keys.
     """
     parts = keyed.select("id", "k1", "k2", F.explode(chunks(F.col("text"), divisor, long_line)).alias("c"))
-    counts = F.col("c.long") | ((F.col("c.size") > 1) & F.col("c.text").rlike(r"[^\s][ \t\r\f\x0B]*\n[\s]*[^\s]"))
-    rows = parts.where(counts).select(
+    rows = parts.where(_counts(F.col("c"))).select(
         "id", "k1", "k2", F.col("c.pos").alias("pos"), F.col("c.text").alias("chunk"),
         F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(1), F.col("c.text")).alias("h2"),
     )
@@ -86,21 +92,30 @@ def repeated_chunks(keyed: DataFrame, divisor: int, long_line: int) -> DataFrame
     return hits.where(~place.eqNullSafe(F.col("first"))).select("id", "k1", "k2", "pos")
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """(id, text, removed, chunks, rest): the text without repeated chunks, what was taken out, and the other columns.
-
-    The first place of a chunk stays, also within one document. A null text stays
-    null, an empty one empty; rows equal in id and text get the same result.
-    """
+def _packed(df: DataFrame, text: str, key: str) -> DataFrame:
     others = [F.col(c) for c in df.columns if c not in (key, text)]
     rest = F.struct(*others) if others else F.lit(0)
-    packed = _keyed(df.select(F.col(key).alias("id"), whole(text).alias("text"), F.col(text).isNull().alias("none"), rest.alias("rest")))
-    gone = repeated_chunks(packed, divisor, long_line).groupBy("id", "k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    return _keyed(df.select(F.col(key).alias("id"), whole(text).alias("text"), F.col(text).isNull().alias("none"), rest.alias("rest")))
+
+
+def _with_gone(packed: DataFrame, hits: DataFrame) -> DataFrame:
+    """Adds ``gone``, the set of a document's ``pos`` in ``hits``; null if it has none."""
+    gone = hits.groupBy("id", "k1", "k2").agg(F.collect_set("pos").alias("gone"))
     # null ids meet by a marker column, as a join on null keys finds nothing
     some = F.coalesce(F.xxhash64("id"), F.lit(0))
     left = packed.withColumns({"idh": some, "no_id": F.col("id").isNull()})
     right = gone.withColumns({"idh": some, "no_id": F.col("id").isNull()}).drop("id")
-    joined = join_per_key(left, right, ["idh", "no_id", "k1", "k2"])
+    return join_per_key(left, right, ["idh", "no_id", "k1", "k2"])
+
+
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
+    """(id, text, removed, chunks, rest): the text without repeated chunks, what was taken out, and the other columns.
+
+    The first place of a chunk stays, also within one document. A null text stays
+    null, an empty one empty; rows equal in id and text get the same result.
+    """
+    packed = _packed(df, text, key)
+    joined = _with_gone(packed, repeated_chunks(packed, divisor, long_line))
     cut = chunks(F.col("text"), divisor, long_line)
     kept = let(cut, lambda cs: F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), "gone"), lambda p: F.get(cs, p)["text"]))
     lost = let(cut, lambda cs: F.aggregate("gone", F.lit(0), lambda n, p: n + F.get(cs, p)["size"]))
@@ -110,9 +125,124 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", divisor:
     return joined.select("id", clean.alias("text"), removed.cast("long").alias("removed"), F.greatest(F.size("gone"), F.lit(0)).alias("chunks"), "rest")
 
 
+def windows(lines: Column, most: int = PASSAGE) -> Column:
+    """Runs of lines of just over ``most`` words, as array<struct<first:int,last:int>>.
+
+    For each line that isn't blank, the shortest run of over ``most`` words that
+    begins with it and the shortest that ends with it. Every line of a passage of
+    over ``most`` words is in a window inside the passage, so two copies of it
+    share windows that cover them, whatever lines stand around.
+    """
+    full = F.filter(
+        F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("at"), F.size(words(x)).cast("bigint").alias("n"))), lambda x: x["n"] > 0
+    )
+
+    def runs(at: Column, before: Column) -> Column:
+        # before: words before each full line, and of all; a window has most + 1 full lines at most
+        def ahead(i: Column) -> Column:
+            return i + F.size(F.filter(F.slice(before, i + 2, F.lit(most + 1)), lambda p: p - F.get(before, i) <= most))
+
+        def back(i: Column) -> Column:
+            start = F.greatest(i - most, F.lit(0))
+            return i - F.size(F.filter(F.slice(before, start + 1, i - start + 1), lambda p: F.get(before, i + 1) - p <= most))
+
+        run = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+        both = F.concat(F.transform(at, lambda a, i: run(a, F.get(at, ahead(i)))), F.transform(at, lambda a, i: run(F.when(back(i) >= 0, F.get(at, back(i))), a)))
+        return F.filter(both, lambda r: r["first"].isNotNull() & r["last"].isNotNull())
+
+    def summed(f: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), running_sums(F.transform(f, lambda x: x["n"])))
+        return let(before, lambda b: runs(F.transform(f, lambda x: x["at"]), b))
+
+    return let(full, summed)
+
+
+def units(text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE, most: int = PASSAGE) -> Column:
+    """The distinct runs of lines that are compared: chunks that count, and windows; with the sha-256 of their bytes."""
+    chunked = F.transform(F.filter(chunks(text, divisor, long_line), _counts), lambda c: F.struct(c["first"].alias("first"), (c["first"] + c["size"] - 1).alias("last")))
+    code = lambda r: F.shiftleft(r["first"].cast("bigint"), 32) + r["last"]
+
+    def hashed(lines: Column) -> Column:
+        def one(p: Column) -> Column:
+            first = F.shiftright(p, 32).cast("int")
+            last = p.bitwiseAND(F.lit(2**31 - 1)).cast("int")
+            run = F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+            return F.struct(p.alias("pos"), F.unhex(F.sha2(run, 256)).alias("hash"))
+
+        # as numbers, of which array_distinct has a hash set
+        return F.transform(F.array_distinct(F.transform(F.concat(chunked, windows(lines, most)), code)), one)
+
+    return let(F.split(text, "\n", -1), hashed)
+
+
+def repeated_units(keyed: DataFrame, divisor: int, long_line: int, most: int) -> DataFrame:
+    """(id, k1, k2, pos): the runs of lines that an earlier place holds, places ordered as in ``repeated_chunks``.
+
+    Runs are equal if their sha-256 is, so that no text is shuffled with them.
+    """
+    parts = keyed.select("id", "k1", "k2", F.explode(units(F.col("text"), divisor, long_line, most)).alias("u"))
+    rows = parts.select("id", "k1", "k2", "u.pos", "u.hash")
+    place = F.struct("id", "k1", "k2", "pos")
+    groups = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    hits = join_per_key(rows, groups, ["hash"], "inner")
+    return hits.where(~place.eqNullSafe(F.col("first"))).select("id", "k1", "k2", "pos")
+
+
+def _merged(gone: Column) -> Column:
+    """Runs (numbers of ``units``) as disjoint runs in order: array<struct<first:int,last:int>>."""
+    runs = F.transform(
+        F.array_sort(gone), lambda p: F.struct(F.shiftright(p, 32).cast("int").alias("first"), p.bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("last"))
+    )
+    kind = "struct<done:array<struct<first:int,last:int>>,now:struct<first:int,last:int>>"
+    none = F.struct(F.array().alias("done"), F.lit(None).alias("now")).cast(kind)
+
+    def step(s: Column, r: Column) -> Column:
+        now, done = s["now"], s["done"]
+        joins = r["first"] <= now["last"] + 1
+        longer = F.struct(now["first"].alias("first"), F.greatest(now["last"], r["last"]).alias("last"))
+        ended = F.when(now.isNull() | joins, done).otherwise(F.concat(done, F.array(now)))
+        return F.struct(ended.alias("done"), F.when(joins, longer).otherwise(r).alias("now")).cast(kind)
+
+    return F.aggregate(runs, none, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+
+
+def dedup_passages(
+    df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, long_line: int = LONG_LINE, most: int = PASSAGE
+) -> DataFrame:
+    """(id, text, removed, chunks, rest) like ``dedup_lines``, without repeated passages of over ``most`` words as well.
+
+    A passage is a run of whole lines of any length that an earlier place holds
+    byte for byte; it goes whole, with the blank lines between two runs that go.
+    ``chunks`` counts the runs of lines taken out. A line that goes is kept at an
+    earlier place, so no line is lost.
+    """
+    packed = _packed(df, text, key)
+    joined = _with_gone(packed, repeated_units(packed, divisor, long_line, most))
+
+    def cut(lines: Column) -> Column:
+        def left(runs: Column) -> Column:
+            def gap(k: Column) -> Column:
+                start = F.when(k == 0, F.lit(0)).otherwise(F.get(runs, k - 1)["last"] + 1)
+                end = F.when(k == F.size(runs), F.size(lines)).otherwise(F.get(runs, k)["first"])
+                lying = F.slice(lines, start + 1, end - start)
+                inner = (k > 0) & (k < F.size(runs))
+                return F.when(inner & ~F.exists(lying, lambda x: x.rlike(r"[^ \t-\r]")), F.array().cast("array<string>")).otherwise(lying)
+
+            kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), gap))
+            return let(kept, lambda x: F.struct(F.array_join(x, "\n").alias("text"), (F.size(lines) - F.size(x)).alias("removed"), F.size(runs).alias("chunks")))
+
+        return let(_merged(F.col("gone")), left)
+
+    changed = F.col("gone").isNotNull()
+    done = joined.withColumn("cut", F.when(changed, let(F.split(F.col("text"), "\n", -1), cut)))
+    clean = F.when(changed, F.col("cut.text")).when(~F.col("none"), F.col("text"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return done.select("id", clean.alias("text"), number("cut.removed").cast("long").alias("removed"), number("cut.chunks").alias("chunks"), "rest")
+
+
 def dedup_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, lines and chunks taken out, digest and length of what is left."""
-    done = dedup_lines(documents.select("doc_id", "text"))
+    """doc_id, lines and runs of lines taken out, digest and length of what is left."""
+    done = dedup_passages(documents.select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     return done.select(
         F.col("id").alias("doc_id"), F.col("removed").alias("n_removed_lines"), F.col("chunks").cast("long").alias("n_removed_chunks"),
