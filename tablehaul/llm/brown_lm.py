@@ -18,9 +18,9 @@ from tablehaul.llm.shingles import Lookup, word_hashes_and_ends
 from tablehaul.session import scratch_path
 
 # Parameters of the model; they bound what driver and tasks hold, whatever the corpus.
-CLUSTERED = 8192  # most frequent words, which exchange clustering assigns to classes
+CLUSTERED = 8192  # most frequent words, which exchange clustering assigns to classes; every other word joins one of these
 CLASSES = 64
-ENDINGS = 32  # classes of all other words, by their last byte
+ENDINGS = 32  # classes of all other words until they are assigned, by their last byte
 HELD = 262_144  # most frequent words whose counts every task holds; the others' are joined
 ROUNDS = 3  # of counting and exchanging
 ADD = 0.1  # added to every word's count, as in the base score
@@ -49,9 +49,14 @@ class Model:
     ends: int = 0  # training texts
     transition: np.ndarray | None = None  # log10 P(class | class before)
     below: np.ndarray | None = None  # log10 of each class's emission denominator
+    pairs: np.ndarray | None = None  # counts of class pairs
+    every: np.ndarray | None = None  # class of each held word, once all words are assigned
+    unseen: np.ndarray | None = None  # class of a word that training lacks, by its ending
 
     def classes(self) -> np.ndarray:
         """The class of each held word."""
+        if self.every is not None:
+            return self.every
         out = FIRST_ENDING + (self.endings.astype(np.int64) % ENDINGS)
         known = self.word >= 0
         out[known] = self.assigned[self.word[known]]
@@ -190,7 +195,7 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     context = train.sparkSession.sparkContext
     ends = train.count()
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(vocabulary, HELD).select("h", "e", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+    top = most_frequent(vocabulary, HELD, part="h").select("h", "e", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
     h, e, n = (top.column(c).to_numpy() for c in ("h", "e", "n"))
     order = np.argsort(h.view(np.uint64))
     word = np.where(np.arange(len(h)) < CLUSTERED, np.arange(len(h)), -1)[order]
@@ -213,24 +218,133 @@ def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
     words[END] = 1
     words[FIRST_ENDING:] += 1  # one more for words that training lacks
 
+    return with_probabilities(model, pairs, words)
+
+
+def with_probabilities(model: Model, pairs: np.ndarray, words: np.ndarray) -> Model:
+    """The model with the probabilities that follow from the class pairs and the words of each class."""
     own = pairs.sum(axis=0).astype(np.float64)
     frequency = (own + 1) / (own.sum() + ALL)
     transition = np.log10((pairs + BACK * frequency[None, :]) / (pairs.sum(axis=1)[:, None] + BACK))
     below = np.log10(np.maximum(own + ADD * words, ADD))
-    return replace(model, transition=transition, below=below)
+    return replace(model, transition=transition, below=below, pairs=pairs)
 
 
-def score(df: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(``key``, ``carry``, n_tokens, n_known, base_score, score) for every row.
+def neighbours(train: DataFrame, shared) -> DataFrame:
+    """(h, around): for every word that isn't clustered, its pairs of classes before and after it, each as count * ALL^2 + before * ALL + after."""
 
-    A task knows the counts of the ``HELD`` words. A text's other words are joined
-    with the vocabulary by their hash, once per text and word, and summed per row.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        lookup, classes = Lookup(own.hashes), own.classes()
+        for part in slices(batches, "text"):
+            cls, place, h, at, _ = sequence(own, lookup, classes, part.column("text").to_pylist())
+            free = place < 0
+            free[~free] = own.word[place[~free]] < 0
+            spot = at[free]
+            key = np.where(spot > 0, cls[spot - 1], END) * ALL + cls[spot + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(h[free].view(np.int64)), pa.array(key.astype(np.int32))], ["h", "key"])
+
+    # dealt by the word alone, which serves both aggregations; frequent words are clustered, so none is hot
+    counts = train.mapInArrow(find, "h bigint, key int").repartition("h").groupBy("h", "key").agg(F.count("*").alias("n"))
+    return counts.groupBy("h").agg(F.collect_list(F.col("n") * F.lit(ALL * ALL) + F.col("key")).alias("around"))
+
+
+class Gains:
+    """For words with given counts around them, the class that raises the likelihood of the class bigrams most."""
+
+    SMALL = 8  # counts up to this are looked up
+
+    def __init__(self, pairs: np.ndarray):
+        m = pairs.astype(np.float64)
+        targets = slice(FIRST_CLASS, FIRST_ENDING)
+        self.near = np.concatenate([m[:, targets], m[targets, :].T])  # by side * ALL + class
+        self.rows, self.cols = m.sum(axis=1)[targets], m.sum(axis=0)[targets]
+        # words are scored apart, and all rare ones would take an empty class for themselves
+        self.barred = np.where((self.rows + self.cols == 0) & (self.rows + self.cols).any(), np.inf, 0)
+        self.table = np.stack([self.more(self.near, n) for n in range(1, self.SMALL + 1)])
+
+    @staticmethod
+    def more(x: np.ndarray, n) -> np.ndarray:
+        return (x + n) * np.log(x + n) - x * np.log(np.maximum(x, 1))
+
+    def best(self, key: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The class of each word; its counts are those from its start to the next."""
+        gain = self.table[np.minimum(n, self.SMALL) - 1, key]
+        big = np.flatnonzero(n > self.SMALL)
+        gain[big] = self.more(self.near[key[big]], n[big, None])
+        total = np.add.reduceat(gain, starts, axis=0)
+        times = np.add.reduceat(np.where(key < ALL, n, 0), starts)[:, None]
+        return FIRST_CLASS + np.argmax(total - self.more(self.rows, times) - self.more(self.cols, times) - self.barred, axis=1)
+
+
+def assign(train: DataFrame, model: Model, path: str) -> DataFrame:
+    """(h, cls), written to ``path``: a class for every training word that isn't clustered.
+
+    Each word goes where the likelihood of the class bigrams gains most, by its
+    own counts against those of the fitted model; words are scored apart.
+    """
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(shared.value.pairs)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):  # of 2 ALL counts each at most
+                part = batch.slice(first, 256)
+                around = part.column("around")
+                code = around.flatten().to_numpy(zero_copy_only=False)
+                word = np.repeat(np.arange(part.num_rows), around.value_lengths().to_numpy(zero_copy_only=False))
+                n, key = np.divmod(code, ALL * ALL)
+                cells = np.concatenate([word * (2 * ALL) + key // ALL, word * (2 * ALL) + ALL + key % ALL])
+                sums = np.bincount(cells, np.concatenate([n, n]), part.num_rows * 2 * ALL).astype(np.int64)
+                some = np.flatnonzero(sums)
+                starts = np.searchsorted(some, np.arange(part.num_rows) * (2 * ALL))
+                cls = gains.best(some % (2 * ALL), sums[some], starts)
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls.astype(np.int32))], ["h", "cls"])
+
+    neighbours(train, shared).mapInArrow(choose, "h bigint, cls int").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def widen(model: Model, assigned: DataFrame) -> Model:
+    """The model with the classes of all held words, and of words that training lacks by their ending.
+
+    An ending goes to the class that gains most by the counts of all its words.
+    """
+    shared = assigned.sparkSession.sparkContext.broadcast(model.hashes)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value)
+        for batch in batches:
+            found = lookup.find(batch.column("h").to_numpy().view(np.uint64)) >= 0
+            yield batch.filter(pa.array(found))
+
+    some = assigned.mapInArrow(held, "h bigint, cls int").toArrow()
+    every = model.classes().copy()
+    every[np.searchsorted(model.hashes, some.column("h").to_numpy().view(np.uint64))] = some.column("cls").to_numpy()
+    gains, unseen = Gains(model.pairs), np.full(ENDINGS, FIRST_CLASS)
+    for i in range(ENDINGS):
+        n = np.concatenate([model.pairs[:, FIRST_ENDING + i], model.pairs[FIRST_ENDING + i, :]])
+        key = np.flatnonzero(n)
+        if len(key):
+            unseen[i] = gains.best(key, n[key], np.zeros(1, np.int64))[0]
+    return replace(model, every=every, unseen=unseen)
+
+
+def typed(df: DataFrame, model: Model, vocabulary: DataFrame, path: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(``_key``, ``_carry``, n_tokens, n_known, base_score, words, cls) for every row, written to ``path``.
+
+    ``words`` is the sum of the logs of the counts, ``cls`` has the class of every
+    token and of the end as 16-bit numbers. A task knows the ``HELD`` words; a
+    text's other words are joined with the ``vocabulary`` (h, n, cls) by their
+    hash, once per text and word.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     narrow = df.select(*[F.col(c).alias(f"_{c}") for c in (key, *carry)], F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = [f"_{c}" for c in (key, *carry)]
     fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in names)
+    numbers = "n_tokens bigint, n_known bigint, base_score double, words double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -242,48 +356,127 @@ def score(df: DataFrame, model: Model, vocabulary: DataFrame, key: str = "doc_id
             cls, place, h, at, sizes = sequence(own, lookup, classes, part.column("text").to_pylist())
             rows = len(sizes)
             text_of = np.repeat(np.arange(rows), sizes)
-            before = np.concatenate([[END], cls[:-1]])
             found = place >= 0
             word_logs = np.zeros(len(cls))
             word_logs[at[found]] = logs[place[found]]
-            model_logs = own.transition[before, cls] + word_logs - own.below[cls]
-            is_end = np.ones(len(cls), bool)
-            is_end[at] = False
-            model_logs[is_end] = own.transition[before[is_end], END]
-            word_logs[is_end] = ends
+            words = np.bincount(text_of, word_logs, rows)
             known = np.bincount(text_of[at[found]], minlength=rows) + int(own.ends > 0)
+            ending = cls[at[~found]] - FIRST_ENDING
             owner, rest = text_of[at[~found]], h[~found]
             order = np.lexsort((rest, owner))
-            owner, rest = owner[order], rest[order]
-            new = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])])) if len(rest) else np.zeros(0, np.int64)
+            by_text, by_word = owner[order], rest[order]
+            first = np.concatenate([[True], (by_word[1:] != by_word[:-1]) | (by_text[1:] != by_text[:-1])]) if len(rest) else np.zeros(0, bool)
+            new = np.flatnonzero(first)
             times = np.diff(np.concatenate([new, [len(rest)]]))
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=rows))]).astype(np.int32)
+            per_text = np.bincount(by_text[new], minlength=rows)
+            cuts = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
+            # a token of another word has -1 - its place in the text's list of them
+            spot = np.empty(len(rest), np.int64)
+            spot[order] = np.cumsum(first) - 1
+            tokens = cls.astype(np.int32)
+            tokens[at[~found]] = -1 - (spot - cuts[owner])
+            edges = np.concatenate([[0], np.cumsum(sizes)])
             lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, kind))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[part.column(c) for c in names], pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)),
-                    pa.array(np.bincount(text_of, word_logs, rows) - sizes * base_below), pa.array(np.bincount(text_of, model_logs, rows)),
-                    lists(rest[new].view(np.int64), pa.int64()), lists(times, pa.int32()),
+                    pa.array(words + ends - sizes * base_below), pa.array(words),
+                    pa.array([tokens[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], pa.binary()),
+                    lists(by_word[new].view(np.int64), pa.int64()), lists(times, pa.int32()), lists(ending[order][new], pa.int32()),
                 ],
-                [*names, "n_tokens", "n_known", "base_score", "score", "rest", "times"],
+                [*names, "n_tokens", "n_known", "base_score", "words", "tokens", "rest", "times", "endings"],
             )
 
-    partly = narrow.mapInArrow(run, f"{fields}, n_tokens bigint, n_known bigint, base_score double, score double, rest array<bigint>, times array<int>")
-    path = scratch_path(spark, "scores")
-    partly.withColumn("rid", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    rest = rows.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("rid", F.col("w.rest").alias("h"), F.col("w.times").alias("k"))
-    counts = rest.join(vocabulary.select("h", "n"), "h", "left")
-    sums = counts.groupBy("rid").agg(
+    partly = narrow.mapInArrow(run, f"{fields}, {numbers}, tokens binary, rest array<bigint>, times array<int>, endings array<int>")
+    partly.withColumn("rid", F.monotonically_increasing_id()).write.parquet(f"{path}/held")
+    rows = spark.read.parquet(f"{path}/held")
+    rest = rows.select("rid", F.posexplode(F.arrays_zip("rest", "times", "endings")).alias("i", "w"))
+    rest = rest.select("rid", "i", F.col("w.rest").alias("h"), F.col("w.times").alias("k"), F.col("w.endings").alias("e"))
+    unseen = F.get(F.array(*[F.lit(int(c)) for c in model.unseen]), F.col("e"))
+    sums = rest.join(vocabulary, "h", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
+        F.collect_list(F.col("i").cast("bigint") * F.lit(ALL) + F.coalesce("cls", unseen)).alias("own"),
     )
-    whole = rows.drop("rest", "times").join(sums, "rid", "left")
+    whole = rows.drop("rest", "times", "endings").join(sums, "rid", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return whole.select(
-        *[F.col(c).alias(c[1:]) for c in names], "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
+    known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
+    whole = whole.select(*names, "n_tokens", known.alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("words") + more).alias("words"), "tokens", "own")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "tokens"):
+            done = []
+            own, sizes = part.column("own").flatten().to_numpy(zero_copy_only=False), part.column("own").value_lengths().fill_null(0).to_pylist()
+            start = 0
+            for data, size in zip(part.column("tokens").to_pylist(), sizes):
+                tokens = np.frombuffer(data, np.int32)
+                if size:
+                    code = own[start : start + size]
+                    classes = np.empty(size, np.int32)
+                    classes[code // ALL] = code % ALL
+                    tokens = np.where(tokens < 0, classes[np.maximum(-1 - tokens, 0)], tokens)
+                    start += size
+                done.append(tokens.astype(np.int16).tobytes())
+            kept = [part.column(c) for c in (*names, "n_tokens", "n_known", "base_score", "words")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(done, pa.binary())], [*names, "n_tokens", "n_known", "base_score", "words", "cls"])
+
+    whole.mapInArrow(fill, f"{fields}, {numbers}, cls binary").write.parquet(f"{path}/all")
+    return spark.read.parquet(f"{path}/all")
+
+
+def pair_counts(rows: DataFrame) -> np.ndarray:
+    """Counts of class pairs in ``cls``; a task sends one array."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(ALL * ALL, np.int64)
+        for part in slices(batches, "cls"):
+            cls = np.frombuffer(b"".join(part.column("cls").to_pylist()), np.int16).astype(np.int64)
+            pairs += np.bincount(np.concatenate([[END], cls[:-1]]) * ALL + cls, minlength=ALL * ALL)
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(pairs[some])], ["pair", "n"])
+
+    out = np.zeros(ALL * ALL, np.int64)
+    for r in rows.select("cls").mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    return out.reshape(ALL, ALL)
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``typed`` with ``score`` for their classes."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c not in ("words", "cls")]
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        below = own.below.copy()
+        below[END] = 0
+        for part in slices(batches, "cls"):
+            cls = np.frombuffer(b"".join(part.column("cls").to_pylist()), np.int16).astype(np.int64)
+            text_of = np.repeat(np.arange(part.num_rows), part.column("n_tokens").to_numpy())
+            logs = own.transition[np.concatenate([[END], cls[:-1]]), cls] - below[cls]
+            total = np.bincount(text_of, logs, part.num_rows) + part.column("words").to_numpy()
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(total)], [*names, "score"])
+
+    return rows.mapInArrow(run, f"{fields}, score double").withColumnsRenamed({c: c[1:] for c in names if c.startswith("_")})
+
+
+def lm_table(rows: DataFrame, train: DataFrame, vocabulary: DataFrame, path: str) -> tuple[DataFrame, Model, DataFrame]:
+    """``typed`` rows (with ``_held_out``), the model in which every training word has a class, and (h, n, cls) of the words that aren't clustered."""
+    spark = rows.sparkSession
+    seed = fit(train, vocabulary)
+    assigned = assign(train, seed, f"{path}/assigned")
+    model = widen(seed, assigned)
+    vocabulary.select("h", "n").join(assigned, "h").write.parquet(f"{path}/words")
+    others = spark.read.parquet(f"{path}/words")
+    table = typed(rows, model, others, f"{path}/typed", carry=("held_out",))
+    words = np.zeros(ALL)
+    for r in others.groupBy("cls").agg(F.count("*").alias("words")).collect():
+        words[r.cls] += r.words
+    np.add.at(words, model.assigned[model.word[model.word >= 0]], 1)
+    words[END] = 1
+    np.add.at(words, model.unseen, 1)  # one more per ending for words that training lacks
+    return table, with_probabilities(model, pair_counts(table.where(~F.col("_held_out"))), words), others
 
 
 def lm_rows(documents: DataFrame) -> DataFrame:
@@ -299,6 +492,6 @@ def lm_rows(documents: DataFrame) -> DataFrame:
     path = scratch_path(spark, "vocabulary")
     count_words(train).write.parquet(path)
     vocabulary = spark.read.parquet(path)
-    model = fit(train, vocabulary)
-    scored = score(rows, model, vocabulary, carry=("held_out",))
+    table, model, _ = lm_table(rows, train, vocabulary, scratch_path(spark, "class-lm"))
+    scored = score(table, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
