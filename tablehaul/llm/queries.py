@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, quality, revisits, secrets, sql
+from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, prefix_trie, quality, revisits, secrets, sql
 from tablehaul.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op3_host_reputation": sql.HOST_REPUTATION,
     "op5_revisits": sql.REVISITS,
     "op10_rule_ledger": sql.RULE_LEDGER,
+    "op11_prefix_trie": sql.PREFIX_TRIE,
 }
 
 
@@ -75,3 +76,8 @@ def op9_bpe_lexicon(spark, sf_dir):
 @query
 def op10_rule_ledger(spark, sf_dir):
     return quality.quality_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie_rows(table(spark, sf_dir, "conversations"))

@@ -66,3 +66,21 @@ REVISITS = r"""WITH n AS (SELECT page_id, url, html, coalesce(page_id, 0) AS n,
         'last-modified: ' || modified], lambda x: x IS NOT NULL), chr(10)) END AS headers,
       CASE WHEN ok THEN sha256(html) END AS payload_sha256
     FROM (SELECT *, outcome IN ('resolved', 'unchecked') AS ok FROM checked)"""
+
+# crc32 of the decimal id, bit by bit; 3988292384 is its polynomial
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+PREFIX_TRIE = rf"""WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT c, turn, sha256(length(role) || ':' || role || text) AS k, len(list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '')) AS w FROM said),
+    own AS (SELECT c, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(w ORDER BY turn NULLS FIRST, k) AS ws, {_CRC32} % 4 AS h FROM t GROUP BY c),
+    rebuilt AS (SELECT a.c, coalesce(b.ks[1:a.h], []) || a.ks[a.h + 1:] AS ks, coalesce(b.ws[1:a.h], []) || a.ws[a.h + 1:] AS ws
+      FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+    m AS (SELECT c, d, array_to_string(ks[1:d], '') AS node, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ks) AS ends FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM rebuilt)),
+    n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM m GROUP BY node, d),
+    kids AS (SELECT substr(node, 1, 64 * (d - 1)) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+    whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node)),
+    sums AS (SELECT above AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens
+      FROM (SELECT *, substr(node, 1, 64 * unnest(range(0, d + 1))) AS above FROM whole) GROUP BY above)
+    SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ids) AS ends_sha256
+    FROM whole w JOIN sums USING (node) LEFT JOIN n p ON w.d > 0 AND p.node = substr(w.node, 1, 64 * (w.d - 1))"""
