@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, prefix_trie, quality, revisits, secrets, sql
+from tablehaul.llm import bpe, brown_lm, decontaminate, hosts, line_chunks, near_dup, pii, prefix_trie, quality, revisits, secrets, simhash, sql, vector_codes
 from tablehaul.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op10_rule_ledger(spark, sf_dir):
 @query
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie_rows(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_simhash_ring(spark, sf_dir):
+    return simhash.simhash_rows(table(spark, sf_dir, "documents"), k=4, bits=4)
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.vector_rows(table(spark, sf_dir, "embeddings"))
