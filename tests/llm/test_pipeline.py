@@ -1,10 +1,12 @@
 import re
 
 import corpus_pipeline
-from tablehaul.llm import line_chunks, quality
+from tablehaul.llm import quality
 from tests.llm import brute
 from tests.llm.test_bpe import want as encoded
 from tests.llm.test_decontaminate import wanted as contaminated
+from tests.llm.test_line_chunks import cut
+from tests.llm.test_passages import expected as passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,8 +27,9 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert rows_of(after) == [(k, t) for k, t in before if k in good]
             assert not [k for k in good if brute.quality(dict(before)[k])[-1]]
         elif name == "line dedup":
-            left = {r.id: r.text for r in line_chunks.dedup_lines(docs).collect()}
+            left = dict(zip([k for k, _ in before], [t for t, _ in passages(before, cut(spark, [t for _, t in before]))]))
             assert rows_of(after) == [(k, left[k]) for k, t in before if brute.WORD.search(left[k]) or left[k] == t]
+            assert left != dict(before)
             assert all(r.n_chars == len(r.text) for r in after.collect())
         elif name == "near duplicates":
             roots = brute.near_groups([t for _, t in before], 5)
