@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks leave the texts; a document that had text and has no word left goes."""
-    done = line_chunks.dedup_lines(docs)
+    """Repeated chunks and passages leave the texts; a document that had text and has no word left goes."""
+    done = line_chunks.dedup_passages(docs)
     kept = done.where((F.col("chunks") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     length = F.when(F.col("chunks") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
     fields = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": length}
