@@ -5,14 +5,14 @@ from __future__ import annotations
 import heapq
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablehaul.llm.arrow import slices
 from tablehaul.llm.frequent import most_frequent
@@ -26,6 +26,8 @@ REMEMBERED = 400_000
 #: Fixed value: how the tokenizer cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 48
+#: Words of more bytes are in no lexicon and are not remembered, so memory is bounded; they are merged each time.
+LONGEST = 64
 MASK, NONE = (1 << 32) - 1, 1 << 62
 
 
@@ -118,9 +120,9 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
 
     A word reaches from a space to the next one, punctuation and line ends
     included. Words that are empty or start with white space are left out: the
-    tokenizer doesn't cut before their space.
+    tokenizer doesn't cut before their space. Words of over ``LONGEST`` bytes are left out as well.
     """
-    rows = df.select(F.explode(F.slice(F.split(F.col(text), " ", -1), 2, (1 << 31) - 1)).alias("word"))
+    rows = df.select(F.explode(F.slice(F.split(F.col(text), " ", -1), 2, (1 << 31) - 1)).alias("word")).where(F.octet_length("word") <= LONGEST)
     return rows.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("word").rlike(r"^\S"))
 
 
@@ -181,7 +183,9 @@ class Encoder:
         for piece in self.find(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
+                ids = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
+                if len(piece) <= LONGEST:
+                    self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -191,11 +195,17 @@ class Encoder:
             self.known.clear()
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        todo = [w for w in words if w not in self.known and w and not self.white(w)]
+        todo = [w for w in words if w not in self.known and w and len(w) <= LONGEST and not self.white(w)]
         spaced = [" " + w for w in todo]
         for word, full, ids in zip(todo, spaced, self.lexicon.find([x.encode() for x in spaced])):
             self.known[word] = self.plain(full) if ids is None else ids
 
+    def after_space(self, word: str) -> bytes:
+        """The ids of a word and the space before it; KeyError where the tokenizer doesn't cut before that space."""
+        if len(word) > LONGEST and not self.white(word):
+            return self.plain(" " + word)
+        return self.known[word]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [text.split(" ") for text in texts]
         self.learn(set().union(*split))
@@ -206,7 +216,7 @@ class Encoder:
                 out.append(b"".join(np.array([self.vocabulary.special[x]], "<u4").tobytes() if i % 2 else self.plain(x) for i, x in enumerate(parts)))
                 continue
             try:
-                out.append(self.plain(words[0]) + b"".join(map(self.known.__getitem__, words[1:])))
+                out.append(self.plain(words[0]) + b"".join(map(self.after_space, words[1:])))
             except KeyError:  # white space beside a space
                 out.append(self.plain(text))
         return out
@@ -222,35 +232,42 @@ class Encoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def encode(df: DataFrame, text: str = "text", keep: str = "doc_id", tokenizer: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:
-    """(``keep``, ids, decoded) for every row: ids as little-endian unsigned 32-bit integers, and the text they decode to.
+def encode(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), tokenizer: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:
+    """The columns ``keep``, ids and decoded for every row: ids as little-endian unsigned 32-bit integers, and the text they decode to.
 
     Two passes: the first counts words for the lexicon, the second splits each
     whole text into words and takes their ids from the memory-mapped lexicon or, if
     it lacks a word, from merging it. Special tokens in a text get their own ids. A
-    null text counts as empty and has no ids; equal rows get equal results. Texts
+    null text counts as empty and has no ids; equal rows get equal results; an empty table gives no rows. Texts
     are never shuffled, and a task works on a few MB of them at a time.
     """
     spark = df.sparkSession
     own = Vocabulary(tokenizer or default_tokenizer())
     name = build_lexicon(df, text, own, size)
     vocabulary = spark.sparkContext.broadcast(own)
-    narrow = df.select(F.col(keep).alias("_key"), F.col(text).alias("text"))
+    narrow = df.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, _mapped(name))
         for part in slices(batches, "text"):
             ids = encoder.ids([value or "" for value in part.column("text").to_pylist()])
             decoded = encoder.decode(ids)
-            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["_key", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["kept", "ids", "decoded"])
+
+    schema = T.StructType([narrow.schema["kept"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return narrow.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in keep], "ids", "decoded")
+
 
-    key_type = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"_key {key_type}, ids binary, decoded string").withColumnRenamed("_key", keep)
+def _digests() -> list[Column]:
+    return [F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
 
 
 def encode_rows(documents: DataFrame) -> DataFrame:
     """doc_id, the number of tokens, digests of the ids and of the decoded text."""
-    return encode(documents).select(
-        "doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return encode(documents).select("doc_id", *_digests())
+
+
+def encode_corpus(documents: DataFrame, text: str = "text") -> DataFrame:
+    """All columns but the text, the ids that stand for it, their number and both digests."""
+    others = [c for c in documents.columns if c != text]
+    return encode(documents, text, others).select(*[F.col(c) for c in others], "ids", *_digests())

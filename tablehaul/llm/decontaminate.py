@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablehaul.llm.arrow import slices
 from tablehaul.llm.shingles import block_minima, mixed, shingle_hashes, word_hashes
+from tablehaul.session import scratch_path
 
 SHINGLE, PERCENT = 5, 80
 #: Probability that an item which a document holds is not proposed.
@@ -43,6 +45,8 @@ class Items:
     classes: dict[int, tuple[np.ndarray, np.ndarray]]  # size -> sorted keys and the items they belong to
     bitmaps: dict[int, np.ndarray]
     functions: int
+    copies: list  # rows of the benchmark that an item stands for
+    short: dict[int, dict[int, list[int]]]  # words -> hash of the sequence -> items of so many words
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,21 +59,36 @@ def shingle_set(text: str, k: int = SHINGLE) -> set:
     return set(zip(*[words[i:] for i in range(k)]))
 
 
+def item_size(text: str, k: int = SHINGLE) -> int:
+    """The words of an item's shingles: ``k``, or all words of a shorter item."""
+    return min(k, len(words_of(text)))
+
+
 def keys_of(values: np.ndarray) -> np.ndarray:
     """One number per (hash function, minimum); ``values`` is an array of blocks x functions."""
     return mixed((np.arange(values.shape[1], dtype=np.uint64)[None, :] << np.uint64(32)) | values.astype(np.uint64))
 
 
 def index_items(rows: list[tuple], k: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> Items:
-    rows = [(i, text) for i, text in rows if text]
-    words, counts = word_hashes([text.encode() for _, text in rows])
-    flat, sizes = shingle_hashes(words, counts, k, short=False)
-    own = [np.unique(h) for h in np.split(flat, np.cumsum(sizes)[:-1])] if rows else []
-    keep = [n for n, h in enumerate(own) if len(h)]
+    """``rows``: (id, text, copies). Items of fewer than k words are held by their whole sequence, the others by size class."""
+    rows = [(i, text, copies) for i, text, copies in rows if text and words_of(text)]
+    sizes = [item_size(text, k) for _, text, _ in rows]
+    rows = [r for _, r in sorted(zip(sizes, rows), key=lambda x: x[0] < k)]  # short items last
     functions = hash_functions(percent, miss)
-    found = Items([rows[n][0] for n in keep], [shingle_set(rows[n][1], k) for n in keep], [own[n] for n in keep], {}, {}, functions)
-    if not keep:
+    found = Items([r[0] for r in rows], [shingle_set(r[1], item_size(r[1], k)) for r in rows], [], {}, {}, functions, [r[2] for r in rows], {})
+    long = [r[1] for r in rows if item_size(r[1], k) == k]
+    for n in range(1, k):
+        members = [m for m in range(len(long), len(rows)) if item_size(rows[m][1], k) == n]
+        if members:
+            words, counts = word_hashes([rows[m][1].encode() for m in members])
+            by_hash = found.short[n] = {}
+            for m, h in zip(members, shingle_hashes(words, counts, n, short=False)[0].tolist()):
+                by_hash.setdefault(h, []).append(m)
+    if not long:
         return found
+    words, counts = word_hashes([text.encode() for text in long])
+    flat, shingles = shingle_hashes(words, counts, k, short=False)
+    found.hashes = [np.unique(h) for h in np.split(flat, np.cumsum(shingles)[:-1])]
     lengths = np.array([len(h) for h in found.hashes])
     minima = block_minima(np.concatenate(found.hashes), np.cumsum(lengths) - lengths, functions)
     keys = keys_of(minima)
@@ -119,7 +138,7 @@ def contained(items: Items, texts: list[str], k: int = SHINGLE, percent: int = P
     words, counts = word_hashes([t.encode() for t in texts])
     flat, sizes = shingle_hashes(words, counts, k, short=False)
     ends = np.cumsum(sizes)
-    out, last, have = [], -1, set()
+    out, last, have = short_items(items, texts, words, counts), -1, set()
     for text, item in candidates(items, flat, sizes).tolist():
         total = len(items.shingles[item])
         near = np.isin(items.hashes[item], flat[ends[text] - sizes[text] : ends[text]]).sum()
@@ -133,26 +152,46 @@ def contained(items: Items, texts: list[str], k: int = SHINGLE, percent: int = P
     return out
 
 
+def short_items(items: Items, texts: list[str], words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, item, 1) for each item of fewer words than a shingle whose words a text holds one after the other."""
+    out = []
+    for n, by_hash in items.short.items():
+        flat, sizes = shingle_hashes(words, counts, n, short=False)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(np.isin(flat, np.fromiter(by_hash, np.uint64, len(by_hash))))
+        pairs = sorted({(t, m) for t, h in zip(owner[at].tolist(), flat[at].tolist()) for m in by_hash[h]})
+        for text, found in groupby(pairs, key=lambda p: p[0]):
+            have = shingle_set(texts[text], n)
+            out += [(text, m, 1) for _, m in found if items.shingles[m] <= have]
+    return out
+
+
 def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about ``ITEM_BLOCK_BYTES``, so that neither driver nor task holds more."""
+    """The benchmark's distinct rows with their number, in blocks of about ``ITEM_BLOCK_BYTES``, so that neither driver nor task holds more."""
+    spark = benchmark.sparkSession
+    path = scratch_path(spark, "items")
     narrow = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    total = narrow.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    narrow.groupBy("item", "text").agg(F.count("*").alias("copies")).write.parquet(path)
+    distinct = spark.read.parquet(path)
+    total = distinct.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / ITEM_BLOCK_BYTES))
     for n in range(blocks):
-        part = narrow.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
-        yield [(row.item, row.text) for row in part.collect()]
+        part = distinct.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
+        yield [(row.item, row.text, row.copies) for row in part.collect()]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``key``, ``item``, n_shared, n_shingles): each item of which a document holds ``PERCENT`` of the distinct shingles or more.
 
     Documents are read in place, once per block of items; nothing is shuffled.
-    Texts and items that are null, empty or shorter than a shingle hold nothing and
-    are in nothing. Equal rows give equal results each; an empty benchmark gives none.
+    An item of fewer than five words is one shingle of all its words, so a document
+    holds it that has these words one after the other. Null texts and texts and items without a word hold
+    nothing and are in nothing. Equal rows, of documents or items, give equal results each; an
+    empty benchmark gives none.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    schema = T.StructType([narrow.schema["_key"], T.StructField("_item", benchmark.schema[item].dataType), T.StructField("n_shared", T.LongType()), T.StructField("n_shingles", T.LongType())])
+    schema = T.StructType([narrow.schema["_key"], T.StructField("_item", benchmark.schema[item].dataType), T.StructField("n_shared", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("_copies", T.LongType())])
     item_type = pa_type(benchmark, item)
     found = None
     for rows in item_blocks(benchmark, item, item_text):
@@ -167,12 +206,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     pa.array([items.value.ids[h[1]] for h in hits], item_type),
                     pa.array([h[2] for h in hits], pa.int64()),
                     pa.array([len(items.value.shingles[h[1]]) for h in hits], pa.int64()),
+                    pa.array([items.value.copies[h[1]] for h in hits], pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["_key", "_item", "n_shared", "n_shingles"])
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
         one = narrow.mapInArrow(search, schema)
         found = one if found is None else found.unionAll(one)
-    return found.withColumnsRenamed({"_key": key, "_item": item})
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
+    return each.withColumnsRenamed({"_key": key, "_item": item})
 
 
 def pa_type(df: DataFrame, column: str) -> pa.DataType:
@@ -182,7 +223,11 @@ def pa_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns.
+
+    Documents with a null, empty or blank text hold none; equal rows stay or go together; with an
+    empty benchmark all stay. Items count as in :func:`find_items`.
+    """
     spark = docs.sparkSession
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op3_host_reputation": sql.HOST_REPUTATION,
     "op5_revisits": sql.REVISITS,
     "op10_rule_ledger": sql.RULE_LEDGER,
+    "quality_ablations": sql.ABLATIONS,
     "op11_prefix_trie": sql.PREFIX_TRIE,
 }
 
@@ -78,6 +79,12 @@ def op10_rule_ledger(spark, sf_dir):
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
+@query
+def quality_ablations(spark, sf_dir):
+    """What each rule of the stored policies rejects, alone and with others."""
+    return quality.ablations(quality.measure(table(spark, sf_dir, "documents")), [quality.BASE, quality.DEFAULT])
+
+
 @query
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie_rows(table(spark, sf_dir, "conversations"))

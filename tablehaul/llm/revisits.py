@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablehaul.llm.columns import ascii_lower, let
+from tablehaul.operators.merge import one_per_key
 from tablehaul.operators.skew import join_per_key
 
 # Headers that a not-modified answer may renew, and query parameters that name a visit and not a page.
@@ -21,11 +22,14 @@ def canonical(url: Column) -> Column:
     A null url, and one without ``://``, stays as it is.
     """
     part = lambda n: F.regexp_extract(url, r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?", n)
-    host = F.regexp_replace(F.regexp_replace(ascii_lower(part(2)), r"^.*@", ""), r":(80|443)?$", "")
+    scheme = ascii_lower(part(1))
+    named = F.regexp_replace(ascii_lower(part(2)), r"^.*@", "")
+    cut = lambda port: F.regexp_replace(named, f":({port})?$", "")
+    host = F.when(scheme == "http", cut("80")).when(scheme == "https", cut("443")).otherwise(cut(""))
     params = F.array_sort(F.filter(F.split(F.substring(part(4), 2, 1 << 30), "&", -1), lambda p: (p != "") & ~ascii_lower(p).rlike(VISIT_PARAMETERS)))
     query = let(params, lambda p: F.when(F.size(p) > 0, F.concat(F.lit("?"), F.array_join(p, "&"))).otherwise(F.lit("")))
     path = F.when(part(3) == "", F.lit("/")).otherwise(part(3))
-    return F.when(url.contains("://"), F.concat(ascii_lower(part(1)), F.lit("://"), host, path, query)).otherwise(url)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host, path, query)).otherwise(url)
 
 
 def lower_names(headers: Column) -> Column:
@@ -55,7 +59,9 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, payload: b
 
     Resolved and unchecked revisits get status, payload and the response's headers
     renewed by the revisit's ``PERMITTED`` ones; others get null. Repeated revisits
-    give a row each; repeated responses count once.
+    give a row each; repeated responses count once. Of responses that share id and
+    date but not content, the one with the greatest digest, validators and payload
+    counts, null last; a shared id at another date is another response.
 
     The as-of search runs in buckets of url and time: inside a bucket by a window,
     before it by one row per bucket. So a url with a third of all records is spread
@@ -72,10 +78,14 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, payload: b
     known = F.struct(
         "date", "record_id", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), "digest"
     )
-    responses = rows.where(full).dropDuplicates(["record_id"])
+    validators = {"_etag": F.col("headers")["etag"], "_modified": F.col("headers")["last-modified"]}
+    answers = rows.where(full).withColumns(validators)
+    same = ["record_id", "date"]
+    by_content = ["digest", "_etag", "_modified"]
+    responses = one_per_key(answers, same, [*by_content, *(["payload"] if payload else [])])
     revisits = rows.where(F.col("kind") == "revisit")
 
-    events = rows.where(full).select("key", "bucket", "date", F.lit(1).alias("turn"), F.col("record_id").alias("id"), known.alias("found"), F.lit(None).cast(revisits.schema["headers"].dataType).alias("headers"), F.lit(None).cast("string").alias("own_digest"))
+    events = one_per_key(answers.drop("payload"), same, by_content).select("key", "bucket", "date", F.lit(1).alias("turn"), F.col("record_id").alias("id"), known.alias("found"), F.lit(None).cast(revisits.schema["headers"].dataType).alias("headers"), F.lit(None).cast("string").alias("own_digest"))
     asked = revisits.select("key", "bucket", "date", F.lit(0).alias("turn"), F.col("record_id").alias("id"), F.lit(None).cast(events.schema["found"].dataType).alias("found"), "headers", F.col("digest").alias("own_digest"))
     both = events.unionByName(asked.where("key is not null and date is not null"))
 
@@ -100,9 +110,9 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS, payload: b
     outcome = (
         F.when(F.col("found").isNull(), "orphan").when(checks, "resolved").when(~checks, "mismatch").otherwise("unchecked")
     )
-    judged = all_met.withColumn("outcome", outcome).withColumn("ref", F.when(F.col("outcome").isin("resolved", "unchecked"), F.col("found.record_id")))
-    stored = responses.select(F.col("record_id").alias("ref"), F.col("headers").alias("stored"), "status", *(["payload"] if payload else []))
-    joined = join_per_key(judged, stored, ["ref"])
+    judged = all_met.withColumn("outcome", outcome).withColumn("ref", F.when(F.col("outcome").isin("resolved", "unchecked"), F.col("found.record_id"))).withColumn("ref_date", F.col("found.date"))
+    stored = responses.select(F.col("record_id").alias("ref"), F.col("date").alias("ref_date"), F.col("headers").alias("stored"), "status", *(["payload"] if payload else []))
+    joined = join_per_key(judged, stored, ["ref", "ref_date"])
     renewed = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = let(renewed, lambda new: F.map_concat(F.map_filter("stored", lambda k, v: ~F.array_contains(F.map_keys(new), k)), new))
     return joined.select(

@@ -38,15 +38,18 @@ def scan_unseen(named: DataFrame, ledger: DataFrame | None = None, rules=RULES)
     Each content is scanned once, however many paths and versions hold it: copies
     meet in a partial aggregation, so a content that a third of the rows have costs
     each task one row. A blob whose rules were all scanned before is not scanned;
-    one that only lacks some rules is scanned by these.
+    one that only lacks some rules is scanned by these. A null path or repeated rows
+    change nothing, an empty table gives no rows.
     """
-    blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r) for r in rule_ids(rules)])
     if ledger is None:
-        todo = blobs.withColumn("todo", every)
+        todo = named.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", every)
     else:
+        # names alone meet the ledger; only texts that are still to be scanned are moved
         seen = ledger.select("blob", F.explode("rules").alias("rule")).distinct().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
+        asked = named.select("blob").distinct().join(seen, "blob", "left")
+        asked = asked.select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        todo = join_per_key(named.select("blob", "text"), asked, ["blob"], "inner").groupBy("blob", "todo").agg(F.first("text").alias("text"))
 
     def scanned(rank: int, rule: Kind) -> Column:
         return F.when(F.array_contains("todo", f"{rule.name}@{rule.version}"), places(F.col("text"), rule, rank)).otherwise(F.array().cast(SPAN))
@@ -59,7 +62,8 @@ def append_scan(versions: DataFrame, ledger_path: str, path: str = "path", text:
     """Scan what the ledger at ``ledger_path`` has not seen, append it there and return the ledger.
 
     The first call makes the folder. A failed append leaves no rows behind (Spark
-    commits the files of a job together), so the call can simply be repeated.
+    commits the files of a job together), so the call can simply be repeated. Null texts
+    count as empty ones; a second call with the same rows appends nothing.
     """
     spark = versions.sparkSession
     named = blobs_of(versions, path, text)
@@ -85,8 +89,13 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "path",
 
 
 def secrets_digest(documents: DataFrame, ledger_path: str) -> DataFrame:
-    """doc_id, counts of the base kinds, their digest and all spans."""
+    """doc_id, counts of the base kinds, their digest and all spans; a row for each row, null ids and texts included.
+
+    The ledger is asked twice, as the next day's run would: the second call finds
+    nothing unseen.
+    """
     versions = documents.select("doc_id", "text")
+    append_scan(versions, ledger_path, "doc_id")
     found = findings_by_path(versions, append_scan(versions, ledger_path, "doc_id"), "doc_id")
     base = [r.name for r in RULES if r.base]
     kept = found.select("path", "spans", F.filter("spans", lambda s: s["kind"].isin(base)).alias("base"))

@@ -21,19 +21,50 @@ RULE_LEDGER = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce
       (bits & {quality.DEFAULT.mask}) = 0 AS kept, n_lines, bits FROM b"""
 
 _RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in hosts.RULES)
-_MEAN = f"({{bad}} + {{above}} * {hosts.LEVEL_WEIGHT}) / ({{n}} + {hosts.LEVEL_WEIGHT})"
+
+
+def _levels(host: str) -> str:
+    """Suffix and domain of a host as two columns; the default suffixes have two labels at most."""
+    bare = f"regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', '')"
+    last = lambda n: f"array_to_string(string_split({bare}, '.')[-{n}:], '.')"
+    address, long = rf"regexp_matches({bare}, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$|^\[')", f"{last(2)} IN ({', '.join(repr(x) for x in hosts.SUFFIXES)})"
+    return (
+        f"CASE WHEN {address} THEN '#' WHEN {long} THEN {last(2)} ELSE {last(1)} END AS suffix, "
+        f"CASE WHEN {address} THEN {bare} WHEN {long} THEN {last(3)} ELSE {last(2)} END AS domain"
+    )
+
+
+def _weight(members: str, group: str, fallback: float) -> str:
+    return f"""(SELECT CASE WHEN a IS NULL OR c - b <= 1e-9 THEN {fallback} WHEN a <= b THEN {hosts.MOST_WEIGHT}
+        ELSE least(greatest((c - b) / (a - b) - 1, {hosts.LEAST_WEIGHT}), {hosts.MOST_WEIGHT}) END::double AS weight
+      FROM (SELECT sum(shares - bad * bad / n) AS a, sum(bad / n * (1 - bad / n) * (k - 1)) AS b, sum(bad / n * (1 - bad / n) * (n - squares / n)) AS c
+        FROM (SELECT count(*) AS k, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS squares, sum(bad * bad / n) AS shares FROM {members} {group})))"""
+
+
+def _effective(weight: str) -> str:
+    size = f"n / (1 + (n - 1) / ({weight} + 1))"
+    return f"{size} AS n, bad / n * ({size}) AS bad"
+
 
 HOST_REPUTATION = rf"""WITH cut AS (SELECT page_id, contains(url, '://') AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
     p AS (SELECT page_id, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), '{ASCII_UPPER}', '{ASCII_LOWER}') ELSE '' END AS host,
       CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
     o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})([^0-9]|$)', 1) AS bigint)),
-    h AS (SELECT host, count(*) AS n, sum(bad) AS bad, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
-      FROM o WHERE bad IS NOT NULL GROUP BY host),
-    l AS (SELECT *, parts[-1] AS suffix, array_to_string(parts[-2:], '.') AS domain FROM h),
-    s AS (SELECT suffix, (sum(bad) + {hosts.PRIOR_BAD * hosts.PRIOR_WEIGHT}::double) / (sum(n) + {hosts.PRIOR_WEIGHT}::double) AS s_mean FROM l GROUP BY suffix),
-    dn AS (SELECT domain, suffix, {_MEAN.format(bad="sum(bad)", above="any_value(s_mean)", n="sum(n)")} AS d_mean FROM l JOIN s USING (suffix) GROUP BY domain, suffix),
-    m AS (SELECT host, n, n + {hosts.LEVEL_WEIGHT} AS weight, {_MEAN.format(bad="bad", above="d_mean", n="n")} AS mean FROM l JOIN dn USING (domain, suffix)),
-    rep AS (SELECT host, n, mean - {hosts.Z} * sqrt(mean * (1 - mean) / (weight + 1)) AS lower FROM m),
+    h AS (SELECT host, count(*)::double AS n, sum(bad)::double AS bad, {_levels("host")} FROM o WHERE bad IS NOT NULL GROUP BY host),
+    wh AS {_weight("h", "GROUP BY suffix, domain", hosts.LEVEL_WEIGHT)},
+    dn AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM (SELECT suffix, domain, {_effective("weight")} FROM h, wh) GROUP BY suffix, domain),
+    wd AS {_weight("dn", "GROUP BY suffix", hosts.STRANGERS)},
+    s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM (SELECT suffix, {_effective("weight")} FROM dn, wd) GROUP BY suffix),
+    ws AS {_weight("s", "", hosts.PRIOR_WEIGHT)},
+    top AS (SELECT (coalesce(sum(bad), 0) + {hosts.PRIOR_BAD * hosts.PRIOR_WEIGHT}::double) / (coalesce(sum(n), 0) + {hosts.PRIOR_WEIGHT}::double) AS mean
+      FROM (SELECT {_effective("weight")} FROM s, ws)),
+    known AS (SELECT host, {_levels("host")} FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+    a AS (SELECT k.*, coalesce(h.n, 0) AS n, coalesce(h.bad, 0) AS bad, coalesce(dn.n, 0) AS d_n, coalesce(dn.bad, 0) AS d_bad, wh.weight AS h_weight,
+      (coalesce(s.bad, 0) + ws.weight * top.mean) / (coalesce(s.n, 0) + ws.weight) AS s_mean, 1 / (1 / wd.weight + 1 / (coalesce(s.n, 0) + ws.weight)) AS w_d
+      FROM known k LEFT JOIN h ON h.host = k.host LEFT JOIN dn ON dn.suffix = k.suffix AND dn.domain = k.domain LEFT JOIN s ON s.suffix = k.suffix, wh, wd, ws, top),
+    b AS (SELECT *, (d_bad + w_d * s_mean) / (d_n + w_d) AS d_mean, 1 / (1 / h_weight + 1 / (d_n + w_d)) AS w_h FROM a),
+    m AS (SELECT host, n, n + w_h AS sure, (bad + w_h * d_mean) / (n + w_h) AS mean FROM b),
+    rep AS (SELECT host, n::bigint AS n, mean - {hosts.Z} * sqrt(mean * (1 - mean) / (sure + 1)) AS lower FROM m),
     rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
     fit AS (SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict FROM p JOIN rules
       ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
@@ -46,7 +77,7 @@ REVISITS = r"""WITH n AS (SELECT page_id, url, html, coalesce(page_id, 0) AS n,
     parts AS (SELECT *, regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query']) AS u FROM n),
     keyed AS (SELECT *, list_sort(list_filter(string_split(substr(u.query, 2), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x),
         '^(utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)'))) AS params FROM parts),
-    c AS (SELECT *, CASE WHEN contains(url, '://') THEN lower(u.scheme) || '://' || regexp_replace(regexp_replace(lower(u.host), '^.*@', ''), ':(80|443)?$', '')
+    c AS (SELECT *, CASE WHEN contains(url, '://') THEN lower(u.scheme) || '://' || regexp_replace(regexp_replace(lower(u.host), '^.*@', ''), CASE lower(u.scheme) WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE ':$' END, '')
         || CASE WHEN u.path = '' THEN '/' ELSE u.path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END ELSE url END AS key,
       1704067200 + n * 60 AS tm, 1704067200 + n * 60 + CASE WHEN n % 11 = 0 THEN -3600 ELSE 21600 + (n % 50) * 3600 END AS again,
       CASE WHEN n % 5 <> 0 AND n % 13 <> 0 AND n % 17 <> 0 THEN '"' || left(md, 12) || '"' END AS etag,
@@ -67,6 +98,12 @@ REVISITS = r"""WITH n AS (SELECT page_id, url, html, coalesce(page_id, 0) AS n,
       CASE WHEN ok THEN sha256(html) END AS payload_sha256
     FROM (SELECT *, outcome IN ('resolved', 'unchecked') AS ok FROM checked)"""
 
+_POLICIES = ", ".join(f"('{p.name}', {p.version}, {p.mask}, '{r}', {quality.bit(r)})" for p in (quality.BASE, quality.DEFAULT) for r in p.rules)
+
+ABLATIONS = f"""WITH asked(policy, version, mask, rule, bit) AS (VALUES {_POLICIES}), ledger AS ({RULE_LEDGER})
+    SELECT policy, version, rule, count(*) FILTER ((bits & bit) <> 0) AS failed, count(*) FILTER ((bits & mask) = bit) AS failed_alone,
+      count(*) FILTER ((bits & mask) <> 0) AS rejected FROM asked, ledger GROUP BY ALL"""
+
 # crc32 of the decimal id, bit by bit; 3988292384 is its polynomial
 _CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
       lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""

@@ -71,3 +71,23 @@ def test_lexicon_is_minimal_and_exact():
         assert np.frombuffer(lexicon.find([w])[0], "<u4").tolist() == [i, i * 2][: 1 + i % 2]
     assert lexicon.find([b"", b"x", b"undoi", b"unmakingss", b"u"]) == [None] * 5
     assert Lexicon(compile_lexicon([])).find([b"a"]) == [None]
+
+
+def test_long_words_are_merged_and_not_remembered(spark, library):
+    long = "日本語" * 400
+    rows = [(i, f"a {long} b {long}x {'q' * 64} {'q' * 65} \n{long}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == sorted([(i, want(library, t)) for i, t in rows], key=str)
+    words = {r.word for r in bpe.count_words(df, "text").collect()}
+    assert words == {"b", "q" * 64}
+    vocabulary = bpe.Vocabulary(bpe.default_tokenizer())
+    encoder = bpe.Encoder(vocabulary, Lexicon(compile_lexicon([])))
+    encoder.ids([t for _, t in rows])
+    assert max(map(len, [*encoder.known, *encoder.pieces])) <= bpe.LONGEST
+
+
+def test_corpus_keeps_the_other_columns(clashing, library):
+    out = bpe.encode_corpus(clashing)
+    others = [c for c in clashing.columns if c != "text"]
+    assert out.columns == [*others, "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id: len(r.ids) // 4 for r in out.collect()} == {r.doc_id: want(library, r.text)[0] for r in clashing.collect()}

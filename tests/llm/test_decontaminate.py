@@ -10,10 +10,11 @@ SF = "/root/testdata/sf0.001"
 
 def wanted(docs, items):
     out = []
-    own = [(i, brute.shingles(t, 5, short=False)) for i, t in items]
+    size = lambda t: min(5, len(brute.WORD.findall(t or "")))
+    own = [(i, brute.shingles(t, size(t), short=False), size(t)) for i, t in items if size(t)]
     for d, text in docs:
-        have = brute.shingles(text, 5, short=False)
-        out += [(d, i, len(s & have), len(s)) for i, s in own if s and 100 * len(s & have) >= 80 * len(s)]
+        have = {n: brute.shingles(text, n, short=False) for n in {n for *_, n in own}}
+        out += [(d, i, len(s & have[n]), len(s)) for i, s, n in own if s and 100 * len(s & have[n]) >= 80 * len(s)]
     return out
 
 
@@ -55,6 +56,22 @@ def test_planted(spark):
     assert got == want and len(want) > 60
 
 
+def test_short_items_are_found_by_their_words(spark):
+    items = spark.createDataFrame([(1, "the capital is paris"), (2, "Paris"), (3, "is the"), (4, "x y z")], "item_id long, text string")
+    docs = [(1, "we know the\nCapital is  PARIS now"), (2, "parisian is\tthe"), (3, "the capital is"), (4, "x y"), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(df, items) == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 3, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, items).collect()) == [3, 4, 5]
+
+
+def test_equal_items_are_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_BYTES", 300)
+    items = spark.createDataFrame([(7, "one two three four five six")] * 1000 + [(i, f"a{i} b c d e f g") for i in range(60)], "item_id long, text string")
+    sizes = [len(rows) for rows in decontaminate.item_blocks(items, "item_id", "text")]
+    assert sum(sizes) == 61 and max(sizes) <= 25
+    assert found(spark.createDataFrame([(1, "zero one two three four five six")], "doc_id long, text string"), items) == [(1, 7, 2, 2)] * 1000
+
+
 def test_items_in_blocks(spark, monkeypatch):
     docs, items = planted()
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK_BYTES", 1000)
@@ -67,7 +84,10 @@ def test_items_in_blocks(spark, monkeypatch):
 def test_odd_empty_and_clashing(spark, odd, empty, clashing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "a null id has a text of its own here"), (3, "word"), (4, "a null id has a text of its own here")], "item_id long, text string")
     got = sorted(map(tuple, decontaminate.find_items(odd, items).collect()), key=str)
-    assert got == [(None, 4, 6, 6), (None, None, 6, 6)]
+    want = wanted([(r.doc_id, r.text) for r in odd.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert got == sorted(want, key=str) and (4, 3, 1, 1) in got
+    twice = sorted(map(tuple, decontaminate.find_items(odd, items.unionAll(items)).collect()), key=str)
+    assert twice == sorted(want * 2, key=str)
     assert found(odd, items.limit(0)) == [] and found(empty, items) == []
     out = decontaminate.drop_contaminated(clashing, items)
     assert out.columns == clashing.columns and out.count() == 4

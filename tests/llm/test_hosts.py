@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import defaultdict
 
 from tablehaul.llm import hosts
 
@@ -31,40 +34,109 @@ def test_parts_and_rules(spark):
         assert (r.rule, r.verdict) == ((str(want), want.verdict) if want else (None, "allow"))
 
 
-def reputation(outcomes):
-    """host -> lower bound, level by level."""
-    import math
-    from collections import defaultdict
-
-    levels = [defaultdict(lambda: [0, 0]) for _ in range(3)]
-    for host, bad in outcomes:
-        bare = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", host))
-        names = (bare.split(".")[-1], ".".join(bare.split(".")[-2:]), host)
-        for level, name in zip(levels, names):
-            level[name][0] += 1
-            level[name][1] += bad
+def names_of(host):
+    bare = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", host))
+    if re.fullmatch(r"([0-9]{1,3}\.){3}[0-9]{1,3}", bare) or bare.startswith("["):
+        return "#", bare
+    labels = bare.split(".")
+    size = 2 if ".".join(labels[-2:]) in hosts.SUFFIXES else 1
+    return ".".join(labels[-size:]), ".".join(labels[-size - 1 :])
+
+
+def weight_of(members, fallback):
+    """members: list of (group, n, bad)."""
+    groups = defaultdict(list)
+    for g, n, bad in members:
+        groups[g].append((n, bad))
+    a = b = c = 0.0
+    for m in groups.values():
+        n, bad = sum(x for x, _ in m), sum(y for _, y in m)
+        share = bad / n
+        a += sum(x * (y / x - share) ** 2 for x, y in m)
+        b += share * (1 - share) * (len(m) - 1)
+        c += share * (1 - share) * (n - sum(x * x for x, _ in m) / n)
+    if c - b <= 1e-9:
+        return fallback
+    return hosts.MOST_WEIGHT if a <= b else min(max((c - b) / (a - b) - 1, hosts.LEAST_WEIGHT), hosts.MOST_WEIGHT)
+
+
+def reputation(outcomes, asked):
+    """host -> (mean, lower bound), level by level."""
+    def total(rows):
+        out = defaultdict(lambda: [0.0, 0.0])
+        for g, n, bad in rows:
+            out[g][0] += n
+            out[g][1] += bad
+        return out
+
+    def alike(n, bad, weight):
+        size = n / (1 + (n - 1) / (weight + 1))
+        return size, bad / n * size
+
+    def posterior(n, bad, weight, mean):
+        return (bad + weight * mean) / (n + weight), n + weight
+
+    by_host = total((h, 1, bad) for h, bad in outcomes)
+    w_h = weight_of([(names_of(h), n, bad) for h, (n, bad) in by_host.items()], hosts.LEVEL_WEIGHT)
+    by_domain = total((names_of(h), *alike(n, bad, w_h)) for h, (n, bad) in by_host.items())
+    w_d = weight_of([(s, n, bad) for (s, _), (n, bad) in by_domain.items()], hosts.STRANGERS)
+    by_suffix = total((s, *alike(n, bad, w_d)) for (s, _), (n, bad) in by_domain.items())
+    w_s = weight_of([((), n, bad) for n, bad in by_suffix.values()], hosts.PRIOR_WEIGHT)
+    (n, bad), = total([((), 0.0, 0.0), *(((), *alike(n, bad, w_s)) for n, bad in by_suffix.values())]).values()
+    top = (bad + hosts.PRIOR_BAD * hosts.PRIOR_WEIGHT) / (n + hosts.PRIOR_WEIGHT)
     out = {}
-    for host, (n, bad) in levels[2].items():
-        bare = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", host))
-        s_n, s_bad = levels[0][bare.split(".")[-1]]
-        d_n, d_bad = levels[1][".".join(bare.split(".")[-2:])]
-        s = (s_bad + hosts.PRIOR_BAD * hosts.PRIOR_WEIGHT) / (s_n + hosts.PRIOR_WEIGHT)
-        d = (d_bad + s * hosts.LEVEL_WEIGHT) / (d_n + hosts.LEVEL_WEIGHT)
-        m = (bad + d * hosts.LEVEL_WEIGHT) / (n + hosts.LEVEL_WEIGHT)
-        out[host] = m - hosts.Z * math.sqrt(m * (1 - m) / (n + hosts.LEVEL_WEIGHT + 1))
+    for h in asked:
+        s, d = names_of(h)
+        mean, sure = posterior(*by_suffix.get(s, (0, 0)), w_s, top)
+        mean, sure = posterior(*by_domain.get((s, d), (0, 0)), 1 / (1 / w_d + 1 / sure), mean)
+        mean, sure = posterior(*by_host.get(h, (0, 0)), 1 / (1 / w_h + 1 / sure), mean)
+        out[h] = (mean, mean - hosts.Z * math.sqrt(mean * (1 - mean) / (sure + 1)))
     return out
 
 
-def test_reputation_is_shrunk_level_by_level(spark):
-    rows = [("bad.a.net", 1)] * 60 + [("few.a.net", 1)] * 2 + [("good.b.net", 0)] * 50 + [("good.b.net", 1)] + [("x.c.info:8080", 0)] * 3
-    df = spark.createDataFrame(rows + [(None, 1), ("y", None)], "host string, bad int")
-    got = {r.host: r.lower for r in hosts.reputations(df).collect()}
-    want = reputation(rows)
-    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-12 for h in want)
-    assert got["few.a.net"] > hosts.MOST_BAD > got["good.b.net"]  # two bad pages count, as their domain is bad
-    pages = spark.createDataFrame([(1, "http://bad.a.net/x"), (1, "http://bad.a.net/x"), (2, "http://good.b.net/x"), (3, "http://new.a.net/")], "page_id long, url string")
-    verdicts = sorted((r.page_id, r.verdict) for r in hosts.judge(pages, df).collect())
-    assert verdicts == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow")]
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "host string, bad int")
+
+
+def test_reputation_against_plain_python(spark):
+    pick = random.Random(4)
+    rows = [("bad.a.net", 1)] * 60 + [("few.a.net", 1)] * 2 + [("good.b.net", 0)] * 50 + [("good.b.net", 1)] + [("x.c.info:8080", 0)] * 3 + [("u@10.1.2.3:80", 1)] * 4 + [("[::1]:9", 0)] * 2
+    for i in range(300):
+        rows.append((f"h{pick.randrange(40)}.d{i % 9}.{pick.choice(['com', 'co.uk', 'org'])}", int(pick.random() < (i % 9) / 9)))
+    asked = sorted({h for h, _ in rows} | {"new.a.net", "new.d3.co.uk", "new.nowhere.co.uk", "a.b.c.zz", "10.1.2.4", "co.uk", "x"})
+    got = {r.host: (r.mean, r.lower) for r in hosts.reputations(frame(spark, [(h, 0) for h in asked + asked[:3]]), frame(spark, rows + [(None, 1), ("y", None)])).collect()}
+    want = reputation(rows, asked)
+    assert set(got) == set(want)
+    assert all(abs(a - b) < 1e-9 for h in want for a, b in zip(got[h], want[h]))
+
+
+def judged(spark, outcomes, *urls):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return [r.verdict for r in sorted(hosts.judge(pages, frame(spark, outcomes)).collect(), key=lambda r: r.page_id)]
+
+
+def test_domains_speak_for_hosts_nobody_has_labelled(spark):
+    assert judged(spark, [("old.spam.net", 1)] * 300, "http://new.spam.net/", "http://old.spam.net/") == ["block"] * 2
+    rows = [("bad.a.net", 1)] * 60 + [("few.a.net", 1)] * 2 + [("good.b.net", 0)] * 50 + [("good.b.net", 1)]
+    assert judged(spark, rows, "http://few.a.net/", "http://good.b.net/x", "http://new.a.net/", "http://new.b.net/") == ["block", "allow", "block", "allow"]
+    # hosts of one domain that differ say little about a new one
+    mixed = [(f"u{i}.home.net", i % 2) for i in range(40) for _ in range(30)]
+    assert judged(spark, mixed, "http://u1.home.net/", "http://u2.home.net/", "http://new.home.net/") == ["block", "allow", "allow"]
+
+
+def test_long_suffixes_and_addresses(spark):
+    rows = [("a.co.uk", 1)] * 300 + [("b.co.uk", 0)] + [("10.1.2.3", 1)] * 50 + [("10.9.2.3", 0)] * 50
+    assert judged(spark, rows, "http://a.co.uk/", "http://b.co.uk/", "http://10.1.2.3:80/", "http://10.9.2.3/") == ["block", "allow", "block", "allow"]
+    df = frame(spark, [(h, 0) for h in ("10.1.2.3", "x.y.co.uk", "y.co.uk", "co.uk", "uk", "a.b.c", "[::1]:8")])
+    got = {r.host: (r.suffix, r.domain) for r in df.withColumns(hosts.levels(df.host)).collect()}
+    assert got == {h: names_of(h) for h in got}
+    three = {r.host: (r.suffix, r.domain) for r in df.withColumns(hosts.levels(df.host, ["a.b.c", "y.co.uk"])).collect()}
+    assert three["x.y.co.uk"] == ("y.co.uk", "x.y.co.uk") and three["a.b.c"] == ("a.b.c", "a.b.c") and three["co.uk"] == ("uk", "co.uk")
+
+
+def test_very_long_urls_and_repeated_pages(spark):
+    long = "http://h." + "x" * 30_000 + ".net/" + "p/" * 30_000 + "?" + "q" * 30_000
+    assert judged(spark, [("h." + "x" * 30_000 + ".net", 1)] * 50, long, long, "http://" + "a." * 5000 + "net/") == ["block", "block", "allow"]
 
 
 def test_empty_and_clashing(spark):
@@ -74,4 +146,4 @@ def test_empty_and_clashing(spark):
     assert (row.host, row.path, row.verdict) == ("a.b", "/en/5", "allow")
     assert hosts.judge(pages.limit(0), hosts.page_outcomes(pages, none)).count() == 0
     odd = spark.createDataFrame([(5, 0, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert hosts.reputations(hosts.page_outcomes(pages, odd)).first().bad == 1
+    assert hosts.reputations(hosts.with_host(pages).select("host"), hosts.page_outcomes(pages, odd)).first().bad == 1

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 from tablehaul.llm import quality
@@ -52,7 +53,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_is_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 200
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 200
 
 
 def test_stages_take_odd_rows(spark, clashing, empty):
@@ -64,6 +65,21 @@ def test_stages_take_odd_rows(spark, clashing, empty):
                 assert out.columns == frame.columns
 
 
+def test_odd_rows_at_every_stage(spark, odd):
+    """Null ids, null and empty texts, repeated rows and a text of 60,000 words."""
+    rows = odd.selectExpr("doc_id", "text", "'en' AS lang", "cast(null AS string) AS source", "cast(length(text) AS long) AS n_chars")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF).collect()
+        left[name] = sorted((str(r.doc_id) for r in out))
+    before = sorted(str(r.doc_id) for r in odd.collect())
+    assert left["quality rules"] == ["7", "8"]
+    assert left["benchmark decontamination"] == left["bpe encoding"] == before
+    gone = Counter(before) - Counter(left["near duplicates"])
+    assert gone == Counter({"5": 1, "6": 1, "8": 1})  # rows 5, 5, 6 are copies, 7 and 8 near ones; texts without words stay
+    assert Counter(before) - Counter(left["line dedup"]) == Counter()
+
+
 def test_emptied_documents_go_and_others_stay(spark):
     long = " ".join(f"z{i}" for i in range(50))
     rows = [(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, "", "en", "s", 0), (4, None, "en", "s", None), (5, f"x\n{long}", "en", "s", None)]

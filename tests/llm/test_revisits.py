@@ -21,6 +21,12 @@ def at(minutes):
         ("https://x.org:8080/A/b?b=2&utm_source=q&a=1#f", "https://x.org:8080/A/b?a=1&b=2"),
         ("https://x.org:443/?UTM_medium=1", "https://x.org/"),
         ("http://x.org/?a=1&a=1&", "http://x.org/?a=1&a=1"),
+        ("http://h:443/a", "http://h:443/a"),
+        ("https://h:80/a", "https://h:80/a"),
+        ("ftp://h:80", "ftp://h:80/"),
+        ("https://h:443", "https://h/"),
+        ("http://h:", "http://h/"),
+        ("http://h/" + "p" * 40_000, "http://h/" + "p" * 40_000),
         ("nothing", "nothing"),
         (None, None),
     ],
@@ -95,6 +101,19 @@ def test_odd_empty_and_clashing(spark):
     assert revisits.resolve(more).count() == 6
 
 
+def test_one_id_with_different_contents(spark):
+    """Whatever the order of the rows, the same response answers."""
+    def body(text, digest, minutes=0):
+        return ("a", "response", "u", at(minutes), 200, {"ETag": '"1"', "X": "h" * 20_000}, digest, text)
+
+    asked = [record("b", "revisit", "u", 5), record("c", "revisit", "u", 15)]
+    some = [body("A", "d1"), body("B", "d2"), body("C", "d2"), body("old", None), body("later", "d0", 10)]
+    for rows in (some, some[::-1]):
+        out = resolved(spark, rows + asked)
+        assert (out["b"].payload, out["b"].refers_to_date) == ("C", at(0))
+        assert (out["c"].payload, out["c"].refers_to_date) == ("later", at(10))
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = revisits.revisit_rows(pages).collect()
