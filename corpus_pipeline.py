@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 result as Parquet below the shared scratch folder and the next stage reads it.
+Rows with a null id are documents like others. A null, empty or blank text has no
+words, so the quality rules reject it; the later stages keep it. Equal rows are
+copies: the near-duplicate stage keeps one. An empty table stays empty, and other
+columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the text decoded from them."""
-    return bpe.encode_rows(docs)
+    """Token ids in place of every text, with digests of the ids and of the text decoded from them."""
+    return bpe.encode_corpus(docs)
 
 
 STAGES = [
