@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from tablehaul.operators.merge import skip_existing
-from tablehaul.operators.writes import _order_names, prepare, publish, replace_load, table_exists, truncate_load, upsert_load
+from tablehaul.operators.versions import commit, table_exists
+from tablehaul.operators.writes import _order_names, prepare, replace_load, truncate_load, upsert_load
 
 MODES = ("append", "truncate", "replace", "upsert", "skip_existing")
 
@@ -32,11 +33,15 @@ def copy_table(src: DataFrame, table: str, root: str, mode: str = "append", keys
         sent = None
         upsert_load(rows, table, root, keys, order_by)
     else:
-        target = spark.table(table)
-        ready = prepare(rows, target.schema, order_by or [], fill=True)
-        after = target.unionByName(ready.select(*target.columns)) if mode == "append" else skip_existing(target, ready, keys, _order_names(order_by)).select(*target.columns)
         sent = None
-        publish(after, table, root)
+
+        def after(target: DataFrame) -> DataFrame:
+            ready = prepare(rows, target.schema, order_by or [], fill=True)
+            if mode == "append":
+                return target.unionByName(ready.select(*target.columns))
+            return skip_existing(target, ready, keys, _order_names(order_by)).select(*target.columns)
+
+        commit(spark, table, root, after)
     stored = spark.table(table).count()
     read = seen.get["read"] if sent is None else sent
     return spark.createDataFrame(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablehaul.functions.messages import log_level
 from tablehaul.functions.records import (
@@ -14,9 +14,10 @@ from tablehaul.functions.records import (
     script_text,
 )
 from tablehaul.operators.merge import one_per_key
-from tablehaul.operators.skew import join_per_key
 
 PAGE_SIZE = 10
+#: Records that are sorted for a page at most, and ranges they are counted by.
+SORTED, RANGES = 10_000, 1024
 
 
 def latest_runs(records: DataFrame, limit: int | None = 100, order: str = "seq") -> DataFrame:
@@ -63,18 +64,63 @@ def history_search(
 def history_page(records: DataFrame, page: int = 1, size: int = PAGE_SIZE, order: str = "seq") -> DataFrame:
     """One page by start time, latest first, records without a start last; adds ``position``.
 
-    A page past the end gives the last one. Only the first ``page * size`` records
-    of the order are kept, and everything after that works on those.
+    A page past the end gives the last one. Records are counted by ranges of their
+    start until the page is known to lie in ranges of at most ``SORTED`` records (or
+    among as many of one start by ``order``, which no two records share); only those are sorted. So the last page
+    costs no more than the first, and the driver sees at most ``RANGES`` numbers a pass.
     """
     page = max(1, page)
-    by = [F.col("run_summary.started_at").desc_nulls_last(), F.col(order).desc()]
-    top = records.orderBy(*by).limit(page * size)
-    everything = Window.partitionBy(F.lit(1))
-    placed = top.withColumn("position", F.row_number().over(everything.orderBy(*by))).withColumn(
-        "_n", F.count("*").over(everything)
-    )
-    shown = F.least(F.lit(page), F.ceil(F.col("_n") / size))
-    return placed.filter((F.col("position") > (shown - 1) * size) & (F.col("position") <= shown * size)).drop("_n")
+    start = F.col("run_summary.started_at")
+    by = [start.desc_nulls_last(), F.col(order).desc()]
+    found = records.agg(F.count("*").alias("n"), F.count(start).alias("started")).first()
+    shown = min(page, max(1, -(-found["n"] // size)))
+    skip = (shown - 1) * size
+    if skip + size <= SORTED:
+        parts = [(records, skip, size)]
+    else:
+        at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), start)
+        dated = min(max(found["started"] - skip, 0), size)
+        parts = _ranges_of(records.filter(start.isNotNull()), [at, F.col(order)], skip, dated)
+        parts += _ranges_of(records.filter(start.isNull()), [F.col(order)], max(skip - found["started"], 0), size - dated)
+    done, out = skip, None
+    for rows, above, wanted in parts:
+        # one partition, in order: what comes out of a sort with a limit
+        one = rows.orderBy(*by).offset(above).limit(wanted).withColumn("position", F.monotonically_increasing_id() + F.lit(done + 1).cast("bigint"))
+        out, done = one if out is None else out.unionAll(one), done + wanted
+    return out
+
+
+def _ranges_of(rows: DataFrame, keys: list[Column], skip: int, size: int) -> list[tuple[DataFrame, int, int]]:
+    """(rows, skip, size) of the key ranges that hold the ``size`` rows after the first ``skip``, greatest keys first."""
+    if size <= 0:
+        return []
+    key = keys[0]
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    if n <= SORTED or n == 0:
+        return [(rows, skip, size)]
+    if low == high:
+        return _ranges_of(rows, keys[1:], skip, size) if keys[1:] else [(rows, skip, size)]
+    step = max(1, -(-(high - low + 1) // RANGES))
+    number = F.call_function("div", key - F.lit(low), F.lit(step))
+    counts = dict(rows.groupBy(number.alias("range")).count().collect())
+    first, above, held = None, skip, []
+    for r in sorted(counts, reverse=True):
+        if first is None and above >= counts[r]:
+            above -= counts[r]
+            continue
+        first = r if first is None else first
+        held.append(r)
+        if sum(counts[x] for x in held) - above >= size:
+            break
+    between = lambda a, b: rows.filter((key >= F.lit(low + a * step)) & (key < F.lit(low + (b + 1) * step)))
+    if sum(counts[x] for x in held) <= SORTED:
+        return [(between(held[-1], held[0]), above, size)]
+    out = []
+    for r in held:
+        take = min(size, counts[r] - above)
+        out += _ranges_of(between(r, r), keys, above, take)
+        size, above = size - take, 0
+    return out
 
 
 def history_after(records: DataFrame, started_at=None, seq: int | None = None, size: int = PAGE_SIZE, order: str = "seq") -> DataFrame:
@@ -165,6 +211,26 @@ def run_scripts(records: DataFrame) -> DataFrame:
     ).select("run_id", F.size("objects").cast("bigint").alias("statements"), script_text(F.col("objects")).alias("full_script"))
 
 
+def newest_records(records: DataFrame, order: str = "seq") -> DataFrame:
+    """The newest record of each run; records without a run id are left out."""
+    run_id = F.col("run_summary.run_id")
+    named = records.filter(F.coalesce(F.trim(run_id), F.lit("")) != "").withColumn("_run", run_id)
+    return one_per_key(named, ["_run"], [order]).drop("_run")
+
+
+def mirror_objects(records: DataFrame) -> DataFrame:
+    """Child rows: the objects of each record, numbered from 1, with what is missing as empty text or 0."""
+    blank = F.lit("")
+    o = F.col("o")
+    return records.select(F.col("run_summary.run_id").alias("run_id"), F.posexplode("run_summary.object_results").alias("pos", "o")).select(
+        "run_id",
+        (F.col("pos") + 1).cast("bigint").alias("sequence_no"),
+        *[F.coalesce(o[c], blank).alias(c) for c in ("object_type", "object_name", "status")],
+        F.coalesce(o["rows_migrated"], F.lit(0)).cast("bigint").alias("rows_migrated"),
+        *[o[c].alias(c) for c in ("error_type", "error_message", "remediation", "started_at", "completed_at")],
+    )
+
+
 def mirror_runs(records: DataFrame, order: str = "seq") -> DataFrame:
     """Parent rows: the newest record of each run, with its first failed object and first error message."""
     run = F.col("run_summary")
@@ -190,9 +256,3 @@ def log_rows(records: DataFrame) -> DataFrame:
     return records.select(
         F.col("run_summary.run_id").alias("run_id"), F.posexplode("logs").alias("pos", "message")
     ).select("run_id", (F.col("pos") + 1).cast("bigint").alias("sequence_no"), log_level(F.col("message")).alias("level"), "message")
-
-
-def replace_children(existing: DataFrame, fresh: DataFrame, runs: DataFrame) -> DataFrame:
-    """Child rows after the children of ``runs`` (run_id) were deleted and ``fresh`` inserted."""
-    kept = join_per_key(existing, runs.select("run_id").distinct(), ["run_id"], "left_anti")
-    return kept.unionByName(fresh)

@@ -71,7 +71,8 @@ def upsert(
 
     Matched rows take all source values; columns only the target has stay.
     ``fill`` columns keep the old value where the new one is null, ``keep``
-    columns keep it always. Source rows with a null key part are inserted.
+    columns keep it always. Source rows with a null key part are inserted. If a key
+    repeats in the target, each of its rows is updated, as by SQL's MERGE.
     ``order_by`` may name source columns the target lacks.
     """
     _need(keys)
@@ -86,7 +87,8 @@ def upsert(
         # counted keys are those of the uniqueness check, so they are shuffled once.
         hits = _key_counts(given, keys).filter("_n > 0").drop("_n")
         kept = join_per_key(old, hits, keys, "left_anti")
-        merged = kept.unionByName(one_per_key(given, keys, order_by).drop(*order_only))
+        new = one_per_key(given, keys, order_by).drop(*order_only)
+        merged = kept.unionByName(new).unionByName(_for_repeated(new, old, keys))
         src = src.drop(*order_only)
     else:
         new = _fold(given, keys, order_by, fill, keep) if (fill or keep) and order_by else one_per_key(given, keys, order_by)
@@ -109,6 +111,13 @@ def upsert(
     return merged.select(*[F.col(quoted(c)) for c in tgt.columns])
 
 
+def _for_repeated(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """``new`` rows once more for each further target row of their key; only the target's keys are read."""
+    more = _key_counts(old, keys).filter("_n > 1")
+    again = new.join(more, keys).withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("bigint"), "_n")))
+    return again.select(*[F.col(quoted(c)) for c in new.columns])
+
+
 def _fold(src: DataFrame, keys: list[str], order_by: list[str], fill: list[str], keep: list[str]) -> DataFrame:
     """Several source rows of a key as the one row their application in order amounts to."""
     order = F.struct(*[F.col(quoted(c)) for c in order_by])

@@ -244,15 +244,14 @@ def with_fingerprint(df: DataFrame, sql: str = "input_sql", name: str = "history
 
 
 def latest_transforms(history: DataFrame, order: str = "seq") -> DataFrame:
-    """Last write per fingerprint, and ``first_seq``, when the fingerprint was first written."""
-    return _latest(with_fingerprint(history), order)
+    """Last write per fingerprint, and ``first_seq``, when the fingerprint was first written.
 
-
-def _latest(keyed: DataFrame, order: str) -> DataFrame:
-    rest = [c for c in keyed.columns if c != "history_key"]
-    last = F.max_by(F.struct(*[F.col(quoted(c)) for c in rest]), F.col(order)).alias("_last")
-    written = keyed.groupBy("history_key").agg(last, F.min(order).alias("first_seq"))
-    return written.select("history_key", "_last.*", "first_seq")
+    Only fingerprints and numbers are aggregated; the row of each last write is then
+    found by its number, which no two records share.
+    """
+    ends = with_fingerprint(history).groupBy("history_key").agg(F.max(order).alias(order), F.min(order).alias("first_seq"))
+    rest = [c for c in history.columns if c != "history_key"]
+    return history.drop("history_key").join(ends, order).select("history_key", *[F.col(quoted(c)) for c in rest], "first_seq")
 
 
 def _with_keys(df: DataFrame) -> DataFrame:
@@ -272,21 +271,27 @@ def transform_reuse(requests: DataFrame, history: DataFrame, order: str = "seq")
 
     A hit has the same text and the same seven fields, none of them blank, and
     succeeded. The same object name wins, else the oldest fingerprint. History is
-    cut to one row per key before either join, so no request multiplies, however
-    many statements are alike.
+    cut to one row of two digests and two numbers per key before any join, so no request multiplies, however
+    many statements are alike; outputs are fetched by their number at the end.
     """
-    known = _with_keys(history).select("history_key", "_loose", "status", "output_sql", order)
-    usable = _latest(known, order).filter((plain(F.col("status")) == "success") & F.col("_loose").isNotNull())
-    # Both uses read the same columns, so the aggregated history is shuffled once and reused.
-    output = F.struct("history_key", "output_sql", "first_seq")
-    exact = usable.select(F.col("history_key").alias("_key"), output.alias("_exact"))
-    oldest = usable.groupBy("_loose").agg(F.min_by(output, "first_seq").alias("_oldest"))
+    succeeded = F.when(plain(F.col("status")) == "success", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    # the last number and whether that write succeeded, as one number that a hash aggregate can take the maximum of
+    known = _with_keys(history).select("history_key", "_loose", (F.col(order) * 2 + succeeded).alias("_write"), F.col(order).alias("first_seq"))
+    ends = known.groupBy("history_key", "_loose").agg(F.max("_write").alias("_write"), F.min("first_seq").alias("first_seq"))
+    usable = ends.filter("_loose IS NOT NULL AND pmod(_write, 2) = 1").withColumn("_write", F.shiftright("_write", 1))
+    oldest = usable.groupBy("_loose").agg(F.min("first_seq").alias("first_seq"))
+    firsts = usable.join(oldest, ["_loose", "first_seq"])
+    # both ways to find an output as one table: the digest that is looked up, and what it finds
+    found = usable.select(F.col("history_key").alias("_digest"), "history_key", "_write").unionAll(firsts.select("_loose", "history_key", "_write"))
+    outputs = history.select(F.col(order).alias("_write"), "output_sql")
+    lookup = found.join(outputs, "_write").select("_digest", F.struct("history_key", "output_sql").alias("_found"))
     asked = _with_keys(requests).withColumnRenamed("history_key", "_key")
     # A request with a blank field hits nothing; its keys match no digest but still spread over the shuffle.
     nothing = F.concat(F.lit("-"), F.col("_key"))
     asked = asked.withColumn("_key", F.when(F.col("_loose").isNull(), nothing).otherwise(F.col("_key")))
     asked = asked.withColumn("_loose", F.coalesce("_loose", "_key"))
-    joined = join_per_key(join_per_key(asked, exact, ["_key"]), oldest, ["_loose"])
+    named = lambda key, value: lookup.select(F.col("_digest").alias(key), F.col("_found").alias(value))
+    joined = join_per_key(join_per_key(asked, named("_key", "_exact"), ["_key"]), named("_loose", "_oldest"), ["_loose"])
     hit = F.coalesce("_exact", "_oldest")
     return joined.select(
         *[F.col(quoted(c)) for c in requests.columns],

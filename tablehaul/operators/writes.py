@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tablehaul.functions.names import quoted
+from tablehaul.operators import versions
 from tablehaul.operators.columns import append_evolving, drop_blank_rows, matched_names
-from tablehaul.operators.history import replace_children
+from tablehaul.operators.history import log_rows, mirror_objects, mirror_runs, newest_records
 from tablehaul.operators.merge import new_rows, upsert
-from tablehaul.session import use_checkpoints
-
-CHILD_BUCKETS = 64
+from tablehaul.operators.skew import join_per_key
+from tablehaul.operators.versions import create_table, table_exists
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
@@ -52,15 +51,6 @@ def append_load(src: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def table_exists(spark: SparkSession, table: str) -> bool:
-    return spark.catalog.tableExists(table)
-
-
-def create_table(spark: SparkSession, table: str, schema, location: str) -> None:
-    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet LOCATION '{location}'")
-
-
 def truncate_load(src: DataFrame, table: str, location: str) -> int:
     """Empty the table, keep its definition, insert. A table that is not there is created."""
     spark = src.sparkSession
@@ -74,40 +64,36 @@ def truncate_load(src: DataFrame, table: str, location: str) -> int:
 def replace_load(src: DataFrame, table: str, location: str) -> int:
     """Give the table the source's columns and rows, whatever it had before.
 
-    The new files are complete, in a folder of their own below ``location``, before
-    the old definition goes, so the source may read the table itself and a failed
-    write changes nothing.
+    A new version below ``location``: its files are complete before it counts, so the
+    source may read the table itself and a failed write changes nothing. A table
+    keeps the folder of versions it was made with.
     """
-    spark = src.sparkSession
     counted, seen = _counted(drop_blank_rows(src))
-    folder = f"{location.rstrip('/')}/v-{uuid.uuid4().hex}"
-    counted.write.parquet(folder)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    create_table(spark, table, src.schema, folder)
+    versions.commit(src.sparkSession, table, location, lambda _: counted, again=False)
     return seen.get["n"]
 
 
 def publish(df: DataFrame, table: str, root: str) -> str:
-    """Write ``df`` to a new folder below ``root`` and point the table to it.
+    """Make ``df`` the table's next version below ``root``; returns its folder.
 
     The plan may read the table itself: the old files stay until the new ones are
-    complete, and readers see one version or the other.
+    complete, and readers see one version or the other. Whatever other writers did
+    meanwhile is replaced; to keep it, use :func:`versions.commit`.
     """
-    spark = df.sparkSession
-    folder = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    if table_exists(spark, table):
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
-        spark.catalog.refreshTable(table)
-    else:
-        create_table(spark, table, df.schema, folder)
-    return folder
+    return versions.commit(df.sparkSession, table, root, lambda _: df, again=False)
 
 
 def upsert_load(src: DataFrame, table: str, root: str, keys: list[str], order_by: list[str] | None = None) -> str:
-    """Merge into a table by key; built-in file formats have no MERGE, so a new version is published."""
-    tgt = src.sparkSession.table(table)
-    return publish(upsert(tgt, prepare(src, tgt.schema, order_by or []), keys, _order_names(order_by)), table, root)
+    """Merge into a table by key; built-in file formats have no MERGE, so a new version is committed.
+
+    If another writer commits first, the merge is planned again on its rows, so
+    neither loses any.
+    """
+
+    def merged(tgt: DataFrame) -> DataFrame:
+        return upsert(tgt, prepare(src, tgt.schema, order_by or []), keys, _order_names(order_by))
+
+    return versions.commit(src.sparkSession, table, root, merged)
 
 
 def skip_existing_load(src: DataFrame, path: str, keys: list[str], order_by: list[str] | None = None) -> int:
@@ -121,66 +107,94 @@ def skip_existing_load(src: DataFrame, path: str, keys: list[str], order_by: lis
 
 def evolve_load(src: DataFrame, table: str, root: str) -> str:
     """Append with new source columns added to the table."""
-    spark = src.sparkSession
-    tgt = spark.table(table)
-    grown = append_evolving(tgt, drop_blank_rows(src))
-    new = [f for f in grown.schema.fields if f.name not in tgt.columns]
-    if new:
-        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in new)
-        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
-    return publish(grown, table, root)
+    return versions.commit(src.sparkSession, table, root, lambda tgt: append_evolving(tgt, drop_blank_rows(src)))
+
 
+# --- children of runs -----------------------------------------------------
 
-def _bucketed(children: DataFrame, buckets: int) -> DataFrame:
-    return children.withColumn("run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+_GENERATION = r"/(g-[0-9a-f]{32})/"
+
+
+def mirror_children(fresh: DataFrame, runs: DataFrame, path: str) -> None:
+    """Delete the children of ``runs`` (run_id) at ``path`` and insert ``fresh``; the first call creates it.
+
+    Nothing stored is read or rewritten: a call adds a generation, a folder with the
+    new children and one with the runs it speaks for, those of ``runs`` and of
+    ``fresh``. Readers take each run's children from the last generation that names it,
+    so a run that is named without children has none. A null run_id belongs to no run.
+    The generation counts from its version note on; a failed call leaves nothing that counts, and
+    calls at the same time come one after the other.
+    """
+    spark = fresh.sparkSession
+    folder = f"{path.rstrip('/')}/g-{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{folder}/children")
+    _add_generation(spark, path, folder, runs, fresh.schema)
+
+
+def _add_generation(spark: SparkSession, path: str, folder: str, runs: DataFrame, schema) -> None:
+    # the runs of what was written, should ``fresh`` come out differently when computed again
+    written = spark.read.schema(schema).parquet(f"{folder}/children").select("run_id")
+    runs.select("run_id").unionAll(written).where("run_id IS NOT NULL").distinct().write.parquet(f"{folder}/runs")
+    versions.add_version(spark, path.rstrip("/"), lambda folders: [*folders, folder])
+
+
+def _children_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    place = F.create_map(*[F.lit(x) for i, folder in enumerate(folders) for x in (folder.rsplit("/", 1)[1], i)])
+    at = F.element_at(place, F.regexp_extract("_metadata.file_path", _GENERATION, 1)).alias("_at")
+    children = spark.read.parquet(*[f"{f}/children" for f in folders]).where("run_id IS NOT NULL")
+    if len(folders) == 1:
+        return children
+    runs = spark.read.parquet(*[f"{f}/runs" for f in folders]).select("run_id", at)
+    last = runs.groupBy("run_id").agg(F.max("_at").alias("_at"))
+    return join_per_key(children.select("*", at), last, ["run_id", "_at"], "inner").drop("_at")
 
 
 def read_children(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("run_id IS NOT NULL").drop("run_bucket")
+    """The children of every run, from the last generation that names it: a narrow maximum per run and one join."""
+    folders = versions.newest(spark, path.rstrip("/"))[1]
+    if not folders:
+        raise FileNotFoundError(f"nothing is mirrored at {path}")
+    return _children_of(spark, folders)
 
 
-def _same_buckets(spark: SparkSession, path: str, buckets: int, first: bool) -> None:
-    """Keep the number of buckets beside the data, and refuse another one."""
-    note = f"{path}/_buckets"  # a folder that readers of ``path`` pass over
-    if first:
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(note)
-        return
-    made = spark.read.schema("buckets int").json(note).first()["buckets"]
-    if made != buckets:
-        raise ValueError(f"{path} was made with {made} buckets, not {buckets}")
+def compact_children(spark: SparkSession, path: str) -> str:
+    """Write the current children as one generation in place of all they came from; returns its folder.
 
+    Generations that are added meanwhile stay behind it and keep their say. The old
+    folders stay for readers that began before; ``versions.retire_versions`` deletes them.
+    """
+    root = path.rstrip("/")
+    old = versions.newest(spark, root)[1]
+    if not old:
+        raise FileNotFoundError(f"nothing is mirrored at {path}")
+    folder = f"{root}/g-{uuid.uuid4().hex}"
+    _children_of(spark, old).write.parquet(f"{folder}/children")
+    spark.read.parquet(f"{folder}/children").select("run_id").distinct().write.parquet(f"{folder}/runs")
+
+    def swapped(now: list[str]) -> list[str]:
+        if now[: len(old)] != old:
+            raise versions.Conflict(f"{path} was compacted by another writer")
+        return [folder, *now[len(old) :]]
+
+    versions.add_version(spark, root, swapped)
+    return folder
 
-def mirror_children(fresh: DataFrame, runs: DataFrame, path: str, buckets: int = CHILD_BUCKETS) -> None:
-    """Delete the children of ``runs`` at ``path`` and insert ``fresh``; the first call creates it.
 
-    Runs that only ``fresh`` has are mirrored like those of ``runs``; all others
-    keep their children. Children live in a fixed number of hash buckets of their
-    run, so a mirror rewrites only the buckets its runs are in, and the number of
-    folders does not grow with the number of runs. The rebalance splits a bucket
-    that one large run fills over several tasks. ``buckets`` is kept with the data;
-    another number is an error.
+def mirror_records(records: DataFrame, table: str, root: str, order: str = "seq") -> None:
+    """Mirror run records: their runs into the catalog table, their log lines and objects below ``root``.
+
+    Of several records of one run the newest counts, for all three. Objects and
+    lines that a run had before are gone. The runs are stored last, so a run that is
+    listed has its children.
     """
-    spark = fresh.sparkSession
-    ids = runs.select("run_id").unionAll(fresh.select("run_id")).distinct()
-    incoming = _bucketed(fresh, buckets)
-    try:
-        existing = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        incoming.hint("rebalance", "run_bucket").write.partitionBy("run_bucket").parquet(path)
-        _same_buckets(spark, path, buckets, first=True)
-        return
-    _same_buckets(spark, path, buckets, first=False)
-    touched = [r[0] for r in _bucketed(ids, buckets).select("run_bucket").distinct().collect()]  # at most ``buckets``
-    if not touched:
-        return
-    old = existing.filter(F.col("run_bucket").isin(touched) & F.col("run_id").isNotNull())
-    # Only buckets with rows are overwritten, so each gets a row without a run; it takes
-    # the place of a bucket whose children are all gone.
-    marks = spark.range(buckets).select(F.col("id").cast("int").alias("run_bucket")).filter(F.col("run_bucket").isin(touched))
-    # Overwriting what is read: the new buckets are complete before the old ones go.
-    use_checkpoints(spark)
-    merged = replace_children(old, incoming, ids).unionByName(marks, allowMissingColumns=True)
-    ready = merged.hint("rebalance", "run_bucket").checkpoint()
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_bucket").parquet(path)
+    spark = records.sparkSession
+    root = root.rstrip("/")
+    newest = newest_records(records, order)
+    named = newest.select("run_summary.run_id")
+    mirror_children(log_rows(newest), named, f"{root}/logs")
+    mirror_children(mirror_objects(newest), named, f"{root}/objects")
+    parents = mirror_runs(newest, order)
+    if table_exists(spark, table) or versions.newest(spark, f"{root}/runs")[1]:
+        upsert_load(parents, table, f"{root}/runs", ["run_id"])
+    else:
+        publish(parents, table, f"{root}/runs")

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablehaul.functions.messages import log_level, log_stamp, log_text, log_tone
 from tablehaul.operators.merge import one_per_key, unkeyed, keyed, upsert
-from tablehaul.operators.writes import publish
+from tablehaul.operators.versions import commit
 
 LIVE_EVENT = "type string, message string, run_id string, seq bigint"
 
@@ -28,9 +28,10 @@ def broken_lines(events: DataFrame) -> DataFrame:
 
 
 def describe_log(events: DataFrame) -> DataFrame:
-    """Level, tone, time and text of log events; the same on a stream and on a batch."""
+    """Level, tone, time and text of log events; the same on a stream and on a batch. Broken lines are no events."""
     message = F.col("message")
-    return events.filter(F.col("type") == "log").select(
+    whole = events.filter(F.col(BROKEN).isNull()) if BROKEN in events.columns else events
+    return whole.filter(F.col("type") == "log").select(
         *[c for c in events.columns if c not in ("type", "message", BROKEN)],
         log_level(message).alias("level"),
         log_tone(message).alias("tone"),
@@ -39,6 +40,40 @@ def describe_log(events: DataFrame) -> DataFrame:
     )
 
 
+#: Where each line of a live log goes.
+OUTPUTS = ("log", "other", "broken")
+
+
+def start_log(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Split a live log: each line goes to one of ``log``, ``other`` (events of other types) and ``broken`` below ``path``.
+
+    All three are written from the same micro-batch, into folders of that batch
+    which a replay overwrites; :func:`read_log` reads one of them.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read once; lost blocks are read again from the same files
+        is_broken = F.col(BROKEN).isNotNull()
+        parts = {
+            "log": describe_log(batch),
+            "other": batch.filter(~is_broken & ~F.col("type").eqNullSafe(F.lit("log"))).drop(BROKEN),
+            "broken": broken_lines(batch),
+        }
+        for name in OUTPUTS:
+            parts[name].write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        batch.unpersist()
+
+    writer = events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One output of :func:`start_log`, with the number of the batch each line came in."""
+    if name not in OUTPUTS:
+        raise ValueError(f"unknown output {name!r}; one of {OUTPUTS}")
+    return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+
+
 def table_changes(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
     """New rows of a table folder as they arrive."""
     reader = spark.readStream.schema(schema)
@@ -104,7 +139,7 @@ def fold(table: str, root: str, path: str, keys: list[str], order_by: list[str])
     """
     spark = SparkSession.active()
     batches = spark.read.option("basePath", path).parquet(path).agg(F.max("batch_id")).first()[0]
-    publish(current_rows(spark.table(table), path, keys, order_by).select(*spark.table(table).columns), table, root)
+    commit(spark, table, root, lambda rows: current_rows(rows, path, keys, order_by).select(*rows.columns))
     spark.createDataFrame([(batches,)], "batch_id bigint").coalesce(1).write.mode("append").json(f"{path}/_folded")
 
 

@@ -174,6 +174,15 @@ def history_page(spark, sf):
     return page.select("run_summary.run_id", F.col("position").cast("bigint").alias("position"))
 
 
+@query(
+    f"""WITH {RECORDS}, o AS (SELECT run_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, seq DESC) AS position, count(*) OVER () AS n FROM records)
+    SELECT run_id, position FROM o WHERE position > (n - 1) // 10 * 10"""
+)
+def history_last_page(spark, sf):
+    page = history.history_page(run_records(spark, sf), page=10**9)
+    return page.select("run_summary.run_id", "position")
+
+
 @query(
     f"""WITH {RECORDS}, o AS (SELECT run_id, row_number() OVER (ORDER BY started_at DESC NULLS LAST, seq DESC) AS position FROM records)
     SELECT run_id FROM o WHERE position BETWEEN 21 AND 30"""
@@ -287,6 +296,41 @@ def mirror_runs(spark, sf):
     return history.mirror_runs(run_records(spark, sf))
 
 
+_PARENTS = f"""WITH {RECORDS}, f AS (SELECT event_id, arg_min(object_type, i) AS current_object_type, arg_min(object_name, i) AS current_object_name,
+      arg_min(error_message, i) FILTER (error_message IS NOT NULL) AS error_message FROM rec_objects WHERE status = 'error' GROUP BY 1)
+    SELECT run_id, CASE WHEN seq % 2 = 0 THEN status ELSE 'queued' END AS status, source_db, target_db, current_object_type, current_object_name, error_message, started_at, completed_at
+    FROM records LEFT JOIN f ON f.event_id = seq"""
+
+
+def _mirrored(spark, sf, label):
+    """All records mirrored as queued runs, then every other run again as it ended."""
+    root = scratch_path(spark, label)
+    name = "t_" + root.rsplit("-", 1)[1]
+    records = run_records(spark, sf)
+    queued = records.withColumn("run_summary", F.col("run_summary").withField("status", F.lit("queued")))
+    writes.mirror_records(queued, name, root)
+    writes.mirror_records(records.filter("seq % 2 = 0"), name, root)
+    return root, name
+
+
+@query(_PARENTS)
+def mirror_parents(spark, sf):
+    return spark.table(_mirrored(spark, sf, "parents")[1])
+
+
+@query(
+    f"""WITH {RECORD_OBJECTS} SELECT run_id, i + 1 AS sequence_no, object_type, object_name, status, rows_migrated, error_message, e.ts AS started_at
+    FROM rec_objects JOIN events e USING (event_id)"""
+)
+def mirror_objects(spark, sf):
+    """Objects of runs that were mirrored twice, then compacted."""
+    path = _mirrored(spark, sf, "objects")[0] + "/objects"
+    writes.compact_children(spark, path)
+    return writes.read_children(spark, path).select(
+        "run_id", "sequence_no", "object_type", "object_name", "status", "rows_migrated", "error_message", "started_at"
+    )
+
+
 @query(
     f"""WITH {RECORDS}, first_pass AS (SELECT run_id, 1 AS sequence_no, 'info' AS level, 'old line' AS message FROM records WHERE seq % 4 <> 1),
     lines AS (SELECT 'r' || event_id AS run_id, 1 AS sequence_no, 'Starting r' || event_id AS message, event_id FROM events
@@ -302,15 +346,14 @@ def mirror_children(spark, sf):
     runs = records.select("run_summary.run_id", "seq")
     old = runs.filter("seq % 4 <> 1")
     first = old.select("run_id", F.lit(1).cast("bigint").alias("sequence_no"), F.lit("info").alias("level"), F.lit("old line").alias("message"))
-    writes.mirror_children(first, old, path, buckets=8)
+    writes.mirror_children(first, old, path)
     again = records.filter("seq % 2 = 0")
-    writes.mirror_children(history.log_rows(again), again.select("run_summary.run_id"), path, buckets=8)
+    writes.mirror_children(history.log_rows(again), again.select("run_summary.run_id"), path)
     return writes.read_children(spark, path)
 
 
 @query(
-    """SELECT 'r' || event_id AS run_id, 1::bigint AS sequence_no, 'old' AS message FROM events WHERE event_id % 3 = 0
-    UNION ALL SELECT 'r' || event_id, 1::bigint, 'new' FROM events WHERE event_id % 3 = 1"""
+    """SELECT 'r' || event_id AS run_id, 1::bigint AS sequence_no, CASE WHEN event_id % 3 = 1 THEN 'new' ELSE 'old' END AS message FROM events"""
 )
 def mirror_new_runs(spark, sf):
     """What is mirrored belongs to runs that are not stored yet and that ``runs`` does not name."""
@@ -318,9 +361,9 @@ def mirror_new_runs(spark, sf):
     runs = base(spark, sf, "events").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("run_id"), "event_id")
     rows = runs.withColumn("sequence_no", F.lit(1).cast("bigint"))
     columns = ["run_id", "sequence_no", "message"]
-    writes.mirror_children(rows.filter("event_id % 3 = 0").withColumn("message", F.lit("old")).select(*columns), runs, path, buckets=8)
+    writes.mirror_children(rows.filter("event_id % 3 <> 1").withColumn("message", F.lit("old")).select(*columns), runs, path)
     fresh = rows.filter("event_id % 3 = 1").withColumn("message", F.lit("new")).select(*columns)
-    writes.mirror_children(fresh, runs.limit(0), path, buckets=8)
+    writes.mirror_children(fresh, runs.limit(0), path)
     return writes.read_children(spark, path)
 
 

@@ -78,19 +78,26 @@ def test_publish_while_reading_the_same_table(spark, rows):
     assert spark.table(name).columns == ["other"]
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 64])
-def test_children_of_a_rerun_are_replaced(spark, rows, buckets):
+@pytest.mark.parametrize("compact", [False, True])
+def test_children_of_a_rerun_are_replaced(spark, rows, compact):
     path = scratch_path(spark, "test")
     frame = lambda data: spark.createDataFrame(data, "run_id string, message string")
     runs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "run_id string")
-    kept = lambda: rows(writes.read_children(spark, path))
-    writes.mirror_children(frame([("a", "1"), ("b", "1"), ("c", "1")]), runs("a", "b", "c"), path, buckets)
-    writes.mirror_children(frame([("a", "2"), ("a", "3")]), runs("a", "b"), path, buckets)
+
+    def kept():
+        if compact:
+            writes.compact_children(spark, path)
+        return rows(writes.read_children(spark, path))
+
+    with pytest.raises(FileNotFoundError):
+        writes.read_children(spark, path)
+    writes.mirror_children(frame([("a", "1"), ("b", "1"), ("c", "1")]), runs("a", "b", "c"), path)
+    writes.mirror_children(frame([("a", "2"), ("a", "3")]), runs("a", "b"), path)
     assert kept() == [("a", "2"), ("a", "3"), ("c", "1")]
-    writes.mirror_children(frame([]), runs(), path, buckets)
-    writes.mirror_children(frame([]), runs("a", "c"), path, buckets)
+    writes.mirror_children(frame([]), runs(), path)
+    writes.mirror_children(frame([]), runs("a", "c"), path)
     assert kept() == []
-    writes.mirror_children(frame([("c", "9")]), runs("c"), path, buckets)
+    writes.mirror_children(frame([("c", "9")]), runs("c"), path)
     assert kept() == [("c", "9")]
 
 
@@ -159,22 +166,50 @@ def children(spark, *rows):
     return spark.createDataFrame(list(rows), "run_id string, message string")
 
 
-def test_mirror_keeps_runs_that_only_share_a_bucket(spark, rows):
+def test_mirror_keeps_runs_that_it_does_not_name(spark, rows):
     path = scratch_path(spark, "bucket")
     stored = [(f"r{i}", "old") for i in range(20)]
-    writes.mirror_children(children(spark, *stored), children(spark, *stored).select("run_id"), path, 4)
+    writes.mirror_children(children(spark, *stored), children(spark, *stored).select("run_id"), path)
     fresh = [(f"n{i}", "new") for i in range(6)]
-    writes.mirror_children(children(spark, *fresh), children(spark, fresh[0]).select("run_id"), path, 4)
+    writes.mirror_children(children(spark, *fresh), children(spark, fresh[0]).select("run_id"), path)
     assert rows(writes.read_children(spark, path)) == sorted(stored + fresh, key=repr)
 
 
-def test_mirror_refuses_another_number_of_buckets(spark, rows):
-    path = scratch_path(spark, "bucket-number")
-    one = children(spark, ("a", "1"))
-    writes.mirror_children(one, one.select("run_id"), path, 4)
-    with pytest.raises(ValueError, match="4 buckets, not 8"):
-        writes.mirror_children(one, one.select("run_id"), path, 8)
-    assert rows(writes.read_children(spark, path)) == [("a", "1")]
+def test_mirror_only_adds_files_and_the_last_generation_counts(spark, rows):
+    from tablehaul.operators import versions
+
+    path = scratch_path(spark, "generations")
+    for i in range(3):
+        writes.mirror_children(children(spark, ("a", f"a{i}"), (f"b{i}", "x"), (None, "nobody's")), children(spark, ("c", "")).select("run_id"), path)
+    number, folders = versions.newest(spark, path)
+    assert (number, len(folders)) == (3, 3)
+    assert rows(writes.read_children(spark, path)) == [("a", "a2"), ("b0", "x"), ("b1", "x"), ("b2", "x")]
+    text = writes.read_children(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text
+    before = rows(writes.read_children(spark, path))
+    writes.compact_children(spark, path)
+    assert len(versions.newest(spark, path)[1]) == 1 and rows(writes.read_children(spark, path)) == before
+    assert versions.retire_versions(spark, path) == 3 and rows(writes.read_children(spark, path)) == before
+
+
+def test_generation_added_while_another_compacts(spark, rows, monkeypatch):
+    from tablehaul.operators import versions
+
+    path = scratch_path(spark, "compacting")
+    for i in range(2):
+        writes.mirror_children(children(spark, ("a", f"{i}"), ("b", f"{i}")), children(spark, ("a", "")).select("run_id"), path)
+    plain = writes._children_of
+
+    def slow(spark_, folders):
+        found = plain(spark_, folders)
+        monkeypatch.setattr(writes, "_children_of", plain)
+        writes.mirror_children(children(spark, ("a", "new")), children(spark, ("a", "")).select("run_id"), path)
+        return found
+
+    monkeypatch.setattr(writes, "_children_of", slow)
+    writes.compact_children(spark, path)
+    assert len(versions.newest(spark, path)[1]) == 2
+    assert rows(writes.read_children(spark, path)) == [("a", "new"), ("b", "1")]
 
 
 def test_replace_may_read_its_own_table_and_survives_a_failed_write(spark, rows):
@@ -260,6 +295,24 @@ def test_folded_batches_are_passed_over(spark, rows):
     assert rows(streams.current_rows(spark.table(name), f"{root}/in", ["k"], ["at"])) == [(1, "newer"), (3, "c")]
 
 
+def test_each_line_of_a_live_log_is_in_one_output(spark, rows):
+    path = scratch_path(spark, "split")
+    lines = [
+        '{"type": "log", "message": "done", "run_id": "a", "seq": 1}', '{"type": "log", "message": "x", "run_id": "a", "seq": "no number"}', '{"type": "result", "message": "{}", "run_id": "a", "seq": 2}',
+        '{"type": "log", "message": "cut', '{"message": "no type", "seq": 3}', "[1, 2]", '{"type": "log", "message": null, "seq": 4}',
+    ]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/in")
+    for _ in range(2):  # a second run finds nothing new
+        streams.start_log(streams.live_log(spark, f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    found = {name: streams.read_log(spark, f"{path}/out", name) for name in streams.OUTPUTS}
+    assert {name: df.count() for name, df in found.items()} == {"log": 2, "other": 2, "broken": 3}
+    assert [r.seq for r in found["log"].orderBy("seq").collect()] == [1, 4]
+    assert "no number" in "".join(r.line for r in found["broken"].collect())
+    assert streams.describe_log(streams.live_log(spark, f"{path}/in")).columns == ["run_id", "seq", "level", "tone", "logged_at", "text"]
+    with pytest.raises(ValueError, match="unknown output"):
+        streams.read_log(spark, f"{path}/out", "logs")
+
+
 def test_clashing_target_names_are_an_error(spark):
     from tablehaul.operators.columns import matched_names
 

@@ -107,3 +107,15 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     items = spark.range(1000).selectExpr("id % 3 AS k", "id AS n")
     plan = merge.one_per_key(items, ["k"], ["n"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_keys_that_repeat_in_the_target_are_each_updated(spark, rows):
+    """Whole rows and some columns agree: every target row of the key takes the new values."""
+    target = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "c", "z"), (2, "d", "w"), (None, "n", "n"), (None, "n", "n")], "k int, v string, w string")
+    source = spark.createDataFrame([(1, "new", "NEW"), (3, "in", "IN")], "k int, v string, w string")
+    rest = [(2, "d", "w"), (3, "in", "IN"), (None, "n", "n"), (None, "n", "n")]
+    assert rows(merge.upsert(target, source, ["k"])) == sorted([(1, "new", "NEW")] * 3 + rest, key=repr)
+    some = rows(merge.upsert(target, source.drop("w"), ["k"]))
+    assert some == sorted([(1, "new", w) for w in "xyz"] + [(2, "d", "w"), (3, "in", None), (None, "n", "n"), (None, "n", "n")], key=repr)
+    filled = rows(merge.upsert(target, source, ["k"], fill=["w"]))
+    assert filled == rows(merge.upsert(target, source, ["k"]))

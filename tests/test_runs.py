@@ -1,3 +1,4 @@
+import re
 import datetime as dt
 
 import pytest
@@ -205,3 +206,35 @@ def test_triggers_of_snowflake_are_not_stopped_by_rule(spark):
 
 def test_types_are_the_known_nine():
     assert len(OBJECT_TYPES) == 9 and set(BLOCKERS) <= set(OBJECT_TYPES)
+
+
+@pytest.mark.parametrize("limit", [7, 40, 10_000])
+def test_any_page_by_counted_ranges(spark, monkeypatch, limit):
+    """Ties, records without a start, and one start that a third of all records have."""
+    import datetime as dt
+    import random
+
+    monkeypatch.setattr(history, "SORTED", limit)
+    monkeypatch.setattr(history, "RANGES", 16)
+    pick = random.Random(limit)
+    some = [None if pick.random() < 0.2 else dt.datetime(2024, 1, 1) if pick.random() < 0.4 else dt.datetime(2020, 1, 1) + dt.timedelta(microseconds=pick.randrange(10**14)) for _ in range(300)]
+    rows = [((at,), i) for i, at in enumerate(some)]
+    df = spark.createDataFrame(rows, "run_summary struct<started_at: timestamp_ntz>, seq bigint")
+    order = sorted(rows, key=lambda r: (r[0][0] is not None, r[0][0] or dt.datetime.min, r[1]), reverse=True)
+    for page, size in ((1, 10), (2, 10), (13, 10), (24, 10), (25, 10), (30, 10), (99, 10), (2, 170), (1, 1000), (43, 7), (0, 10)):
+        last = -(-300 // size)
+        first = (min(max(1, page), last) - 1) * size
+        got = [(r.seq, r.position) for r in history.history_page(df, page, size).orderBy("position").collect()]
+        assert got == [(r[1], first + i + 1) for i, r in enumerate(order[first : first + size])], (page, size)
+    assert history.history_page(df.limit(0), 3).count() == 0
+
+
+def test_a_deep_page_sorts_only_its_range(spark, monkeypatch):
+    monkeypatch.setattr(history, "SORTED", 50)
+    df = spark.range(20_000).selectExpr("named_struct('started_at', timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)) AS run_summary", "id AS seq")
+    page = history.history_page(df, 1990)
+    assert [r.seq for r in page.orderBy("position").collect()] == list(range(109, 99, -1))
+    text = page._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "SinglePartition" not in text
+    limits = [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=([0-9]+)", text)]
+    assert limits and max(limits) <= 60

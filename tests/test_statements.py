@@ -171,3 +171,12 @@ def test_digest_is_computed_once(spark):
     history = spark.createDataFrame([], f"seq int, status string, input_sql string, output_sql string, {FIELDS}")
     plan = statements.transform_reuse(history.drop("output_sql"), history)._jdf.queryExecution().executedPlan().toString()
     assert "isnotnull(sha2" not in plan
+
+
+@pytest.mark.parametrize("name", ["latest_transforms", "transform_reuse"])
+def test_texts_are_not_aggregated(spark, name):
+    from tablehaul.workload import texts as workload
+
+    df = getattr(workload, name)(spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text
