@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablehaul.functions.names import quoted
 
 DEFAULT_PARTITIONS = 8
+#: Rows that one reader should get at most.
+ROWS_PER_RANGE = 1_000_000
 
 
 def _splittable(kind: T.DataType) -> bool:
@@ -135,40 +137,65 @@ def cut_points(lower, upper, partitions: int = DEFAULT_PARTITIONS) -> list:
     return list(range(low + step, high + 1, step))
 
 
-def _sql_value(value) -> str:
-    if isinstance(value, dt.datetime):
-        return f"TIMESTAMP '{value.isoformat(sep=' ')}'"
-    return f"DATE '{value.isoformat()}'" if isinstance(value, dt.date) else str(value)
+def _sql_value(value, engine: str = "") -> str:
+    """A literal as the engine writes it; without an engine as Spark does."""
+    if not isinstance(value, dt.date):
+        return str(value)
+    kind, text = ("TIMESTAMP", value.isoformat(sep=" ")) if isinstance(value, dt.datetime) else ("DATE", value.isoformat())
+    if engine == "SQL Server":
+        return f"CAST('{text}' AS {'datetime2' if kind == 'TIMESTAMP' else 'date'})"
+    return f"{kind} '{text}'"
 
 
-def cut_predicates(key: str, cuts: list) -> list[str]:
+def cut_predicates(key: str, cuts: list, engine: str = "") -> list[str]:
     """SQL conditions, one per reader, that cover every row exactly once.
 
     The ranges are half-open, so fractional keys between two cuts are read; the
-    first and last are open outwards, and null keys have their own reader.
+    first and last are open outwards, and null keys have their own reader. ``key`` is
+    a name as the engine quotes it.
     """
     if not cuts:
         return [f"{key} IS NOT NULL", f"{key} IS NULL"]
-    at = [_sql_value(c) for c in cuts]
+    at = [_sql_value(c, engine) for c in cuts]
     inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(at, at[1:])]
     return [f"{key} < {at[0]}", *inner, f"{key} >= {at[-1]}", f"{key} IS NULL"]
 
 
-def range_predicates(key: str, lower, upper, partitions: int = DEFAULT_PARTITIONS) -> list[str]:
+def range_predicates(key: str, lower, upper, partitions: int = DEFAULT_PARTITIONS, engine: str = "") -> list[str]:
     """:func:`cut_predicates` of ranges of equal width."""
-    return cut_predicates(key, cut_points(lower, upper, partitions))
+    return cut_predicates(key, cut_points(lower, upper, partitions), engine)
 
 
-def plan_ranges(df: DataFrame, key: str | None = None, partitions: int = DEFAULT_PARTITIONS, quantiles: bool = False, **choice) -> list[str] | None:
+def sized_cuts(df: DataFrame, key: str, rows: int = ROWS_PER_RANGE) -> list:
+    """Cuts between which no more than ``rows`` rows lie, unless one key alone has more.
+
+    The number of ranges follows the number of rows: cuts are quantiles for half as
+    many rows a range, with an error of an eighth at most. The driver sees the cuts.
+    """
+    n = df.agg(F.count(quoted(key))).first()[0]
+    ranges = max(1, math.ceil(2 * n / max(1, rows)))
+    if ranges == 1 or n <= rows:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(F.col(quoted(key)), shares, max(10_000, 16 * ranges)).alias("cuts")).first()["cuts"]
+    return sorted(set(found or []))
+
+
+def plan_ranges(
+    df: DataFrame, key: str | None = None, partitions: int = DEFAULT_PARTITIONS, quantiles: bool = False, rows: int | None = None, **choice
+) -> list[str] | None:
     """Key, bounds and conditions of a table in one step; None if no column can be cut.
 
-    Bounds are one aggregation; with ``quantiles`` the cuts are approximate
-    quantiles, for uneven keys. The driver sees ``partitions`` values.
+    With ``rows`` there are as many ranges as the table needs for so many rows each.
+    Else bounds are one aggregation, or with ``quantiles`` the cuts are approximate
+    quantiles, for uneven keys; the driver sees ``partitions`` values.
     """
     key = key or choose_key(df.schema, **choice)
     if key is None or not _splittable(df.schema[key].dataType):
         return None
     name = quoted(key)
+    if rows is not None:
+        return cut_predicates(name, sized_cuts(df, key, rows))
     if quantiles:
         shares = [i / partitions for i in range(1, partitions)]
         found = df.agg(F.percentile_approx(F.col(name), shares, 10000).alias("cuts")).first()["cuts"] if shares else None

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablehaul.functions.checks import (
     balanced,
@@ -20,6 +20,7 @@ from tablehaul.functions.names import quoted
 from tablehaul.functions.rewrite_rules import Rule, builtin_rules, pair_rules
 from tablehaul.functions.text import contains_any, folded, plain, quick_start, replace_all, strip
 from tablehaul.operators.skew import join_per_key
+from tablehaul.session import scratch_path
 
 LOOKUP_FIELDS = [
     "source", "target", "source_database", "source_schema", "target_database", "target_schema", "object_type",
@@ -243,13 +244,20 @@ def with_fingerprint(df: DataFrame, sql: str = "input_sql", name: str = "history
     return normal.withColumn(name, _key(F.col("_normal"), [*LOOKUP_FIELDS, "object_name"])).drop("_normal")
 
 
+def _once(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def latest_transforms(history: DataFrame, order: str = "seq") -> DataFrame:
     """Last write per fingerprint, and ``first_seq``, when the fingerprint was first written.
 
-    Only fingerprints and numbers are aggregated; the row of each last write is then
-    found by its number, which no two records share.
+    Only fingerprints and numbers are aggregated, once, into a narrow table; the row of each last write is then
+    found by its number, which no two records share. Spark knows the size of that
+    table, so texts are only shuffled where it is too large to be sent around.
     """
-    ends = with_fingerprint(history).groupBy("history_key").agg(F.max(order).alias(order), F.min(order).alias("first_seq"))
+    ends = _once(with_fingerprint(history).groupBy("history_key").agg(F.max(order).alias(order), F.min(order).alias("first_seq")), "transform-ends")
     rest = [c for c in history.columns if c != "history_key"]
     return history.drop("history_key").join(ends, order).select("history_key", *[F.col(quoted(c)) for c in rest], "first_seq")
 
@@ -279,11 +287,12 @@ def transform_reuse(requests: DataFrame, history: DataFrame, order: str = "seq")
     known = _with_keys(history).select("history_key", "_loose", (F.col(order) * 2 + succeeded).alias("_write"), F.col(order).alias("first_seq"))
     ends = known.groupBy("history_key", "_loose").agg(F.max("_write").alias("_write"), F.min("first_seq").alias("first_seq"))
     usable = ends.filter("_loose IS NOT NULL AND pmod(_write, 2) = 1").withColumn("_write", F.shiftright("_write", 1))
-    oldest = usable.groupBy("_loose").agg(F.min("first_seq").alias("first_seq"))
-    firsts = usable.join(oldest, ["_loose", "first_seq"])
-    # both ways to find an output as one table: the digest that is looked up, and what it finds
-    found = usable.select(F.col("history_key").alias("_digest"), "history_key", "_write").unionAll(firsts.select("_loose", "history_key", "_write"))
+    # both ways to find an output as one table of digests, the oldest fingerprint for each
+    both = usable.select("history_key", "_write", "first_seq", F.explode(F.array("history_key", "_loose")).alias("_digest"))
+    oldest = F.row_number().over(Window.partitionBy("_digest").orderBy("first_seq"))
+    found = both.withColumn("_place", oldest).filter("_place = 1").drop("_place", "first_seq")
     outputs = history.select(F.col(order).alias("_write"), "output_sql")
+    # Both joins read the same columns of it, so it is worked out and shuffled once and reused.
     lookup = found.join(outputs, "_write").select("_digest", F.struct("history_key", "output_sql").alias("_found"))
     asked = _with_keys(requests).withColumnRenamed("history_key", "_key")
     # A request with a blank field hits nothing; its keys match no digest but still spread over the shuffle.

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablehaul.functions.records import OBJECT_TYPES
-from tablehaul.sources.tables import canonical_engine, read_jdbc
+from tablehaul.sources.tables import canonical_engine, jdbc_options, read_query
 
 # Schemas that belong to the engine, in lower case; engines differ in how they write them.
 SYSTEM_SCHEMAS = {
@@ -17,36 +17,60 @@ SYSTEM_SCHEMAS = {
     "Snowflake": ["information_schema"],
 }
 # Object type of each information_schema kind.
-KINDS = {"BASE TABLE": "table", "VIEW": "view", "PROCEDURE": "storedprocedure", "FUNCTION": "function"}
+KINDS = {"BASE TABLE": "table", "VIEW": "view", "PROCEDURE": "storedprocedure", "FUNCTION": "function", "TASK": "trigger"}
+#: Types of which one name may stand for several objects with other arguments.
+ROUTINES = ("storedprocedure", "function")
 
 
-def _view(view: str, schema: str, item: str, kind: str) -> str:
-    return f"SELECT {schema} AS schema_name, {item} AS object_name, {kind} AS kind FROM {view}"
+def _view(view: str, schema: str, item: str, kind: str, arguments: str = "''") -> str:
+    return f"SELECT {schema} AS schema_name, {item} AS object_name, {kind} AS kind, {arguments} AS arguments FROM {view}"
 
 
 _TABLES = _view("information_schema.tables", "table_schema", "table_name", "table_type")
-_ROUTINES = _view("information_schema.routines", "routine_schema", "routine_name", "routine_type")
 _TRIGGERS = _view("information_schema.triggers", "trigger_schema", "trigger_name", "'TRIGGER'")
 
-# Catalog queries of each engine, all with the columns schema_name, object_name, kind.
+# Catalog queries of each engine, all with the columns schema_name, object_name, kind, arguments (the types a routine takes).
 INVENTORY = {
-    "MySQL": [_TABLES, _ROUTINES, _TRIGGERS, _view("information_schema.events", "event_schema", "event_name", "'EVENT'")],
-    "PostgreSQL": [_TABLES, _ROUTINES.replace("routine_schema", "specific_schema"), _TRIGGERS],
+    "MySQL": [
+        _TABLES,
+        _view(
+            "information_schema.routines r", "r.routine_schema", "r.routine_name", "r.routine_type",
+            "coalesce((SELECT group_concat(p.dtd_identifier ORDER BY p.ordinal_position SEPARATOR ', ') FROM information_schema.parameters p "
+            "WHERE p.specific_schema = r.routine_schema AND p.specific_name = r.specific_name AND p.ordinal_position > 0), '')",
+        ),
+        _TRIGGERS,
+        _view("information_schema.events", "event_schema", "event_name", "'EVENT'"),
+    ],
+    "PostgreSQL": [
+        _TABLES,
+        _view(
+            "pg_catalog.pg_proc p JOIN pg_catalog.pg_namespace n ON n.oid = p.pronamespace WHERE p.prokind IN ('f', 'p')", "n.nspname", "p.proname",
+            "CASE p.prokind WHEN 'p' THEN 'PROCEDURE' ELSE 'FUNCTION' END", "pg_catalog.oidvectortypes(p.proargtypes)",
+        ),
+        _TRIGGERS,
+    ],
     "SQL Server": [
         _TABLES,
-        _ROUTINES,
-        "SELECT s.name AS schema_name, t.name AS object_name, 'TRIGGER' AS kind FROM sys.triggers t "
-        "JOIN sys.objects o ON t.parent_id = o.object_id JOIN sys.schemas s ON o.schema_id = s.schema_id "
-        "WHERE t.parent_class = 1",
-        "SELECT SCHEMA_NAME(schema_id) AS schema_name, name AS object_name, 'SEQUENCE' AS kind FROM sys.sequences",
-        "SELECT SCHEMA_NAME(schema_id) AS schema_name, name AS object_name, 'SYNONYM' AS kind FROM sys.synonyms",
+        _view(
+            "information_schema.routines r", "r.routine_schema", "r.routine_name", "r.routine_type",
+            "coalesce((SELECT string_agg(p.data_type, ', ') WITHIN GROUP (ORDER BY p.ordinal_position) FROM information_schema.parameters p "
+            "WHERE p.specific_schema = r.specific_schema AND p.specific_name = r.specific_name AND p.ordinal_position > 0), '')",
+        ),
+        _view(
+            "sys.triggers t JOIN sys.objects o ON t.parent_id = o.object_id JOIN sys.schemas s ON o.schema_id = s.schema_id WHERE t.parent_class = 1",
+            "s.name", "t.name", "'TRIGGER'",
+        ),
+        _view("sys.sequences", "SCHEMA_NAME(schema_id)", "name", "'SEQUENCE'"),
+        _view("sys.synonyms", "SCHEMA_NAME(schema_id)", "name", "'SYNONYM'"),
     ],
     "Snowflake": [
         _TABLES,
-        _view("information_schema.procedures", "procedure_schema", "procedure_name", "'PROCEDURE'"),
-        _view("information_schema.functions", "function_schema", "function_name", "'FUNCTION'"),
+        _view("information_schema.procedures", "procedure_schema", "procedure_name", "'PROCEDURE'", "argument_signature"),
+        _view("information_schema.functions", "function_schema", "function_name", "'FUNCTION'", "argument_signature"),
     ],
 }
+#: Tasks have no catalog view in Snowflake: the listing command goes before the query that reads it.
+SNOWFLAKE_TASKS = ("SHOW TASKS ->>", 'SELECT "schema_name" AS schema_name, "name" AS object_name, \'TASK\' AS kind, \'\' AS arguments FROM $1')
 
 
 def inventory_queries(engine: str, database: str | None) -> list[str]:
@@ -59,23 +83,32 @@ def inventory_queries(engine: str, database: str | None) -> list[str]:
 
 
 def read_inventory(spark: SparkSession, engine: str, connection: dict) -> DataFrame:
-    """(schema_name, object_name, object_type, database_name) of one database through its catalog views."""
+    """(schema_name, object_name, object_type, signature, database_name) of one database through its catalog views; Snowflake's tasks are triggers."""
     queries = inventory_queries(engine, connection.get("database"))
-    rows = [read_jdbc(spark, f"({sql}) inventory", engine, connection) for sql in queries]
-    united = reduce(DataFrame.unionAll, [r.toDF("schema_name", "object_name", "kind") for r in rows])
+    rows = [read_query(spark, sql, engine, connection) for sql in queries]
+    if canonical_engine(engine) == "Snowflake":
+        before, sql = SNOWFLAKE_TASKS
+        rows.append(spark.read.format("jdbc").options(**jdbc_options(engine, connection), prepareQuery=before, query=sql).load())
+    united = reduce(DataFrame.unionAll, [r.toDF("schema_name", "object_name", "kind", "arguments") for r in rows])
     return objects_of(united.withColumn("database_name", F.lit(connection.get("database"))), engine)
 
 
 def objects_of(rows: DataFrame, engine: str | None = None) -> DataFrame:
-    """Catalog rows with a ``kind`` as objects with a type; other kinds and system schemas are left out.
+    """Catalog rows with a ``kind`` as objects with a type and a signature; other kinds and system schemas are left out.
 
-    Schemas are compared in lower case with those of the engine, or of all engines.
+    The signature of a routine is its name with the types of ``arguments``, where the
+    rows have them, so overloads are objects of their own; of others it is the name. Schemas are compared in lower case with those of the engine, or of all engines.
     """
     own = SYSTEM_SCHEMAS[canonical_engine(engine)] if engine else sorted({s for names in SYSTEM_SCHEMAS.values() for s in names})
     pairs = [F.lit(part) for item in KINDS.items() for part in item]
     kind = F.upper("kind")
     typed = rows.withColumn("object_type", F.coalesce(F.element_at(F.create_map(*pairs), kind), F.lower("kind")))
-    return typed.filter(F.col("object_type").isin(OBJECT_TYPES) & ~F.lower("schema_name").isin(own)).drop("kind")
+    signature = F.col("object_name")
+    if "arguments" in rows.columns:
+        bare = F.regexp_replace(F.trim(F.coalesce("arguments", F.lit(""))), r"^\(|\)$", "")  # Snowflake has them in parentheses
+        signature = F.when(F.col("object_type").isin(*ROUTINES), F.concat("object_name", F.lit("("), F.trim(bare), F.lit(")"))).otherwise(signature)
+    typed = typed.withColumn("signature", signature)
+    return typed.filter(F.col("object_type").isin(OBJECT_TYPES) & ~F.lower("schema_name").isin(own)).drop("kind", "arguments")
 
 
 def databases(objects: DataFrame) -> DataFrame:
@@ -87,11 +120,11 @@ def schemas(objects: DataFrame) -> DataFrame:
 
 
 def object_listing(objects: DataFrame, object_type: str, schema: str | None = None) -> DataFrame:
-    """Names of one type, sorted; no database lists its cursors."""
+    """Objects of one type, sorted; overloads of a routine are objects of their own. No database lists its cursors."""
     found = objects.filter((F.col("object_type") == object_type) & (F.col("object_type") != "cursor"))
     if schema is not None:
         found = found.filter(F.col("schema_name") == schema)
-    return found.orderBy("schema_name", "object_name")
+    return found.orderBy("schema_name", "object_name", "signature")
 
 
 def object_summary(objects: DataFrame) -> DataFrame:

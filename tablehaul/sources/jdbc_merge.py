@@ -14,25 +14,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from tablehaul.functions.names import quoted
 from tablehaul.operators.merge import _fold, keyed, one_per_key, unkeyed
 from tablehaul.operators.writes import _order_names, prepare
-from tablehaul.sources.tables import DEFAULT_BATCH, canonical_engine, jdbc_options
+from tablehaul.sources.tables import DEFAULT_BATCH, canonical_engine, jdbc_options, qualified, quote_name
 
 MODES = ("upsert", "skip_existing")
 
-# The signs around a name in each engine.
-_MARKS = {"MySQL": "``", "PostgreSQL": '""', "SQL Server": "[]", "Snowflake": '""'}
-
-
-def quote_name(engine: str, name: str) -> str:
-    """One name as the engine quotes it."""
-    first, last = _MARKS[canonical_engine(engine)]
-    return first + name.replace(last, last * 2) + last
-
-
-def qualified(engine: str, table: str | Sequence[str]) -> str:
-    """A table's name; give the parts as a list where they hold dots."""
-    parts = table.split(".") if isinstance(table, str) else table
-    return ".".join(quote_name(engine, p) for p in parts)
-
 
 def staging_name(table: str | Sequence[str], mark: str | None = None) -> list[str]:
     """A name beside the table that nobody has used yet, short enough for every engine."""

@@ -15,17 +15,32 @@ _FORMAT = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-ROWS_PER_FILE = 250_000
+#: Bytes of text a staged file should have at most, and the share of rows that are measured for it.
+FILE_BYTES, MEASURED = 64 << 20, 0.01
 
 
-def stage_csv(df: DataFrame, path: str, style: str = "sentinel", rows_per_file: int = ROWS_PER_FILE) -> None:
+def rows_for(encoded: DataFrame, file_bytes: int = FILE_BYTES, share: float = MEASURED) -> int:
+    """How many rows of encoded cells make a file of about ``file_bytes``, by the mean of a sample; of all rows where the sample has too few."""
+    cell = lambda c: F.octet_length(F.coalesce(F.col(quoted(c)), F.lit(""))) + F.lit(3)
+    size = sum((cell(c) for c in encoded.columns), F.lit(1)).cast("long").alias("bytes")
+    sizes = encoded.select(size)
+    found = sizes.sample(share, seed=1).agg(F.avg("bytes"), F.count("*")).first()
+    if found[1] < 1000:
+        found = sizes.agg(F.avg("bytes"), F.count("*")).first()
+    return max(1, int(file_bytes / found[0])) if found[1] else 1
+
+
+def stage_csv(df: DataFrame, path: str, style: str = "sentinel", rows_per_file: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write ``df`` as staged text.
 
-    A quoted cell may hold line ends, so a file is read by one task; files are
-    kept small enough for that.
+    A quoted cell may hold line ends, so a file is read by one task; files have about
+    ``file_bytes`` at most, whatever the size of the cells. That takes a look at the
+    source's rows first, which ``rows_per_file`` spares.
     """
-    writer = encode_cells(df, style).write.mode("overwrite").options(**_FORMAT)
-    writer.option("maxRecordsPerFile", rows_per_file).csv(path, header=STYLES[style].header, lineSep="\n")
+    encoded = encode_cells(df, style)
+    rows = rows_per_file or rows_for(encoded, file_bytes)
+    writer = encoded.write.mode("overwrite").options(**_FORMAT)
+    writer.option("maxRecordsPerFile", rows).csv(path, header=STYLES[style].header, lineSep="\n")
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:

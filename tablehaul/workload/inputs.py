@@ -77,6 +77,11 @@ TABLES = {
            WHEN 4 THEN 'TRIGGER' WHEN 5 THEN 'SEQUENCE' ELSE 'SYSTEM VIEW' END AS kind,
       'o' || event_id AS object_name
     FROM {{events}}""",
+    # Routines with overloads, and the tasks of a scheduler.
+    "routine_catalog": """SELECT 'db' || (user_id % 3) AS database_name, 's' || (user_id % 7) AS schema_name,
+      CASE event_id % 5 WHEN 0 THEN 'PROCEDURE' WHEN 1 THEN 'BASE TABLE' WHEN 2 THEN 'TASK' ELSE 'FUNCTION' END AS kind,
+      'r' || (event_id % 50) AS object_name, CASE WHEN event_id % 5 = 4 THEN '(A NUMBER, B' || user_id || ' VARCHAR)' ELSE 'int, t' || event_id END AS arguments
+    FROM {events}""",
     "key_usage": """SELECT 'pk' || (l_orderkey % 5) AS constraint_name, 's' || (l_suppkey % 4) AS table_schema,
       't' || l_orderkey AS table_name, l_linenumber AS ordinal_position, 'c' || l_partkey AS column_name
     FROM {lineitem}""",
@@ -107,6 +112,10 @@ TABLES = {
       CASE WHEN event_id % 5 = 0 THEN 'tomorrow' ELSE '2024-02-' || (10 + event_id % 19) END AS day_text,
       value
     FROM {events}""",
+    "lossy_cells": """SELECT event_id, value AS amount, '' || (event_id % 1000) || CASE WHEN event_id % 3 = 0 THEN '.239' ELSE '.5' END AS price,
+      CASE WHEN event_id % 4 = 0 THEN date_trunc('day', ts) ELSE ts END AS ts, event_id % 7 + CASE WHEN event_id % 2 = 0 THEN 0e0 ELSE 25e-2 END AS whole,
+      CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 5 = 1 THEN '2024-02-03 04:05:06' ELSE '2024-02-03' END AS day_text
+    FROM {events}""",
     "cells": """SELECT event_id, event_id % 2 = 0 AS even,
       CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id END AS user_id,
       CAST(value AS decimal(12,3)) AS amount,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablehaul.functions.sql_types import MONEY_PRECISION, MYSQL_DEFAULT_LENGTH, MYSQL_LONGEST, NO_SUFFIX, type_map_rows
@@ -47,6 +49,16 @@ def range_scan_quantile(spark, sf):
     return partition.read_ranges(items, partition.plan_ranges(items, "l_orderkey", 6, quantiles=True))
 
 
+@query("SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS keys, true AS within FROM lineitem")
+def range_scan_sized(spark, sf):
+    """As many ranges as the rows need: no reader gets more than a thirtieth of the table."""
+    items = base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    most = items.count() // 30
+    conditions = partition.plan_ranges(items, "l_orderkey", rows=most)
+    counts = reduce(DataFrame.unionAll, [items.filter(c).agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("keys")) for c in conditions])
+    return counts.agg(F.sum("n").alias("row_count"), F.sum("keys").alias("keys"), (F.max("n") <= most).alias("within"))
+
+
 @query("SELECT min(l_orderkey) AS lower_bound, max(l_orderkey) AS upper_bound, 8 AS num_partitions FROM lineitem")
 def key_bounds(spark, sf):
     return partition.key_bounds(base(spark, sf, "lineitem"), "l_orderkey")
@@ -75,6 +87,18 @@ def object_listing(spark, sf):
     return found.select("database_name", "schema_name", "object_name")
 
 
+@query(
+    f"""WITH {ctes("routine_catalog")} SELECT database_name, schema_name, object_name, object_name || '(' || trim(arguments, '()') || ')' AS signature
+    FROM routine_catalog WHERE kind = 'FUNCTION'
+    UNION ALL SELECT database_name, schema_name, object_name, object_name FROM routine_catalog WHERE kind = 'TASK'"""
+)
+def routine_listing(spark, sf):
+    """Functions with their overloads, and tasks, which count as triggers."""
+    objects = catalog.objects_of(table(spark, sf, "routine_catalog"))
+    found = catalog.object_listing(objects, "function").unionByName(catalog.object_listing(objects, "trigger"))
+    return found.select("database_name", "schema_name", "object_name", "signature")
+
+
 @query(
     f"""WITH {ctes("catalog")} SELECT database_name, schema_name,
       count(*) FILTER (kind = 'SEQUENCE') AS sequence_count, 0::bigint AS synonym_count,
@@ -205,6 +229,19 @@ def conform_cast(spark, sf):
     return done.withColumns({"day_text": F.col("day_text").cast("string"), "value": F.col("value").cast("double")})
 
 
+@query(
+    f"""WITH {ctes("lossy_cells")} SELECT event_id, CAST(round(value_of, 1) AS double) AS price, strftime(ts, '%Y-%m-%d') AS ts, floor(whole)::int AS whole,
+      strftime(day, '%Y-%m-%d') AS day_text, (day IS NULL)::int AS bad_cells,
+      (event_id % 3 = 0)::int + (ts <> date_trunc('day', ts))::int + (event_id % 2 = 1)::int + (event_id % 5 = 1)::int AS lossy_cells
+    FROM (SELECT *, CAST(price AS decimal(12, 3)) AS value_of, CAST(try_cast(day_text AS timestamp) AS date) AS day FROM lossy_cells)"""
+)
+def conform_lossy(spark, sf):
+    """Digits, times of day and fractions that a type has no room for are counted."""
+    kinds = {"price": "decimal(12, 1)", "ts": "date", "whole": "int", "day_text": "date"}
+    done = conforming.conform(table(spark, sf, "lossy_cells").drop("amount"), kinds, on_error="count", on_loss="count")
+    return done.withColumns({"price": F.col("price").cast("double"), "ts": F.col("ts").cast("string"), "day_text": F.col("day_text").cast("string")})
+
+
 @query(
     f"""WITH {ctes("cells")}, t AS (SELECT * FROM cells)
     SELECT event_id::varchar AS event_id, CASE WHEN even THEN 'TRUE' ELSE 'FALSE' END AS even,

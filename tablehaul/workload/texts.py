@@ -334,6 +334,23 @@ def stream_log_broken(spark, sf):
     return found.agg(F.count("*").alias("broken"), F.count_if(F.col("line").startswith('{"type":"result"')).alias("results"))
 
 
+@query(f"""WITH {ctes('log_lines')} SELECT count(*) FILTER (turn % 4 = 1 OR turn % 4 = 3 AND turn % 8 = 3) AS log, count(*) FILTER (turn % 8 = 7) AS other,
+    count(*) FILTER (turn % 2 = 0) AS broken, count(*) AS lines FROM log_lines""")
+def stream_log_split(spark, sf):
+    """Each line of a live log in exactly one output: cut lines and lines whose number is none are broken."""
+    root = scratch_path(spark, "live-split")
+    turn = F.col("turn")
+    number = F.when(turn % 4 == 2, F.lit("no number")).otherwise(turn.cast("string"))
+    kind = F.when(turn % 8 == 7, "result").otherwise("log")
+    line = F.to_json(F.struct(kind.alias("type"), "message", F.when(turn % 4 != 2, turn).alias("seq")))
+    odd = F.to_json(F.struct(kind.alias("type"), "message", number.alias("seq")))
+    lines = table(spark, sf, "log_lines").select(F.when(turn % 4 == 0, F.left(line, F.length(line) - 1)).when(turn % 4 == 2, odd).otherwise(line).alias("value"))
+    lines.write.text(f"{root}/in")
+    streams.start_log(streams.live_log(spark, f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination()
+    counts = [streams.read_log(spark, f"{root}/out", name).agg(F.count("*").alias(name)).scalar().alias(name) for name in streams.OUTPUTS]
+    return spark.read.text(f"{root}/in").agg(F.count("*").alias("lines")).select(*counts, "lines")
+
+
 @query("SELECT event_id, 'UPDATE' AS trigger_event, ts AS processed_at FROM events")
 def stream_changes(spark, sf):
     root = scratch_path(spark, "changes")

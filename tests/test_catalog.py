@@ -30,7 +30,7 @@ def test_table_query_of_the_catalog():
 def test_every_engine_has_its_queries():
     assert set(catalog.INVENTORY) == {"MySQL", "PostgreSQL", "SQL Server", "Snowflake"}
     for queries in catalog.INVENTORY.values():
-        assert all(q.count(" AS schema_name") == q.count(" AS object_name") == q.count(" AS kind") == 1 for q in queries)
+        assert all(q.count(" AS schema_name") == q.count(" AS object_name") == q.count(" AS kind") == q.count(" AS arguments") == 1 for q in queries)
 
 
 def test_key_lookup(spark, rows):
@@ -55,5 +55,20 @@ def test_mysql_reads_the_database_that_is_asked_for():
     con = duckdb.connect()
     con.execute("CREATE SCHEMA one; CREATE SCHEMA \"t'wo\"; CREATE TABLE one.t (a INT); CREATE TABLE \"t'wo\".u (a INT)")
     found = con.execute(catalog.inventory_queries("mysql", "t'wo")[0]).fetchall()
-    assert found == [("t'wo", "u", "BASE TABLE")]
+    assert found == [("t'wo", "u", "BASE TABLE", "")]
     assert catalog.inventory_queries("postgresql", "d") == catalog.INVENTORY["PostgreSQL"]
+
+
+def test_overloads_and_tasks_are_objects(spark):
+    raw = spark.createDataFrame(
+        [("d", "s", "FUNCTION", "f", "int, text"), ("d", "s", "function", "f", "int"), ("d", "s", "PROCEDURE", "f", "(A NUMBER, B VARCHAR)"), ("d", "s", "FUNCTION", "g", None), ("d", "s", "TASK", "nightly", ""), ("d", "s", "BASE TABLE", "t", "")],
+        "database_name string, schema_name string, kind string, object_name string, arguments string",
+    )
+    objects = catalog.objects_of(raw)
+    listed = lambda kind: [r.signature for r in catalog.object_listing(objects, kind).collect()]
+    assert listed("function") == ["f(int)", "f(int, text)", "g()"] and listed("storedprocedure") == ["f(A NUMBER, B VARCHAR)"]
+    assert listed("trigger") == ["nightly"] and listed("table") == ["t"]
+    counts = catalog.object_summary(objects).first()
+    assert (counts["function_count"], counts["trigger_count"]) == (3, 1)
+    plain = catalog.objects_of(raw.drop("arguments"))
+    assert {r.signature for r in plain.collect()} == {"f", "g", "nightly", "t"}

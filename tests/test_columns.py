@@ -135,3 +135,27 @@ def test_engine_names(spark):
     assert [r[0] for r in df.select(engine_name(F.col("e"))).collect()] == ["PostgreSQL", "SQL Server", "MySQL"]
     with pytest.raises(Exception, match="Unsupported DB: oracle"):
         df.select(engine_name(F.lit("oracle"))).collect()
+
+
+def test_lossy_casts_are_seen(spark):
+    from decimal import Decimal
+    import datetime as dt
+
+    from tablehaul.operators.conform import conform
+
+    kinds = "a string, b double, c decimal(10,3), d timestamp_ntz, e string, f bigint, g string"
+    whole = ("1.5", 2.0, Decimal("3.100"), dt.datetime(2024, 1, 1), "2024-01-01", 7, "2024-01-01 00:00:00.123456")
+    less = ("1.239", 2.5, Decimal("3.141"), dt.datetime(2024, 1, 1, 1), "2024-01-01 10:00:00", 2**53 + 1, "2024-01-01 00:00:00.1234567")
+    declared = {"a": "decimal(5,1)", "b": "int", "c": "decimal(10,1)", "d": "date", "e": "date", "f": "double", "g": "timestamp"}
+    none = (None,) * 7
+    df = spark.createDataFrame([whole, less, none, ("x", float("nan"), None, None, "x", None, "x")], kinds)
+    got = conform(df, declared, on_error="count", on_loss="count").collect()
+    assert [(r.bad_cells, r.lossy_cells) for r in got][:3] == [(0, 0), (0, 7), (0, 0)] and got[3].lossy_cells == 0
+    assert str(got[1].a) == "1.2" and got[1].d == dt.date(2024, 1, 1)
+    nulled = conform(df, declared, on_loss="null").collect()
+    assert list(nulled[1]) == [None] * 7 and nulled[0].b == 2
+    with pytest.raises(Exception, match="column a: not whole as decimal"):
+        conform(df.limit(2), declared, on_loss="fail").collect()
+    assert conform(df.limit(1), declared, on_error="fail", on_loss="fail").count() == 1
+    with pytest.raises(ValueError, match="on_loss"):
+        conform(df, declared, on_loss="other")

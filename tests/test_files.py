@@ -26,6 +26,20 @@ def test_staged_round_trip(spark, rows, style):
     assert rows(staged_csv.load_csv(spark, path, df.schema, style)) == rows(df)
 
 
+def test_staged_files_are_bounded_by_bytes(spark, rows, tmp_path):
+    import glob
+    import os
+
+    long = spark.range(3000).selectExpr("id", "repeat('x\n', 500) AS cell", "CASE WHEN id % 2 = 0 THEN NULL ELSE 'y' END AS other").coalesce(1)
+    staged_csv.stage_csv(long, str(tmp_path / "a"), file_bytes=200_000)
+    sizes = [os.path.getsize(f) for f in glob.glob(str(tmp_path / "a" / "part-*"))]
+    assert max(sizes) <= 210_000 and len(sizes) >= 15
+    assert staged_csv.load_csv(spark, str(tmp_path / "a"), long.schema).count() == 3000
+    staged_csv.stage_csv(long, str(tmp_path / "b"), rows_per_file=1500)
+    assert len(glob.glob(str(tmp_path / "b" / "part-*"))) == 2
+    staged_csv.stage_csv(long.limit(0), str(tmp_path / "c"))
+
+
 def test_file_written_by_others(spark, tmp_path):
     folder = tmp_path / "in" / "deep"
     folder.mkdir(parents=True)

@@ -118,3 +118,46 @@ def test_bounds_query_of_a_server():
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT range AS k FROM range(3, 9)")
     assert con.execute(f"SELECT * FROM {bounds_query('t', 'k')}").fetchall() == [(3, 8)]
+
+
+def test_literals_per_engine():
+    import datetime as dt
+
+    day, moment = dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5, 60)
+    assert partition.cut_predicates("k", [day])[0] == "k < DATE '2024-01-02'"
+    assert partition.cut_predicates("[k]", [day], "SQL Server")[0] == "[k] < CAST('2024-01-02' AS date)"
+    assert partition.cut_predicates("[k]", [moment], "SQL Server")[1] == "[k] >= CAST('2024-01-02 03:04:05.000060' AS datetime2)"
+    assert partition.cut_predicates("`k`", [moment], "MySQL")[0] == "`k` < TIMESTAMP '2024-01-02 03:04:05.000060'"
+    assert partition.range_predicates("k", 0, 9, 2, "MySQL") == ["k < 5", "k >= 5", "k IS NULL"]
+
+
+@pytest.mark.parametrize("rows", [1, 50, 333, 10_000])
+def test_no_range_has_more_rows_than_asked(spark, rows):
+    """Keys that crowd at one end, nulls among them."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL WHEN id < 2500 THEN id ELSE id * id * 1000 END AS k")
+    conditions = partition.plan_ranges(df, "k", rows=rows)
+    counts = [df.filter(c).count() for c in conditions] if rows > 1 else [df.filter(c).count() for c in conditions[:40]]
+    assert all(n <= rows for n in counts[:-1]) or rows == 10_000
+    if rows > 1:
+        assert sum(counts) == 3000 and counts[-1] == 300
+    assert len(conditions) >= 2700 / rows
+
+
+def test_texts_for_databases():
+    import duckdb
+
+    from tablehaul.sources import tables
+
+    con = duckdb.connect()
+    con.execute("CREATE SCHEMA shop; CREATE TABLE shop.orders (note VARCHAR, b INT, a INT, PRIMARY KEY (a, b))")
+    con.execute("INSERT INTO shop.orders SELECT 'x', i, i * i FROM range(1000) t(i)")
+    sql = tables.cuts_query("postgresql", "shop.orders", "a", 300)
+    cuts = sorted(r[0] for r in con.execute(f"SELECT * FROM ({sql}) asked").fetchall())
+    assert cuts == [300**2, 600**2, 900**2]
+    counts = [con.execute(f"SELECT count(*) FROM shop.orders WHERE {c}").fetchone()[0] for c in partition.cut_predicates('"a"', cuts, "PostgreSQL")]
+    assert counts == [300, 300, 300, 100, 0]
+    found = con.execute(tables.primary_key_query("postgresql", "shop.orders")).fetchall()
+    assert sorted((r[1], r[0]) for r in found) == [(1, "a"), (2, "b")]
+    assert "table_schema" not in tables.primary_key_query("mysql", "orders").split("WHERE")[1]
+    assert "= 'it''s'" in tables.primary_key_query("sqlserver", "it's") and tables.primary_key_query("snowflake", "t") is None
+    assert tables.cuts_query("sqlserver", ["s", "a]b"], "k", 5).count("[a]]b]") == 1
