@@ -112,10 +112,15 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
     """Counts of class pairs, and for each clustered word of the classes before and after it (zeros unless ``words``).
 
     A task sums its slices into dense arrays and sends each block of words once,
-    packed; blocks are summed in two steps, so a group holds a few arrays only.
+    packed; blocks are summed in two steps, one array after the other, so a task holds
+    one sum whatever the number of tasks before it.
     """
     per_block = CLUSTERED // BLOCKS
 
+    def packed(rows: list[tuple[int, np.ndarray]], salt: int) -> pa.RecordBatch:
+        data = [zlib.compress(x.tobytes(), 1) for _, x in rows]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         lookup, classes = Lookup(own.hashes), own.classes()
@@ -132,21 +137,29 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
                     around[:, side] += np.bincount(rank * ALL + near, minlength=CLUSTERED * ALL).reshape(CLUSTERED, ALL)
         salt = TaskContext.get().partitionId() % 64
         rows = [(-1, pairs)] + ([(b, around[b * per_block : (b + 1) * per_block].ravel()) for b in range(BLOCKS)] if words else [])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in rows], pa.binary())],
-            ["block", "salt", "data"],
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for data in table.column("data"):
-            one = np.frombuffer(zlib.decompress(data.as_py()), np.int64)
-            total = one.copy() if total is None else total + one
-        return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        yield packed(rows, salt)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, None
+        for batch in batches:
+            for block, salt, data in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "data"))):
+                one = np.frombuffer(zlib.decompress(data), np.int64)
+                if (block, salt) == last:
+                    total += one
+                    continue
+                if last is not None:
+                    yield packed([(last[0], total)], last[1])
+                last, total = (block, salt), one.copy()
+        if last is not None:
+            yield packed([(last[0], total)], last[1])
 
     schema = "block int, salt int, data binary"
-    parts = train.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema)
-    whole = {r.block: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.groupBy("block").applyInArrow(add, schema).collect()}
+    parts = train.mapInArrow(count, schema)
+    for keys in (("block", "salt"), ("block",)):
+        if keys == ("block",):
+            parts = parts.withColumn("salt", F.lit(0))
+        parts = parts.repartition(*keys).sortWithinPartitions("block", "salt").mapInArrow(add, schema)
+    whole = {r.block: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.collect()}
     pairs = whole.get(-1, np.zeros(ALL * ALL, np.int64)).reshape(ALL, ALL)
     none = np.zeros(per_block * 2 * ALL, np.int64)
     around = np.concatenate([whole.get(b, none) for b in range(BLOCKS)]).reshape(CLUSTERED, 2, ALL)
@@ -240,12 +253,16 @@ def neighbours(train: DataFrame, shared) -> DataFrame:
             cls, place, h, at, _ = sequence(own, lookup, classes, part.column("text").to_pylist())
             free = place < 0
             free[~free] = own.word[place[~free]] < 0
-            spot = at[free]
+            spot, word = at[free], h[free]
             key = np.where(spot > 0, cls[spot - 1], END) * ALL + cls[spot + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(h[free].view(np.int64)), pa.array(key.astype(np.int32))], ["h", "key"])
-
-    # dealt by the word alone, which serves both aggregations; frequent words are clustered, so none is hot
-    counts = train.mapInArrow(find, "h bigint, key int").repartition("h").groupBy("h", "key").agg(F.count("*").alias("n"))
+            order = np.lexsort((key, word))
+            word, key = word[order], key[order]
+            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])])) if len(word) else order
+            n = np.diff(np.concatenate([new, [len(word)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64)), pa.array(key[new].astype(np.int32)), pa.array(n)], ["h", "key", "n"])
+
+    # summed by word and pair first: a word has ALL^2 rows at most when they are gathered, however often it occurs
+    counts = train.mapInArrow(find, "h bigint, key int, n bigint").groupBy("h", "key").agg(F.sum("n").alias("n"))
     return counts.groupBy("h").agg(F.collect_list(F.col("n") * F.lit(ALL * ALL) + F.col("key")).alias("around"))
 
 

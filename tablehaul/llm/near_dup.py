@@ -187,14 +187,12 @@ def small_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return ready.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def block_links(v: np.ndarray, c: np.ndarray, signatures: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray, band: int, k: int, percent: int) -> list[tuple[int, int]]:
-    """Links between rows ``left`` and ``right`` (places, or the same twice) that join different components.
+def block_pairs(c: np.ndarray, signatures: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``left`` and ``right`` (places, or the same twice) of different components that may be linked by their signatures.
 
     A pair belongs to the first band it agrees in, so other buckets leave it out.
-    The likeliest pairs are verified first, and none whose ends earlier links have
-    joined: at most one link per row comes out.
     """
-    keys = signatures.reshape(len(v), BANDS, ROWS)
+    keys = signatures.reshape(len(c), BANDS, ROWS)
     apart = c[left][:, None] != c[right][None, :]
     if left is right:
         apart &= np.triu(np.ones(apart.shape, bool), 1)
@@ -203,7 +201,16 @@ def block_links(v: np.ndarray, c: np.ndarray, signatures: np.ndarray, texts: lis
     a, b = np.nonzero(apart)
     a, b = left[a], right[b]
     stay = survivors(signatures[a], signatures[b], percent)
-    a, b = a[stay], b[stay]
+    return a[stay], b[stay]
+
+
+def block_links(v: np.ndarray, c: np.ndarray, signatures: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray, band: int, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` that join different components.
+
+    The likeliest pairs are verified first, and none whose ends earlier links have
+    joined: at most one link per row comes out.
+    """
+    a, b = block_pairs(c, signatures, left, right, band, percent)
     if not len(a):
         return []
     order = np.argsort(-(signatures[a] == signatures[b]).sum(axis=1), kind="stable")
@@ -232,30 +239,59 @@ def block_links(v: np.ndarray, c: np.ndarray, signatures: np.ndarray, texts: lis
     return out
 
 
+BLOCK = ("b", "x", "y")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, int]]:
+    """Each block's rows, the places of its two sides (the same array for one), and its band."""
+    for rows in grouped(batches, BLOCK):
+        s = rows.column("s").to_numpy()
+        x, y, band = (rows.column(n)[0].as_py() for n in ("x", "y", "i"))
+        left = np.flatnonzero(s == x)
+        yield rows, left, left if x == y else np.flatnonzero(s == y), band
+
+
+def in_blocks(dealt: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The members of blocks with these columns of their nodes; blocks are whole in a task, one after the other."""
+    full = join_per_key(dealt, nodes.select("v", *columns), ["v"], "inner")
+    return full.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "v").select("b", "i", "x", "y", "s", "v", "c", *columns)
+
+
+def needed_members(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The members of each block that its signatures may link with another; most buckets of unlike texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, left, right, band in _blocks(batches):
+            pairs = block_pairs(rows.column("c").to_numpy(), signature_rows(rows.column("signature")), left, right, band, percent)
+            stay = np.unique(np.concatenate(pairs))
+            if len(stay):
+                yield from rows.select(["b", "i", "x", "y", "s", "v", "c"]).take(pa.array(stay)).combine_chunks().to_batches()
+
+    fields = [dealt.schema[c] for c in ("b", "i", "x", "y", "s", "v", "c")]
+    return in_blocks(dealt, nodes, ["signature"]).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+
+
 def dense_links(members: DataFrame, sizes: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u < v) that join components of one large bucket.
 
     Members (b, i, v, c) are cut into sides of about ``SIDE`` per bucket; every two
-    sides are compared in one task, by signatures and then by their full sets. So
+    sides are compared in one task, by signatures first. Texts are then dealt only to
+    the blocks in which a member has a pair left, and compared by their full sets. So
     no task holds more than two sides, and only links are rows, not pairs.
     """
     sides = sizes.select("b", F.ceil(F.col("m") / F.lit(SIDE)).cast("int").alias("g"))
     split = join_per_key(members, sides, ["b"], "inner").withColumn("s", F.pmod(F.xxhash64("v"), F.col("g")).cast("int"))
     dealt = split.select("v", "c", "s", "b", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     dealt = dealt.select("v", "c", "s", "b", "i", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"))
-    full = join_per_key(dealt, nodes, ["v"], "inner")
-    ready = full.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y", "v").select("b", "i", "x", "y", "s", "v", "c", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, ("b", "x", "y")):
-            v, c, s = (rows.column(n).to_numpy() for n in ("v", "c", "s"))
-            x, y, band = (rows.column(n)[0].as_py() for n in ("x", "y", "i"))
-            left = np.flatnonzero(s == x)
-            right = left if x == y else np.flatnonzero(s == y)
+        for rows, left, right, band in _blocks(batches):
+            v, c = rows.column("v").to_numpy(), rows.column("c").to_numpy()
             found = block_links(v, c, signature_rows(rows.column("signature")), rows.column("text").to_pylist(), left, right, band, k, percent)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["u", "v"])
 
-    return ready.mapInArrow(run, "u bigint, v bigint").distinct()
+    needed = needed_members(dealt, nodes, percent)
+    return in_blocks(needed, nodes, ["signature", "text"]).mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def cross_links(members: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:

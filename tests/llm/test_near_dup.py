@@ -130,3 +130,30 @@ def test_components(spark):
     got = {r.v: r.c for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {v: got.get(v, v) for v in want} == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_are_dealt_only_where_signatures_may_link(spark, monkeypatch):
+    """Unlike texts that share buckets by a common template: signatures are dealt, hardly any text is."""
+    import random
+
+    from tablehaul.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "SIDE", 16)
+    pick = random.Random(8)
+    shared = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join([*shared, *(f"own{i}x{j}" for j in range(200))])) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + f" more{i}") for i in range(0, 240, 40)]
+    pick.shuffle(rows)
+    counts = {}
+    plain = near_dup.in_blocks
+
+    def counted(dealt, nodes, columns):
+        counts[tuple(columns)] = counts.get(tuple(columns), 0) + dealt.count()
+        return plain(dealt, nodes, columns)
+
+    monkeypatch.setattr(near_dup, "in_blocks", counted)
+    monkeypatch.setattr(near_dup, "HUB_TURNS", 0)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    out = {r.doc_id: r.component_id for r in near_dup.near_dup_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert out == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert counts["signature",] > 1000 and counts["signature",] > 10 * counts["signature", "text"], counts
