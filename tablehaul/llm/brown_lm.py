@@ -26,6 +26,9 @@ ROUNDS = 3  # of counting and exchanging
 ADD = 0.1  # added to every word's count, as in the base score
 BACK = 2.0  # weight of the class frequencies in a transition
 
+#: Bytes of texts or tokens that are worked on at a time; the tables of a task are small beside them.
+SLICE = 1 << 20
+
 END, FIRST_CLASS, FIRST_ENDING, ALL = 0, 1, 1 + CLASSES, 1 + CLASSES + ENDINGS
 BLOCKS = 32  # word blocks that counts are summed in
 
@@ -76,7 +79,7 @@ def count_words(train: DataFrame) -> DataFrame:
             sums = np.bincount(inverse, weights=n).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(e[first].astype(np.int32)), pa.array(sums)], ["h", "e", "n"])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             h, _, e = word_hashes_and_ends([t.encode() for t in part.column("text").to_pylist()])
             unique, first, n = np.unique(h, return_index=True, return_counts=True)
             held.append((unique, e[first], n))
@@ -90,22 +93,53 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(count, "h bigint, e int, n bigint").groupBy("h").agg(F.max("e").alias("e"), F.sum("n").alias("n"))
 
 
-def sequence(model: Model, lookup: Lookup, classes: np.ndarray, texts: list[str]):
-    """All tokens of the texts in order, each text closed by an end: classes, places of held words, the words' hashes and where they are, tokens per text.
+def encode(rows: DataFrame, model: Model, path: str) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and its tokens, written to ``path``: each text is cut and looked up once.
+
+    ``codes`` has a 32-bit number per word: its place among the held words, or -1 - its
+    ending; ``rest`` the 64-bit hashes of the words that aren't held, in order.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c != "text"]
+    fields = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "codes binary, rest binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value.hashes)
+        for part in slices(batches, "text", SLICE):
+            h, counts, e = word_hashes_and_ends([t.encode() for t in part.column("text").to_pylist()])
+            place = lookup.find(h)
+            other = place < 0
+            codes = np.where(other, -1 - (e.astype(np.int64) % ENDINGS), place).astype("<i4")
+            edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            rest, sizes = h[other], np.concatenate([[0], np.cumsum(other)])[edges].tolist()
+            cut = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], cut(codes, edges), cut(rest, sizes)], [*names, "codes", "rest"])
+
+    rows.mapInArrow(run, fields).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def sequence(model: Model, classes: np.ndarray, part: pa.RecordBatch):
+    """All tokens of encoded texts in order, each text closed by an end: classes, places of held words, the words' hashes and where they are, tokens per text.
 
     The end of one text is also the state before the next, so neighbours in the
     arrays are all the pairs there are.
     """
-    h, counts, e = word_hashes_and_ends([t.encode() for t in texts])
-    place = lookup.find(h)
-    sizes = counts + 1
-    at = np.arange(len(h)) + np.repeat(np.arange(len(counts)), counts)
+    codes, rest = part.column("codes").to_pylist(), part.column("rest").to_pylist()
+    counts = np.array([len(x) // 4 for x in codes], np.int64)
+    place = np.frombuffer(b"".join(codes), "<i4").astype(np.int64)
     found = place >= 0
-    cls = np.zeros(int(sizes.sum()), np.int64)
-    own = FIRST_ENDING + (e.astype(np.int64) % ENDINGS)
+    h = np.zeros(len(place), np.uint64)
+    h[found] = model.hashes[place[found]]
+    h[~found] = np.frombuffer(b"".join(rest), np.uint64)
+    sizes = counts + 1
+    at = np.arange(len(place)) + np.repeat(np.arange(len(counts)), counts)
+    own = FIRST_ENDING - 1 - place
     own[found] = classes[place[found]]
+    cls = np.zeros(int(sizes.sum()), np.int64)
     cls[at] = own
-    return cls, place, h, at, sizes
+    return cls, np.where(found, place, -1), h, at, sizes
 
 
 def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +157,11 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        lookup, classes = Lookup(own.hashes), own.classes()
+        classes = own.classes()
         pairs = np.zeros(ALL * ALL, np.int64)
         around = np.zeros((CLUSTERED, 2, ALL), np.int64) if words else None
-        for part in slices(batches, "text"):
-            cls, place, _, at, _ = sequence(own, lookup, classes, part.column("text").to_pylist())
+        for part in slices(batches, "codes", SLICE):
+            cls, place, _, at, _ = sequence(own, classes, part)
             before = np.concatenate([[END], cls[:-1]])
             pairs += np.bincount(before * ALL + cls, minlength=ALL * ALL)
             if words:
@@ -199,21 +233,24 @@ def exchange(assigned: np.ndarray, pairs: np.ndarray, around: np.ndarray) -> np.
     return out
 
 
-def fit(train: DataFrame, vocabulary: DataFrame) -> Model:
-    """The model of ``train`` (text), whose ``vocabulary`` (h, e, n) covers all its words.
-
-    All counts are over all training texts; only the number of words that are
-    clustered and held is bounded.
-    """
-    context = train.sparkSession.sparkContext
-    ends = train.count()
+def seed(vocabulary: DataFrame, ends: int) -> Model:
+    """The model before any exchange: the held words, and a class for each clustered one in turn. ``ends`` training texts."""
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = most_frequent(vocabulary, HELD, part="h").select("h", "e", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
     h, e, n = (top.column(c).to_numpy() for c in ("h", "e", "n"))
     order = np.argsort(h.view(np.uint64))
     word = np.where(np.arange(len(h)) < CLUSTERED, np.arange(len(h)), -1)[order]
     assigned = FIRST_CLASS + np.arange(CLUSTERED) % CLASSES
-    model = Model(h.view(np.uint64)[order], n[order], word, e[order], assigned, int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends)
+    return Model(h.view(np.uint64)[order], n[order], word, e[order], assigned, int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends)
+
+
+def fit(train: DataFrame, model: Model, vocabulary: DataFrame) -> Model:
+    """The model of the encoded texts ``train``, whose ``vocabulary`` (h, e, n) covers all their words, from a ``seed``.
+
+    All counts are over all training texts; only the number of words that are
+    clustered and held is bounded.
+    """
+    context = train.sparkSession.sparkContext
     for _ in range(ROUNDS):
         shared = context.broadcast(model)
         model = replace(model, assigned=exchange(model.assigned, *class_counts(train, shared, words=True)))
@@ -248,21 +285,17 @@ def neighbours(train: DataFrame, shared) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        lookup, classes = Lookup(own.hashes), own.classes()
-        for part in slices(batches, "text"):
-            cls, place, h, at, _ = sequence(own, lookup, classes, part.column("text").to_pylist())
+        classes = own.classes()
+        for part in slices(batches, "codes", SLICE):
+            cls, place, h, at, _ = sequence(own, classes, part)
             free = place < 0
             free[~free] = own.word[place[~free]] < 0
-            spot, word = at[free], h[free]
+            spot = at[free]
             key = np.where(spot > 0, cls[spot - 1], END) * ALL + cls[spot + 1]
-            order = np.lexsort((key, word))
-            word, key = word[order], key[order]
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])])) if len(word) else order
-            n = np.diff(np.concatenate([new, [len(word)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64)), pa.array(key[new].astype(np.int32)), pa.array(n)], ["h", "key", "n"])
-
-    # summed by word and pair first: a word has ALL^2 rows at most when they are gathered, however often it occurs
-    counts = train.mapInArrow(find, "h bigint, key int, n bigint").groupBy("h", "key").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([pa.array(h[free].view(np.int64)), pa.array(key.astype(np.int32))], ["h", "key"])
+
+    # summed by word and pair first, in tasks and between them: a word has ALL^2 rows at most when they are gathered, however often it occurs
+    counts = train.mapInArrow(find, "h bigint, key int").groupBy("h", "key").agg(F.count("*").alias("n"))
     return counts.groupBy("h").agg(F.collect_list(F.col("n") * F.lit(ALL * ALL) + F.col("key")).alias("around"))
 
 
@@ -348,29 +381,28 @@ def widen(model: Model, assigned: DataFrame) -> Model:
     return replace(model, every=every, unseen=unseen)
 
 
-def typed(df: DataFrame, model: Model, vocabulary: DataFrame, path: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(``_key``, ``_carry``, n_tokens, n_known, base_score, words, cls) for every row, written to ``path``.
+def typed(encoded: DataFrame, model: Model, vocabulary: DataFrame, path: str) -> DataFrame:
+    """(carried columns, n_tokens, n_known, base_score, words, cls) for every encoded text, written to ``path``.
 
     ``words`` is the sum of the logs of the counts, ``cls`` has the class of every
     token and of the end as 16-bit numbers. A task knows the ``HELD`` words; a
     text's other words are joined with the ``vocabulary`` (h, n, cls) by their
     hash, once per text and word.
     """
-    spark = df.sparkSession
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    narrow = df.select(*[F.col(c).alias(f"_{c}") for c in (key, *carry)], F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = [f"_{c}" for c in (key, *carry)]
-    fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in names)
+    names = [c for c in encoded.columns if c not in ("codes", "rest")]
+    fields = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in names)
     numbers = "n_tokens bigint, n_known bigint, base_score double, words double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        lookup, classes = Lookup(own.hashes), own.classes()
+        classes = own.classes()
         logs = np.log10(own.counts + ADD)
         ends = np.log10(own.ends + ADD)
         base_below = math.log10(own.tokens + ADD * (own.distinct + 1))
-        for part in slices(batches, "text"):
-            cls, place, h, at, sizes = sequence(own, lookup, classes, part.column("text").to_pylist())
+        for part in slices(batches, "codes", SLICE):
+            cls, place, h, at, sizes = sequence(own, classes, part)
             rows = len(sizes)
             text_of = np.repeat(np.arange(rows), sizes)
             found = place >= 0
@@ -404,7 +436,7 @@ def typed(df: DataFrame, model: Model, vocabulary: DataFrame, path: str, key: st
                 [*names, "n_tokens", "n_known", "base_score", "words", "tokens", "rest", "times", "endings"],
             )
 
-    partly = narrow.mapInArrow(run, f"{fields}, {numbers}, tokens binary, rest array<bigint>, times array<int>, endings array<int>")
+    partly = encoded.mapInArrow(run, f"{fields}, {numbers}, tokens binary, rest array<bigint>, times array<int>, endings array<int>")
     partly.withColumn("rid", F.monotonically_increasing_id()).write.parquet(f"{path}/held")
     rows = spark.read.parquet(f"{path}/held")
     rest = rows.select("rid", F.posexplode(F.arrays_zip("rest", "times", "endings")).alias("i", "w"))
@@ -478,15 +510,22 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, score double").withColumnsRenamed({c: c[1:] for c in names if c.startswith("_")})
 
 
-def lm_table(rows: DataFrame, train: DataFrame, vocabulary: DataFrame, path: str) -> tuple[DataFrame, Model, DataFrame]:
-    """``typed`` rows (with ``_held_out``), the model in which every training word has a class, and (h, n, cls) of the words that aren't clustered."""
+def lm_table(rows: DataFrame, vocabulary: DataFrame, path: str) -> tuple[DataFrame, Model, DataFrame]:
+    """``typed`` rows of ``rows`` (doc_id, text, held_out), the model in which every training word has a class, and (h, n, cls) of the words that aren't clustered.
+
+    Texts are cut into words and looked up once; all further passes read their codes.
+    """
     spark = rows.sparkSession
-    seed = fit(train, vocabulary)
-    assigned = assign(train, seed, f"{path}/assigned")
-    model = widen(seed, assigned)
+    start = seed(vocabulary, rows.where(~F.col("held_out")).count())
+    carried = rows.select(F.col("doc_id").alias("_doc_id"), F.col("held_out").alias("_held_out"), "text")
+    encoded = encode(carried, start, f"{path}/encoded")
+    train = encoded.where(~F.col("_held_out")).select("codes", "rest")
+    fitted = fit(train, start, vocabulary)
+    assigned = assign(train, fitted, f"{path}/assigned")
+    model = widen(fitted, assigned)
     vocabulary.select("h", "n").join(assigned, "h").write.parquet(f"{path}/words")
     others = spark.read.parquet(f"{path}/words")
-    table = typed(rows, model, others, f"{path}/typed", carry=("held_out",))
+    table = typed(encoded, model, others, f"{path}/typed")
     words = np.zeros(ALL)
     for r in others.groupBy("cls").agg(F.count("*").alias("words")).collect():
         words[r.cls] += r.words
@@ -509,6 +548,6 @@ def lm_rows(documents: DataFrame) -> DataFrame:
     path = scratch_path(spark, "vocabulary")
     count_words(train).write.parquet(path)
     vocabulary = spark.read.parquet(path)
-    table, model, _ = lm_table(rows, train, vocabulary, scratch_path(spark, "class-lm"))
+    table, model, _ = lm_table(rows, vocabulary, scratch_path(spark, "class-lm"))
     scored = score(table, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -50,10 +50,11 @@ def test_held_out_text_is_less_surprising_than_to_single_words(spark, monkeypatc
     assert model > base + 0.1
 
 
-def test_probabilities_sum_to_one(documents, small):
+def test_probabilities_sum_to_one(documents, small, tmp_path):
     train = documents.select("text")
     vocabulary = brown_lm.count_words(train).cache()
-    model = brown_lm.fit(train, vocabulary)
+    start = brown_lm.seed(vocabulary, train.count())
+    model = brown_lm.fit(brown_lm.encode(train, start, str(tmp_path / "encoded")), start, vocabulary)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
     mass = np.zeros(brown_lm.ALL)
     classes = dict(zip(model.hashes.view(np.int64).tolist(), model.classes().tolist()))
@@ -89,3 +90,10 @@ def test_odd_empty_and_clashing(odd, empty, clashing, small):
     assert all(math.isfinite(r.score) for r in brown_lm.lm_rows(odd).collect())
     assert brown_lm.lm_rows(empty).count() == 0
     assert brown_lm.lm_rows(clashing).count() == 4
+
+
+def test_small_slices_change_nothing(spark, documents, monkeypatch):
+    want = {r.doc_id: r.score for r in brown_lm.lm_rows(documents).collect()}
+    monkeypatch.setattr(brown_lm, "SLICE", 5000)
+    got = {r.doc_id: r.score for r in brown_lm.lm_rows(documents.repartition(5)).collect()}
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want) and len(got) == len(want)

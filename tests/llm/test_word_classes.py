@@ -11,7 +11,7 @@ def table_of(spark, documents, path):
     rows = documents.selectExpr("doc_id", "coalesce(text, '') AS text").withColumn("held_out", brown_lm.is_held_out("doc_id"))
     train = rows.where("not held_out").select("text")
     vocabulary = brown_lm.count_words(train).cache()
-    return (*brown_lm.lm_table(rows, train, vocabulary, str(path)), vocabulary)
+    return (*brown_lm.lm_table(rows, vocabulary, str(path)), vocabulary)
 
 
 @pytest.fixture
