@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {
     "op10_rule_ledger": sql.RULE_LEDGER,
     "quality_ablations": sql.ABLATIONS,
     "op11_prefix_trie": sql.PREFIX_TRIE,
+    "op13_vector_codes": sql.VECTOR_CODES,
 }
 
 

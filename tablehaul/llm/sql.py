@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablehaul.llm import hosts, quality
+from tablehaul.llm import hosts, quality, vector_codes
 from tablehaul.llm.columns import ASCII_LOWER, ASCII_UPPER
 
 _BITS = "\n      + ".join(f"(CASE WHEN {sql} THEN {quality.bit(rule)} ELSE 0 END)" for rule, sql in quality.RULES.items())
@@ -121,3 +121,31 @@ PREFIX_TRIE = rf"""WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') A
       FROM (SELECT *, substr(node, 1, 64 * unnest(range(0, d + 1))) AS above FROM whole) GROUP BY above)
     SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ids) AS ends_sha256
     FROM whole w JOIN sums USING (node) LEFT JOIN n p ON w.d > 0 AND p.node = substr(w.node, 1, 64 * (w.d - 1))"""
+
+
+def _vector_codes(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds written out one after the other: distances to all entries, and means of members."""
+    distance = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, part, e, d, x FROM (SELECT p.vec_id, p.part, p.x, c.e, {distance} AS d FROM p JOIN c{r} c USING (part))
+      QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, e) = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT part, e, list(s ORDER BY i) AS x FROM
+      (SELECT part, e, i, floor(sum(x[i])::double / count(*))::bigint AS s FROM (SELECT part, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY part, e, i) GROUP BY part, e) m USING (part, e))"""
+            )
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::double * {vector_codes.SCALE})::bigint) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, part, q[part * len(q) // 4 + 1:(part + 1) * len(q) // 4] AS x FROM (SELECT vec_id, q, unnest(range(4)) AS part FROM v)),
+    c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p
+      WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {vector_codes.ENTRIES})),
+    {", ".join(steps)},
+    done AS (SELECT vec_id, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{rounds} GROUP BY vec_id),
+    books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS digest FROM c{rounds})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, digest AS codebooks_sha256 FROM done JOIN v USING (vec_id), books"""
+
+
+VECTOR_CODES = _vector_codes()
