@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablehaul.llm.columns import WHITE, let, running_sums, whole
+from tablehaul.llm.scratch import discard
 from tablehaul.operators.skew import join_per_key
 from tablehaul.session import scratch_path
 
@@ -213,6 +214,7 @@ def dedup_passages(
     root = scratch_path(spark, "line-chunks")
     packed = _packed(df, text, key)
     _per_document(packed, repeated_units(packed, root, divisor, long_line, most)).write.parquet(f"{root}/found")
+    discard(spark, f"{root}/units")
     found = spark.read.parquet(f"{root}/found")
     some = found.where("units IS NOT NULL")
     stay = _per_document(some, first_places(some))

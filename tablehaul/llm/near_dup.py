@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablehaul.llm.arrow import slices
 from tablehaul.llm.components import components
+from tablehaul.llm.scratch import discard
 from tablehaul.llm.shingles import block_minima, mixed, shingle_hashes, word_hashes
 from tablehaul.operators.skew import join_per_key
 from tablehaul.session import scratch_path
@@ -379,6 +380,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHING
         found = kept(found, f"links-{turn}")
         links = found if links is None else links.unionAll(found)
         labels = components(links)
+    # the labels are checkpointed and each turn's links are read no more
+    discard(spark, *[f"{root}/{name}" for name in ("nodes", "members", "apart")])
 
     per_class = join_per_key(classes.select("v", "s1", "s2", "lead"), labels, ["v"]).withColumn("c", F.coalesce("c", "v"))
     leads = per_class.groupBy("c").agg(F.min("lead").alias("group_lead"))
