@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, functions as F
 
@@ -61,7 +61,7 @@ def known_zone(name: str | None) -> str:
     """The zone, or UTC when there is no such zone."""
     try:
         return ZoneInfo(name or "UTC").key
-    except Exception:
+    except (ValueError, OSError, ZoneInfoNotFoundError):  # no zone's name, no zone file, or no such zone
         return "UTC"
 
 

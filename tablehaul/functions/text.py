@@ -19,6 +19,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but white space; only looks as far as the first other character."""
+    return ~text.rlike(f"[^{WHITE}]")
+
+
 def plain(text: Column) -> Column:
     """Stripped and lower case, null as the empty string: the form names are compared in."""
     return F.lower(strip(F.coalesce(text, F.lit(""))))

@@ -18,7 +18,7 @@ from tablehaul.functions.checks import (
 )
 from tablehaul.functions.names import quoted
 from tablehaul.functions.rewrite_rules import Rule, builtin_rules, pair_rules
-from tablehaul.functions.text import contains_any, folded, plain, quick_start, replace_all, strip
+from tablehaul.functions.text import contains_any, folded, is_blank, plain, quick_start, replace_all, strip
 from tablehaul.operators.skew import join_per_key
 from tablehaul.session import scratch_path
 
@@ -28,8 +28,8 @@ LOOKUP_FIELDS = [
 
 
 # What standard text is free of. (texts of which one must occur, pattern, replacement)
+_JOINED = (["\\\n"], r"(?U)\\+\n[\s\x1c-\x1f]*", "\n")
 _LAYOUT = [
-    (["\\\n"], r"(?U)\\+\n[\s\x1c-\x1f]*", "\n"),
     ([" \n", "\t\n"], r"[ \t]+\n", "\n"),
     (["\n ", "\n\t"], r"\n[ \t]+", "\n"),
     (["\n\n\n"], r"\n{3,}", "\n\n"),
@@ -42,26 +42,34 @@ _ESCAPED = [("\\r\\n", "\n"), ("\\n", "\n"), ("\\r", "\n"), ("\\t", "\t"), ("\\'
 def standardize(df: DataFrame, col: str, squeeze: bool = False) -> DataFrame:
     """``col`` with plain newlines, no escaped control text, no trailing blanks, at most one empty line.
 
-    Blank text stays as it is. ``squeeze`` also makes runs of blanks one blank. A pattern only runs on texts
-    that have what it looks for; each is a projection of its own, so that no text
+    Blank text stays as it is. ``squeeze`` also makes runs of blanks one blank. A text
+    without a backslash is searched for one character instead of seven escapes, one
+    without a line end for one instead of five layouts, and a pattern only runs on texts
+    that have what it looks for. Each step is a projection of its own, so that no text
     is worked out twice.
     """
     text = F.col(quoted(col))
 
-    def tidy(steps: DataFrame, words: list[str], pattern: str, by: str) -> DataFrame:
-        return steps.withColumn(col, F.when(contains_any(text, words), F.regexp_replace(text, pattern, by)).otherwise(text))
+    def tidy(words: list[str], pattern: str, by: str) -> Column:
+        return F.when(contains_any(text, words), F.regexp_replace(text, pattern, by)).otherwise(text)
 
     given = df.withColumn(col, F.coalesce(text, F.lit("")))
-    given = given.withColumn("_blank", F.when(strip(text) == "", text))
-    steps = given.withColumn(col, replace_all(replace_all(text, "\r\n", "\n"), "\r", "\n"))
-    steps = tidy(steps, *_LAYOUT[0])
-    unescaped = text
+    steps = given.withColumns(
+        {
+            "_blank": F.when(is_blank(text), text),
+            col: F.when(text.contains("\r"), replace_all(replace_all(text, "\r\n", "\n"), "\r", "\n")).otherwise(text),
+        }
+    )
+    unescaped = tidy(*_JOINED)
     for escaped, real in _ESCAPED:
         unescaped = replace_all(unescaped, escaped, real)
-    steps = steps.withColumn(col, unescaped)
-    for step in [*_LAYOUT[1:], *([_BLANKS] if squeeze else [])]:
-        steps = tidy(steps, *step)
-    return steps.withColumn(col, F.coalesce("_blank", strip(text))).drop("_blank")
+    steps = steps.withColumn(col, F.when(text.contains("\\"), unescaped).otherwise(text))
+    steps = steps.withColumn("_lines", text.contains("\n"))
+    for step in _LAYOUT:
+        steps = steps.withColumn(col, F.when(F.col("_lines"), tidy(*step)).otherwise(text))
+    if squeeze:
+        steps = steps.withColumn(col, tidy(*_BLANKS))
+    return steps.withColumn(col, F.coalesce("_blank", strip(text))).drop("_blank", "_lines")
 
 
 def java_pattern(rule: Rule) -> str:
@@ -103,36 +111,46 @@ def checked_rules(spark, rules: list[Rule]) -> tuple[list[Rule], list[tuple[str,
     return good, bad
 
 
+def may_add(replacement: str, word: str) -> bool:
+    """Whether putting in ``replacement`` can make ``word`` occur where it did not before.
+
+    What a group captured was in the text already, so a new word shares letters with
+    the text between groups; where that is empty, two neighbours may make any word.
+    """
+    cuts = range(1, len(word))
+    shares = lambda part: (
+        part in word or word in part or any(part.endswith(word[:i]) or part.startswith(word[i:]) for i in cuts)
+    )
+    return not replacement.isascii() or any(shares(part) for part in re.split(r"\\\d+", replacement.lower()))
+
+
 def apply_rules(df: DataFrame, col: str, rules: list[Rule], applied: str = "applied_rules") -> DataFrame:
     """Apply the rules in order to ``col``; ``applied`` lists each rule that hit and how often.
 
-    One projection finds out whether a rule occurs, the next counts and replaces;
-    Spark keeps projections apart whose results are used more than once, so no text
-    is computed twice. Most rules do not occur in most texts: a search for the
-    rule's word in the folded text is then all they cost.
+    One projection counts a rule's matches, the next replaces them; Spark keeps
+    projections apart whose results are used more than once, so no text is computed
+    twice. Most rules do not occur in most texts: a search for the rule's word in the
+    folded text is then all they cost. That text is only folded again after a
+    replacement that can make a later rule's word; a word that has gone merely has its
+    pattern searched in vain.
     """
     text, low = F.col(quoted(col)), F.col("_low")
     steps = df.withColumn("_low", folded(text))
     for i, rule in enumerate(rules):
-        pattern = java_pattern(rule)
-        occurs = text.rlike(pattern)
-        steps = steps.withColumn("_hit", low.contains(rule.word) & occurs if rule.word else occurs)
-        hit = F.col("_hit")
-        replaced = F.regexp_replace(text, pattern, java_replacement(rule.replacement))
-        steps = steps.withColumns(
-            {
-                f"_n{i}": F.when(hit, F.regexp_count(text, F.lit(pattern))).otherwise(0),
-                "_low": F.when(hit, folded(replaced)).otherwise(low),
-                col: F.when(hit, replaced).otherwise(text),
-            }
-        )
+        pattern, n = java_pattern(rule), F.col(f"_n{i}")
+        count = F.regexp_count(text, F.lit(pattern))
+        steps = steps.withColumn(f"_n{i}", F.when(low.contains(rule.word), count).otherwise(0) if rule.word else F.coalesce(count, F.lit(0)))
+        done = {col: F.when(n > 0, F.regexp_replace(text, pattern, java_replacement(rule.replacement))).otherwise(text)}
+        steps = steps.withColumns(done)
+        if any(may_add(rule.replacement, later.word) for later in rules[i + 1 :] if later.word):
+            steps = steps.withColumn("_low", F.when(n > 0, folded(text)).otherwise(low))
     hits = [
         F.when(F.col(f"_n{i}") > 0, F.struct(F.lit(rule.name).alias("name"), F.col(f"_n{i}").alias("count")))
         for i, rule in enumerate(rules)
     ]
     none = F.lit(None).cast("array<struct<name:string,count:int>>")
     done = F.array_compact(F.array(*hits)) if hits else F.coalesce(none, F.array())
-    return steps.withColumn(applied, done).drop("_low", "_hit", *[f"_n{i}" for i in range(len(rules))])
+    return steps.withColumn(applied, done).drop("_low", *[f"_n{i}" for i in range(len(rules))])
 
 
 def rewrite_text(

@@ -105,6 +105,33 @@ def test_every_pack_word_is_needed():
         assert rule.word in plain or rule.word == ";;", rule.name
 
 
+def test_new_words_are_found(spark):
+    """A word that only a replacement makes: inside it, over its ends, over nothing, from a captured group."""
+    rules = [
+        Rule("inside", "one", "xtwox", "", "one"), Rule("two", "two", "2", "", "two"),
+        Rule("end", "three", "lim", "", "three"), Rule("limit", "limit", "3", "", "limit"),
+        Rule("gone", "-+", "", "", "-"), Rule("four", "four", "4", "", "four"),
+        Rule("group", r"<(\w)>", r"\1", "", "<"), Rule("five", "five", "5", "", "five"),
+        Rule("plain", "six", "zzz", "", "six"), Rule("seven", "seven", "7", "", "seven"),
+    ]
+    values = ["one", "threeit", "fo--ur", "fi<v>e", "six seven", "seve6n", "one three it fo-ur", ""]
+    out = statements.apply_rules(texts(spark, values), "sql", rules).orderBy("id").collect()
+    assert [(r["sql"], [tuple(a) for a in r["applied_rules"]]) for r in out] == [rewritten(v, rules) for v in values]
+
+
+def test_may_add_random():
+    rng = random.Random(5)
+    letters = lambda k: "".join(rng.choices("ab", k=k))
+    for _ in range(4000):
+        before, captured, after = letters(rng.randrange(3)), letters(rng.randrange(3)), letters(rng.randrange(3))
+        parts, word = [letters(rng.randrange(3)) for _ in range(2)], letters(rng.randrange(1, 4))
+        grouped = rng.random() < 0.5
+        replacement = r"\1".join(parts) if grouped else parts[0]
+        made = before + (captured.join(parts) if grouped else parts[0]) + after
+        if word in made and not any(word in x for x in (before, captured, after)):
+            assert statements.may_add(replacement, word)
+
+
 def test_broken_rule_is_reported_and_skipped(spark):
     rules = [Rule("open", "(", "x"), Rule("inline", r"(?i)B+", "z"), Rule("swap", r"(\w)-(\w)", r"\2$\1")]
     row = statements.rewrite_text(texts(spark, ["aBb ( 1-2"]), "sql", "x", "y", rules).first()
