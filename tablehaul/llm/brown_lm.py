@@ -19,7 +19,8 @@ from tablehaul.session import scratch_path
 
 # Parameters of the model; they bound what driver and tasks hold, whatever the corpus.
 CLUSTERED = 8192  # most frequent words, which exchange clustering assigns to classes; every other word joins one of these
-CLASSES = 64
+CLASSES = 64  # at least; their number grows with the vocabulary, see class_number
+PER_ROOT = 2.5  # classes for each unit of the fourth root of the number of distinct words
 ENDINGS = 32  # classes of all other words until they are assigned, by their last byte
 HELD = 262_144  # most frequent words whose counts every task holds; the others' are joined
 ROUNDS = 3  # of counting and exchanging
@@ -29,10 +30,19 @@ BACK = 2.0  # weight of the class frequencies in a transition
 #: Bytes of texts or tokens that are worked on at a time; the tables of a task are small beside them.
 SLICE = 1 << 20
 
-END, FIRST_CLASS, FIRST_ENDING, ALL = 0, 1, 1 + CLASSES, 1 + CLASSES + ENDINGS
+END, FIRST_ENDING, FIRST_CLASS = 0, 1, 1 + ENDINGS  # the exchange classes come last, as their number varies
 BLOCKS = 32  # word blocks that counts are summed in
 
 
+def class_number(distinct: int) -> int:
+    """Classes for so many distinct words: 64 up to 400,000, 140 for 10 million, 440 for a billion; no upper limit.
+
+    The tables of pairs grow with the square root of the vocabulary, those of a clustered
+    word's neighbours with its fourth root.
+    """
+    return max(CLASSES, round(PER_ROOT * distinct**0.25))
+
+
 def is_held_out(key: str):
     """crc32 of the id as text is 0 modulo 10; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(10)) == 0
@@ -40,13 +50,14 @@ def is_held_out(key: str):
 
 @dataclass
 class Model:
-    """Everything a task needs: bounded by the parameters above."""
+    """Everything a task needs: bounded by the parameters above, but for the number of classes."""
 
     hashes: np.ndarray  # of the HELD words, sorted
     counts: np.ndarray
     word: np.ndarray  # rank of a clustered word, else -1
     endings: np.ndarray  # last bytes
     assigned: np.ndarray  # class of each clustered word, by rank
+    width: int  # number of all classes: the end, the endings, the exchange classes
     tokens: int = 0
     distinct: int = 0
     ends: int = 0  # training texts
@@ -149,7 +160,7 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
     packed; blocks are summed in two steps, one array after the other, so a task holds
     one sum whatever the number of tasks before it.
     """
-    per_block = CLUSTERED // BLOCKS
+    per_block, width = CLUSTERED // BLOCKS, model.value.width
 
     def packed(rows: list[tuple[int, np.ndarray]], salt: int) -> pa.RecordBatch:
         data = [zlib.compress(x.tobytes(), 1) for _, x in rows]
@@ -158,17 +169,17 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         classes = own.classes()
-        pairs = np.zeros(ALL * ALL, np.int64)
-        around = np.zeros((CLUSTERED, 2, ALL), np.int64) if words else None
+        pairs = np.zeros(width * width, np.int64)
+        around = np.zeros((CLUSTERED, 2, width), np.int64) if words else None
         for part in slices(batches, "codes", SLICE):
             cls, place, _, at, _ = sequence(own, classes, part)
             before = np.concatenate([[END], cls[:-1]])
-            pairs += np.bincount(before * ALL + cls, minlength=ALL * ALL)
+            pairs += np.bincount(before * width + cls, minlength=width * width)
             if words:
                 rank, spot = own.word[place[place >= 0]], at[place >= 0]
                 rank, spot = rank[rank >= 0], spot[rank >= 0]
                 for side, near in ((0, before[spot]), (1, cls[spot + 1])):
-                    around[:, side] += np.bincount(rank * ALL + near, minlength=CLUSTERED * ALL).reshape(CLUSTERED, ALL)
+                    around[:, side] += np.bincount(rank * width + near, minlength=CLUSTERED * width).reshape(CLUSTERED, width)
         salt = TaskContext.get().partitionId() % 64
         rows = [(-1, pairs)] + ([(b, around[b * per_block : (b + 1) * per_block].ravel()) for b in range(BLOCKS)] if words else [])
         yield packed(rows, salt)
@@ -194,9 +205,9 @@ def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.n
             parts = parts.withColumn("salt", F.lit(0))
         parts = parts.repartition(*keys).sortWithinPartitions("block", "salt").mapInArrow(add, schema)
     whole = {r.block: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.collect()}
-    pairs = whole.get(-1, np.zeros(ALL * ALL, np.int64)).reshape(ALL, ALL)
-    none = np.zeros(per_block * 2 * ALL, np.int64)
-    around = np.concatenate([whole.get(b, none) for b in range(BLOCKS)]).reshape(CLUSTERED, 2, ALL)
+    pairs = whole.get(-1, np.zeros(width * width, np.int64)).reshape(width, width)
+    none = np.zeros(per_block * 2 * width, np.int64)
+    around = np.concatenate([whole.get(b, none) for b in range(BLOCKS)]).reshape(CLUSTERED, 2, width)
     return pairs, around
 
 
@@ -211,7 +222,7 @@ def exchange(assigned: np.ndarray, pairs: np.ndarray, around: np.ndarray) -> np.
         return x * np.log(np.maximum(x, 1))
 
     out, m = assigned.copy(), pairs.astype(np.float64).copy()
-    targets = slice(FIRST_CLASS, FIRST_ENDING)
+    targets = slice(FIRST_CLASS, None)
     for word in range(len(out)):
         before, after = around[word].astype(np.float64)
         n = before.sum()
@@ -240,8 +251,9 @@ def seed(vocabulary: DataFrame, ends: int) -> Model:
     h, e, n = (top.column(c).to_numpy() for c in ("h", "e", "n"))
     order = np.argsort(h.view(np.uint64))
     word = np.where(np.arange(len(h)) < CLUSTERED, np.arange(len(h)), -1)[order]
-    assigned = FIRST_CLASS + np.arange(CLUSTERED) % CLASSES
-    return Model(h.view(np.uint64)[order], n[order], word, e[order], assigned, int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends)
+    classes = class_number(int(sums[1]))
+    assigned = FIRST_CLASS + np.arange(CLUSTERED) % classes
+    return Model(h.view(np.uint64)[order], n[order], word, e[order], assigned, FIRST_CLASS + classes, int(sums[0]) + ends, int(sums[1]) + (ends > 0), ends)
 
 
 def fit(train: DataFrame, model: Model, vocabulary: DataFrame) -> Model:
@@ -259,14 +271,14 @@ def fit(train: DataFrame, model: Model, vocabulary: DataFrame) -> Model:
 
     # words per class: the clustered by rank, all others by their ending
     others = vocabulary.groupBy(F.expr(f"e % {ENDINGS}").alias("ending")).agg(F.count("*").alias("words")).collect()
-    words = np.zeros(ALL)
+    words = np.zeros(model.width)
     for row in others:
         words[FIRST_ENDING + row.ending] += row.words
     known = model.word >= 0
     np.subtract.at(words, FIRST_ENDING + model.endings[known].astype(np.int64) % ENDINGS, 1)
     np.add.at(words, model.assigned[model.word[known]], 1)
     words[END] = 1
-    words[FIRST_ENDING:] += 1  # one more for words that training lacks
+    words[FIRST_ENDING:FIRST_CLASS] += 1  # one more for words that training lacks
 
     return with_probabilities(model, pairs, words)
 
@@ -274,14 +286,16 @@ def fit(train: DataFrame, model: Model, vocabulary: DataFrame) -> Model:
 def with_probabilities(model: Model, pairs: np.ndarray, words: np.ndarray) -> Model:
     """The model with the probabilities that follow from the class pairs and the words of each class."""
     own = pairs.sum(axis=0).astype(np.float64)
-    frequency = (own + 1) / (own.sum() + ALL)
+    frequency = (own + 1) / (own.sum() + len(own))
     transition = np.log10((pairs + BACK * frequency[None, :]) / (pairs.sum(axis=1)[:, None] + BACK))
     below = np.log10(np.maximum(own + ADD * words, ADD))
     return replace(model, transition=transition, below=below, pairs=pairs)
 
 
 def neighbours(train: DataFrame, shared) -> DataFrame:
-    """(h, around): for every word that isn't clustered, its pairs of classes before and after it, each as count * ALL^2 + before * ALL + after."""
+    """(h, around): for every word that isn't clustered, its pairs of classes before and after it, each as count * width^2 + before * width + after."""
+
+    width = shared.value.width
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -291,12 +305,12 @@ def neighbours(train: DataFrame, shared) -> DataFrame:
             free = place < 0
             free[~free] = own.word[place[~free]] < 0
             spot = at[free]
-            key = np.where(spot > 0, cls[spot - 1], END) * ALL + cls[spot + 1]
+            key = np.where(spot > 0, cls[spot - 1], END) * width + cls[spot + 1]
             yield pa.RecordBatch.from_arrays([pa.array(h[free].view(np.int64)), pa.array(key.astype(np.int32))], ["h", "key"])
 
-    # summed by word and pair first, in tasks and between them: a word has ALL^2 rows at most when they are gathered, however often it occurs
+    # summed by word and pair first, in tasks and between them: a word has width^2 rows at most when they are gathered, however often it occurs
     counts = train.mapInArrow(find, "h bigint, key int").groupBy("h", "key").agg(F.count("*").alias("n"))
-    return counts.groupBy("h").agg(F.collect_list(F.col("n") * F.lit(ALL * ALL) + F.col("key")).alias("around"))
+    return counts.groupBy("h").agg(F.collect_list(F.col("n") * F.lit(width * width) + F.col("key")).alias("around"))
 
 
 class Gains:
@@ -306,8 +320,8 @@ class Gains:
 
     def __init__(self, pairs: np.ndarray):
         m = pairs.astype(np.float64)
-        targets = slice(FIRST_CLASS, FIRST_ENDING)
-        self.near = np.concatenate([m[:, targets], m[targets, :].T])  # by side * ALL + class
+        targets, self.width = slice(FIRST_CLASS, None), len(pairs)
+        self.near = np.concatenate([m[:, targets], m[targets, :].T])  # by side * width + class
         self.rows, self.cols = m.sum(axis=1)[targets], m.sum(axis=0)[targets]
         # words are scored apart, and all rare ones would take an empty class for themselves
         self.barred = np.where((self.rows + self.cols == 0) & (self.rows + self.cols).any(), np.inf, 0)
@@ -323,7 +337,7 @@ class Gains:
         big = np.flatnonzero(n > self.SMALL)
         gain[big] = self.more(self.near[key[big]], n[big, None])
         total = np.add.reduceat(gain, starts, axis=0)
-        times = np.add.reduceat(np.where(key < ALL, n, 0), starts)[:, None]
+        times = np.add.reduceat(np.where(key < self.width, n, 0), starts)[:, None]
         return FIRST_CLASS + np.argmax(total - self.more(self.rows, times) - self.more(self.cols, times) - self.barred, axis=1)
 
 
@@ -335,21 +349,23 @@ def assign(train: DataFrame, model: Model, path: str) -> DataFrame:
     """
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    width = model.width
+    step = max((1 << 22) // (2 * width * width), 1)  # words at a time, of 2 width counts each at most, with a gain for every class
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(shared.value.pairs)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):  # of 2 ALL counts each at most
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
                 around = part.column("around")
                 code = around.flatten().to_numpy(zero_copy_only=False)
                 word = np.repeat(np.arange(part.num_rows), around.value_lengths().to_numpy(zero_copy_only=False))
-                n, key = np.divmod(code, ALL * ALL)
-                cells = np.concatenate([word * (2 * ALL) + key // ALL, word * (2 * ALL) + ALL + key % ALL])
-                sums = np.bincount(cells, np.concatenate([n, n]), part.num_rows * 2 * ALL).astype(np.int64)
+                n, key = np.divmod(code, width * width)
+                cells = np.concatenate([word * (2 * width) + key // width, word * (2 * width) + width + key % width])
+                sums = np.bincount(cells, np.concatenate([n, n]), part.num_rows * 2 * width).astype(np.int64)
                 some = np.flatnonzero(sums)
-                starts = np.searchsorted(some, np.arange(part.num_rows) * (2 * ALL))
-                cls = gains.best(some % (2 * ALL), sums[some], starts)
+                starts = np.searchsorted(some, np.arange(part.num_rows) * (2 * width))
+                cls = gains.best(some % (2 * width), sums[some], starts)
                 yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls.astype(np.int32))], ["h", "cls"])
 
     neighbours(train, shared).mapInArrow(choose, "h bigint, cls int").write.parquet(path)
@@ -391,6 +407,7 @@ def typed(encoded: DataFrame, model: Model, vocabulary: DataFrame, path: str) ->
     """
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    width = model.width
     names = [c for c in encoded.columns if c not in ("codes", "rest")]
     fields = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in names)
     numbers = "n_tokens bigint, n_known bigint, base_score double, words double"
@@ -445,7 +462,7 @@ def typed(encoded: DataFrame, model: Model, vocabulary: DataFrame, path: str) ->
     sums = rest.join(vocabulary, "h", "left").groupBy("rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more_known"),
-        F.collect_list(F.col("i").cast("bigint") * F.lit(ALL) + F.coalesce("cls", unseen)).alias("own"),
+        F.collect_list(F.col("i").cast("bigint") * F.lit(width) + F.coalesce("cls", unseen)).alias("own"),
     )
     whole = rows.drop("rest", "times", "endings").join(sums, "rid", "left")
     more = F.coalesce("more", F.lit(0.0))
@@ -462,7 +479,7 @@ def typed(encoded: DataFrame, model: Model, vocabulary: DataFrame, path: str) ->
                 if size:
                     code = own[start : start + size]
                     classes = np.empty(size, np.int32)
-                    classes[code // ALL] = code % ALL
+                    classes[code // width] = code % width
                     tokens = np.where(tokens < 0, classes[np.maximum(-1 - tokens, 0)], tokens)
                     start += size
                 done.append(tokens.astype(np.int16).tobytes())
@@ -473,21 +490,21 @@ def typed(encoded: DataFrame, model: Model, vocabulary: DataFrame, path: str) ->
     return spark.read.parquet(f"{path}/all")
 
 
-def pair_counts(rows: DataFrame) -> np.ndarray:
-    """Counts of class pairs in ``cls``; a task sends one array."""
+def pair_counts(rows: DataFrame, width: int) -> np.ndarray:
+    """Counts of pairs of the ``width`` classes in ``cls``; a task sends one array."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(ALL * ALL, np.int64)
+        pairs = np.zeros(width * width, np.int64)
         for part in slices(batches, "cls"):
             cls = np.frombuffer(b"".join(part.column("cls").to_pylist()), np.int16).astype(np.int64)
-            pairs += np.bincount(np.concatenate([[END], cls[:-1]]) * ALL + cls, minlength=ALL * ALL)
+            pairs += np.bincount(np.concatenate([[END], cls[:-1]]) * width + cls, minlength=width * width)
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(pairs[some])], ["pair", "n"])
 
-    out = np.zeros(ALL * ALL, np.int64)
+    out = np.zeros(width * width, np.int64)
     for r in rows.select("cls").mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[r.pair] = r.n
-    return out.reshape(ALL, ALL)
+    return out.reshape(width, width)
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
@@ -526,13 +543,13 @@ def lm_table(rows: DataFrame, vocabulary: DataFrame, path: str) -> tuple[DataFra
     vocabulary.select("h", "n").join(assigned, "h").write.parquet(f"{path}/words")
     others = spark.read.parquet(f"{path}/words")
     table = typed(encoded, model, others, f"{path}/typed")
-    words = np.zeros(ALL)
+    words = np.zeros(model.width)
     for r in others.groupBy("cls").agg(F.count("*").alias("words")).collect():
         words[r.cls] += r.words
     np.add.at(words, model.assigned[model.word[model.word >= 0]], 1)
     words[END] = 1
     np.add.at(words, model.unseen, 1)  # one more per ending for words that training lacks
-    return table, with_probabilities(model, pair_counts(table.where(~F.col("_held_out"))), words), others
+    return table, with_probabilities(model, pair_counts(table.where(~F.col("_held_out")), model.width), words), others
 
 
 def lm_rows(documents: DataFrame) -> DataFrame:

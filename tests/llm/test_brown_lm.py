@@ -56,12 +56,12 @@ def test_probabilities_sum_to_one(documents, small, tmp_path):
     start = brown_lm.seed(vocabulary, train.count())
     model = brown_lm.fit(brown_lm.encode(train, start, str(tmp_path / "encoded")), start, vocabulary)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    mass = np.zeros(brown_lm.ALL)
+    mass = np.zeros(model.width)
     classes = dict(zip(model.hashes.view(np.int64).tolist(), model.classes().tolist()))
     for r in vocabulary.collect():
         cls = classes.get(r.h, brown_lm.FIRST_ENDING + r.e % brown_lm.ENDINGS)
         mass[cls] += (r.n + brown_lm.ADD) / 10 ** model.below[cls]
-    ends = slice(brown_lm.FIRST_ENDING, None)
+    ends = slice(brown_lm.FIRST_ENDING, brown_lm.FIRST_CLASS)
     mass[ends] += brown_lm.ADD / 10 ** model.below[ends]  # words that training lacks
     used = mass[1:] > 0
     assert np.allclose(mass[1:][used], 1)
@@ -70,7 +70,7 @@ def test_probabilities_sum_to_one(documents, small, tmp_path):
 def test_exchange_finds_classes():
     """Words of two kinds that follow each other in turn end up in classes of one kind each."""
     pick = np.random.default_rng(3)
-    n, words = brown_lm.ALL, 40
+    n, words = brown_lm.FIRST_CLASS + brown_lm.CLASSES, 40
     assigned = brown_lm.FIRST_CLASS + np.arange(words) % 2
     kind = (np.arange(words) >= words // 2).astype(int)
     seq = np.array([pick.integers(0, words // 2) + (i % 2) * (words // 2) for i in range(40_000)])
@@ -97,3 +97,14 @@ def test_small_slices_change_nothing(spark, documents, monkeypatch):
     monkeypatch.setattr(brown_lm, "SLICE", 5000)
     got = {r.doc_id: r.score for r in brown_lm.lm_rows(documents.repartition(5)).collect()}
     assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want) and len(got) == len(want)
+
+
+def test_classes_grow_with_the_vocabulary(spark, documents, small, monkeypatch, tmp_path):
+    numbers = [brown_lm.class_number(10**k) for k in range(3, 13)]
+    assert numbers == sorted(numbers) and numbers[0] == brown_lm.CLASSES and numbers[-1] == 2500
+    train = documents.select("text")
+    vocabulary = brown_lm.count_words(train).cache()
+    monkeypatch.setattr(brown_lm, "PER_ROOT", 110 / vocabulary.count() ** 0.25)
+    start = brown_lm.seed(vocabulary, train.count())
+    assert start.width == brown_lm.FIRST_CLASS + 110
+    check(documents, [(r.doc_id, r.text) for r in documents.collect()])

@@ -45,9 +45,9 @@ def test_rare_words_join_the_class_of_their_kind(spark, tmp_path, monkeypatch):
 def test_every_training_word_has_an_exchange_class_and_mass_is_one(spark, documents, small, tmp_path):
     table, model, others, vocabulary = table_of(spark, documents, tmp_path)
     cls = {r.h: r.cls for r in others.collect()} | dict(zip(model.hashes.view(np.int64).tolist(), model.classes().tolist()))
-    mass = np.zeros(brown_lm.ALL)
+    mass = np.zeros(model.width)
     for r in vocabulary.collect():
-        assert brown_lm.FIRST_CLASS <= cls[r.h] < brown_lm.FIRST_ENDING
+        assert brown_lm.FIRST_CLASS <= cls[r.h] < model.width
         mass[cls[r.h]] += (r.n + brown_lm.ADD) / 10 ** model.below[cls[r.h]]
     for c in model.unseen:
         mass[c] += brown_lm.ADD / 10 ** model.below[c]
@@ -55,11 +55,13 @@ def test_every_training_word_has_an_exchange_class_and_mass_is_one(spark, docume
     assert np.allclose(mass[1:][used], 1) and np.allclose((10**model.transition).sum(axis=1), 1)
 
 
-def test_scores_against_plain_python(spark, documents, small, tmp_path):
+@pytest.mark.parametrize("classes", [64, 100])
+def test_scores_against_plain_python(spark, documents, small, tmp_path, monkeypatch, classes):
+    monkeypatch.setattr(brown_lm, "CLASSES", classes)
     table, model, others, vocabulary = table_of(spark, documents, tmp_path)
     cls = {r.h: r.cls for r in others.collect()} | dict(zip(model.hashes.view(np.int64).tolist(), model.classes().tolist()))
     n = {r.h: r.n for r in vocabulary.collect()}
-    pairs = np.zeros((brown_lm.ALL, brown_lm.ALL), int)
+    pairs = np.zeros((model.width, model.width), int)
     want = {}
     for r in documents.collect():
         text = (r.text or "").encode()
