@@ -9,7 +9,6 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablehaul.llm.arrow import slices
@@ -23,7 +22,8 @@ CLASSES = 64  # at least; their number grows with the vocabulary, see class_numb
 PER_ROOT = 2.5  # classes for each unit of the fourth root of the number of distinct words
 ENDINGS = 32  # classes of all other words until they are assigned, by their last byte
 HELD = 262_144  # most frequent words whose counts every task holds; the others' are joined
-ROUNDS = 3  # of counting and exchanging
+ROUNDS = 6  # of exchanging at most; it ends earlier when fewer than one word in SETTLED moves
+SETTLED = 100
 ADD = 0.1  # added to every word's count, as in the base score
 BACK = 2.0  # weight of the class frequencies in a transition
 
@@ -31,7 +31,6 @@ BACK = 2.0  # weight of the class frequencies in a transition
 SLICE = 1 << 20
 
 END, FIRST_ENDING, FIRST_CLASS = 0, 1, 1 + ENDINGS  # the exchange classes come last, as their number varies
-BLOCKS = 32  # word blocks that counts are summed in
 
 
 def class_number(distinct: int) -> int:
@@ -153,95 +152,110 @@ def sequence(model: Model, classes: np.ndarray, part: pa.RecordBatch):
     return cls, np.where(found, place, -1), h, at, sizes
 
 
-def class_counts(train: DataFrame, model, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of class pairs, and for each clustered word of the classes before and after it (zeros unless ``words``).
+def word_pairs(train: DataFrame, model: Model) -> np.ndarray:
+    """How often each code follows each other one in the encoded texts: rows before, columns after.
 
-    A task sums its slices into dense arrays and sends each block of words once,
-    packed; blocks are summed in two steps, one array after the other, so a task holds
-    one sum whatever the number of tasks before it.
+    A clustered word's code is ``FIRST_CLASS`` + its rank; all else has its class, which is
+    an ending or the end. Pairs are summed in tasks and between them, so what reaches the driver, packed, is
+    at most one cell for each pair of codes, 270 MB here, whatever the corpus; cells above 16 million keep 24 bits.
     """
-    per_block, width = CLUSTERED // BLOCKS, model.value.width
-
-    def packed(rows: list[tuple[int, np.ndarray]], salt: int) -> pa.RecordBatch:
-        data = [zlib.compress(x.tobytes(), 1) for _, x in rows]
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(data, pa.binary())], ["block", "salt", "data"])
+    shared = train.sparkSession.sparkContext.broadcast(model)
+    size = FIRST_CLASS + int(model.word.max(initial=-1)) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own, held, rows = shared.value, [], 0
         classes = own.classes()
-        pairs = np.zeros(width * width, np.int64)
-        around = np.zeros((CLUSTERED, 2, width), np.int64) if words else None
+
+        def out() -> pa.RecordBatch:
+            key, n = (np.concatenate(x) for x in zip(*held))
+            unique, inverse = np.unique(key, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(inverse, n).astype(np.int64))], ["pair", "n"])
+
         for part in slices(batches, "codes", SLICE):
-            cls, place, _, at, _ = sequence(own, classes, part)
-            before = np.concatenate([[END], cls[:-1]])
-            pairs += np.bincount(before * width + cls, minlength=width * width)
-            if words:
-                rank, spot = own.word[place[place >= 0]], at[place >= 0]
-                rank, spot = rank[rank >= 0], spot[rank >= 0]
-                for side, near in ((0, before[spot]), (1, cls[spot + 1])):
-                    around[:, side] += np.bincount(rank * width + near, minlength=CLUSTERED * width).reshape(CLUSTERED, width)
-        salt = TaskContext.get().partitionId() % 64
-        rows = [(-1, pairs)] + ([(b, around[b * per_block : (b + 1) * per_block].ravel()) for b in range(BLOCKS)] if words else [])
-        yield packed(rows, salt)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, None
+            code, place, _, at, _ = sequence(own, classes, part)
+            rank, spot = own.word[place[place >= 0]], at[place >= 0]
+            code[spot[rank >= 0]] = FIRST_CLASS + rank[rank >= 0]
+            held.append(np.unique((np.concatenate([[END], code[:-1]]) * size + code).astype(np.int32), return_counts=True))
+            rows += len(held[-1][0])
+            if rows > 2_000_000:
+                yield out()
+                held, rows = [], 0
+        if held:
+            yield out()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, salt, data in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "data"))):
-                one = np.frombuffer(zlib.decompress(data), np.int64)
-                if (block, salt) == last:
-                    total += one
-                    continue
-                if last is not None:
-                    yield packed([(last[0], total)], last[1])
-                last, total = (block, salt), one.copy()
-        if last is not None:
-            yield packed([(last[0], total)], last[1])
-
-    schema = "block int, salt int, data binary"
-    parts = train.mapInArrow(count, schema)
-    for keys in (("block", "salt"), ("block",)):
-        if keys == ("block",):
-            parts = parts.withColumn("salt", F.lit(0))
-        parts = parts.repartition(*keys).sortWithinPartitions("block", "salt").mapInArrow(add, schema)
-    whole = {r.block: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.collect()}
-    pairs = whole.get(-1, np.zeros(width * width, np.int64)).reshape(width, width)
-    none = np.zeros(per_block * 2 * width, np.int64)
-    around = np.concatenate([whole.get(b, none) for b in range(BLOCKS)]).reshape(CLUSTERED, 2, width)
-    return pairs, around
-
-
-def exchange(assigned: np.ndarray, pairs: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Each clustered word in turn moves to the class where the likelihood of the class bigrams is greatest.
-
-    Class counts follow every move; the counts around a word are those of the last
-    pass over the corpus, and the next pass renews them.
+            data = [zlib.compress(batch.column(c).to_numpy().tobytes(), 1) for c in ("pair", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], ["pair", "n"])
+
+    counts = train.mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    whole = np.zeros(size * size, np.float32)
+    for r in counts.mapInArrow(pack, "pair binary, n binary").collect():
+        whole[np.frombuffer(zlib.decompress(r.pair), np.int32)] = np.frombuffer(zlib.decompress(r.n), np.int64)
+    shared.unpersist()
+    return whole.reshape(size, size)
+
+
+def exchange(assigned: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each clustered word, and the counts of class pairs.
+
+    Each word in turn moves to the class where the likelihood of the class bigrams is
+    greatest; ``counts`` are those of ``word_pairs``. Every move renews the counts of classes
+    around all other words, so no move lowers the likelihood. In the first round words
+    enter one by one: the most frequent have a class each, and a later word joins a class by
+    its counts with those before it; from classes that are all alike no single move leads away. ``assigned`` stays for ranks without a word.
     """
 
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1))
 
-    out, m = assigned.copy(), pairs.astype(np.float64).copy()
-    targets = slice(FIRST_CLASS, None)
-    for word in range(len(out)):
-        before, after = around[word].astype(np.float64)
-        n = before.sum()
-        if not n:
-            continue
-        old = out[word]
-        m[:, old] = np.maximum(m[:, old] - before, 0)
-        m[old, :] = np.maximum(m[old, :] - after, 0)
-        rows, cols = m.sum(axis=1)[targets], m.sum(axis=0)[targets]
-        into, outof = m[:, targets], m[targets, :]
-        use_in, use_out = np.flatnonzero(before), np.flatnonzero(after)
-        gain = (f(into[use_in] + before[use_in, None]) - f(into[use_in])).sum(axis=0)
-        gain += (f(outof[:, use_out] + after[None, use_out]) - f(outof[:, use_out])).sum(axis=1)
-        gain -= f(rows + n) - f(rows) + f(cols + n) - f(cols)
-        new = FIRST_CLASS + int(np.argmax(gain))
-        out[word] = new
-        m[:, new] += before
-        m[new, :] += after
-    return out
+    words = len(counts) - FIRST_CLASS
+    of = np.concatenate([np.arange(FIRST_CLASS), np.full(words, -1)])
+    # by class and word: counts of the class before the word, and of the class after it
+    before, after, m = np.zeros((width, len(of))), np.zeros((width, len(of))), np.zeros((width, width))
+    before[:FIRST_CLASS], after[:FIRST_CLASS] = counts[:FIRST_CLASS], counts[:, :FIRST_CLASS].T
+    m[:FIRST_CLASS, :FIRST_CLASS] = counts[:FIRST_CLASS, :FIRST_CLASS]
+    logs, targets = f(m), slice(FIRST_CLASS, None)
+    inner = np.arange(FIRST_CLASS, width)
+    for _ in range(ROUNDS):
+        moves = 0
+        for code in range(FIRST_CLASS, len(of)):
+            old, itself = of[code], float(counts[code, code])
+            into, outof = before[:, code].copy(), after[:, code].copy()
+            if old >= 0:
+                into[old] -= itself
+                outof[old] -= itself
+                m[:, old] -= into
+                m[old, :] -= outof
+                m[old, old] -= itself
+                logs[:, old], logs[old, :] = f(m[:, old]), f(m[old, :])
+            n, k = into.sum() + itself, outof.sum() + itself
+            some, other = np.flatnonzero(into), np.flatnonzero(outof)
+            gain = (f(m[some, targets] + into[some, None]) - logs[some, targets]).sum(axis=0)
+            gain += (f(m[targets, other] + outof[None, other]) - logs[targets, other]).sum(axis=1)
+            # a class's pairs with itself gain from both sides and by the word's pairs with itself
+            own, x, y = m[inner, inner], into[targets], outof[targets]
+            gain += f(own + x + y + itself) + f(own) - f(own + x) - f(own + y)
+            # totals of the other words, their pairs with this one included
+            cols, rows = (m.sum(axis=0) + outof)[targets], (m.sum(axis=1) + into)[targets]
+            gain -= f(cols + n) - f(cols) + f(rows + k) - f(rows)
+            new = code if old < 0 and code < width else FIRST_CLASS + int(np.argmax(gain))
+            m[:, new] += into
+            m[new, :] += outof
+            m[new, new] += itself
+            logs[:, new], logs[new, :] = f(m[:, new]), f(m[new, :])
+            if new != old:
+                of[code] = new
+                moves += 1
+                follows, leads = counts[code], counts[:, code]
+                before[new] += follows
+                after[new] += leads
+                if old >= 0:
+                    before[old] -= follows
+                    after[old] -= leads
+        if moves * SETTLED < words:
+            break
+    return np.concatenate([of[FIRST_CLASS:], assigned[words:]]), np.rint(m).astype(np.int64)
 
 
 def seed(vocabulary: DataFrame, ends: int) -> Model:
@@ -259,15 +273,11 @@ def seed(vocabulary: DataFrame, ends: int) -> Model:
 def fit(train: DataFrame, model: Model, vocabulary: DataFrame) -> Model:
     """The model of the encoded texts ``train``, whose ``vocabulary`` (h, e, n) covers all their words, from a ``seed``.
 
-    All counts are over all training texts; only the number of words that are
+    All counts are over all training texts, in one pass; only the number of words that are
     clustered and held is bounded.
     """
-    context = train.sparkSession.sparkContext
-    for _ in range(ROUNDS):
-        shared = context.broadcast(model)
-        model = replace(model, assigned=exchange(model.assigned, *class_counts(train, shared, words=True)))
-        shared.unpersist()
-    pairs, _ = class_counts(train, context.broadcast(model), words=False)
+    assigned, pairs = exchange(model.assigned, word_pairs(train, model), model.width)
+    model = replace(model, assigned=assigned)
 
     # words per class: the clustered by rank, all others by their ending
     others = vocabulary.groupBy(F.expr(f"e % {ENDINGS}").alias("ending")).agg(F.count("*").alias("words")).collect()

@@ -70,20 +70,43 @@ def test_probabilities_sum_to_one(documents, small, tmp_path):
 def test_exchange_finds_classes():
     """Words of two kinds that follow each other in turn end up in classes of one kind each."""
     pick = np.random.default_rng(3)
-    n, words = brown_lm.FIRST_CLASS + brown_lm.CLASSES, 40
+    words = 40
     assigned = brown_lm.FIRST_CLASS + np.arange(words) % 2
     kind = (np.arange(words) >= words // 2).astype(int)
     seq = np.array([pick.integers(0, words // 2) + (i % 2) * (words // 2) for i in range(40_000)])
-    for _ in range(4):
-        cls = assigned[seq]
-        pairs, around = np.zeros((n, n)), np.zeros((words, 2, n))
-        np.add.at(pairs, (cls[:-1], cls[1:]), 1)
-        np.add.at(around, (seq[1:], 0, cls[:-1]), 1)
-        np.add.at(around, (seq[:-1], 1, cls[1:]), 1)
-        assigned = brown_lm.exchange(assigned, pairs, around)
+    counts = np.zeros((brown_lm.FIRST_CLASS + words,) * 2, np.float32)
+    np.add.at(counts, (brown_lm.FIRST_CLASS + seq[:-1], brown_lm.FIRST_CLASS + seq[1:]), 1)
+    assigned, _ = brown_lm.exchange(assigned, counts, brown_lm.FIRST_CLASS + brown_lm.CLASSES)
     assert not set(assigned[kind == 0]) & set(assigned[kind == 1])
 
 
+def likelihood(counts, of, width):
+    pairs = np.zeros((width, width), np.int64)
+    np.add.at(pairs, (of[:, None], of[None, :]), counts.astype(np.int64))
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return pairs, f(pairs) - f(pairs.sum(axis=0)) - f(pairs.sum(axis=1))
+
+
+def test_no_round_of_the_exchange_lowers_the_likelihood(monkeypatch):
+    """Words that also follow themselves; pairs counted anew from the classes agree with those kept up to date."""
+    pick, words, fixed = np.random.default_rng(8), 60, brown_lm.FIRST_CLASS
+    counts = (pick.poisson(0.4, (fixed + words,) * 2) * pick.integers(1, 9, (fixed + words, 1))).astype(np.float32)
+    width, start = fixed + 7, fixed + np.arange(words) % 7
+    last = likelihood(counts, np.concatenate([np.arange(fixed), start]), width)[1]
+    for rounds in range(1, 6):
+        monkeypatch.setattr(brown_lm, "ROUNDS", rounds)
+        assigned, pairs = brown_lm.exchange(start, counts, width)
+        want, now = likelihood(counts, np.concatenate([np.arange(fixed), assigned]), width)
+        assert (pairs == want).all() and now >= last - 1e-6
+        last = now
+    moved = lambda w, c: likelihood(counts, np.concatenate([np.arange(fixed), np.where(np.arange(words) == w, c, assigned)]), width)[1]
+    monkeypatch.setattr(brown_lm, "SETTLED", 10**9)  # until no word moves: then no single move is better
+    monkeypatch.setattr(brown_lm, "ROUNDS", 100)
+    assigned, _ = brown_lm.exchange(start, counts, width)
+    best = moved(0, assigned[0])
+    assert all(moved(w, c) <= best + 1e-6 for w in range(words) for c in range(fixed, width))
+
+
 def test_odd_empty_and_clashing(odd, empty, clashing, small):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     check(odd, rows)
