@@ -119,3 +119,13 @@ def test_keys_that_repeat_in_the_target_are_each_updated(spark, rows):
     assert some == sorted([(1, "new", w) for w in "xyz"] + [(2, "d", "w"), (3, "in", None), (None, "n", "n"), (None, "n", "n")], key=repr)
     filled = rows(merge.upsert(target, source, ["k"], fill=["w"]))
     assert filled == rows(merge.upsert(target, source, ["k"]))
+
+
+def test_unique_keys_are_counted_in_as_many_tasks_as_a_shuffle_has(spark):
+    source = spark.range(0, 200000, 1, 3).selectExpr("id AS k")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the rows' own partitions and those of the check; adaptive execution made one of the latter
+    assert merge.one_per_key(source, ["k"], None).rdd.getNumPartitions() == 3 + tasks
+    assert merge.upsert(source, source, ["k"]).count() == 200000
+    with pytest.raises(Exception, match="repeats in the source"):
+        merge.one_per_key(source.unionAll(source.limit(1)), ["k"], None).count()
