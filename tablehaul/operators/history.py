@@ -233,10 +233,17 @@ def mirror_objects(records: DataFrame) -> DataFrame:
 
 def mirror_runs(records: DataFrame, order: str = "seq") -> DataFrame:
     """Parent rows: the newest record of each run, with its first failed object and first error message."""
+    named = records.filter(F.coalesce(F.trim("run_summary.run_id"), F.lit("")) != "")
+    rows = run_rows(named, F.col(order).alias("_order"))
+    return one_per_key(rows, ["run_id"], ["_order"]).drop("_order")
+
+
+def run_rows(records: DataFrame, *more: Column) -> DataFrame:
+    """The parent row of each record, and ``more`` columns of the record."""
     run = F.col("run_summary")
     failed = F.filter(run["object_results"], lambda o: o["status"] == "error")
     said = F.filter(failed, lambda o: F.coalesce(o["error_message"], F.lit("")) != "")
-    rows = records.filter(F.coalesce(F.trim(run["run_id"]), F.lit("")) != "").select(
+    return records.select(
         run["run_id"].alias("run_id"),
         F.coalesce(run["status"], F.lit("unknown")).alias("status"),
         F.coalesce(run["source_db"], F.lit("")).alias("source_db"),
@@ -246,9 +253,23 @@ def mirror_runs(records: DataFrame, order: str = "seq") -> DataFrame:
         F.get(said, F.lit(0))["error_message"].alias("error_message"),
         run["started_at"].alias("started_at"),
         run["completed_at"].alias("completed_at"),
-        F.col(order).alias("_order"),
+        *more,
     )
-    return one_per_key(rows, ["run_id"], ["_order"]).drop("_order")
+
+
+#: What a mirror stores of a run and of its objects.
+_RUN_PARTS = ("run_id", "status", "source_db", "target_db", "started_at", "completed_at")
+_OBJECT_PARTS = (
+    "object_type", "object_name", "status", "rows_migrated", "error_type", "error_message", "remediation", "started_at", "completed_at",
+)
+
+
+def mirrored_parts(records: DataFrame, order: str = "seq") -> DataFrame:
+    """Records with only what a mirror stores: neither statistics nor statements."""
+    run = F.col("run_summary")
+    objects = F.transform(run["object_results"], lambda o: F.struct(*[o[c].alias(c) for c in _OBJECT_PARTS]))
+    kept = F.struct(*[run[c].alias(c) for c in _RUN_PARTS], objects.alias("object_results"))
+    return records.select(kept.alias("run_summary"), "logs", order)
 
 
 def log_rows(records: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def _system(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = _path(spark, folder)
+    _system(spark, path).delete(path, True)
+
+
 def _numbers(spark: SparkSession, root: str) -> list[int]:
     notes = _path(spark, root, NOTES)
     system = _system(spark, notes)
@@ -196,8 +201,7 @@ def retire_versions(spark: SparkSession, root: str, keep: int = 1) -> int:
     for number in old:
         gone |= set(_read(spark, root, number)) - live
     for folder in gone:
-        path = _path(spark, folder)
-        _system(spark, path).delete(path, True)
+        delete_folder(spark, folder)
     for number in old:
         note = _path(spark, root, NOTES, f"{number:012}.json")
         _system(spark, note).delete(note, False)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from tablehaul.functions.names import quoted
 from tablehaul.operators import versions
 from tablehaul.operators.columns import append_evolving, drop_blank_rows, matched_names
-from tablehaul.operators.history import log_rows, mirror_objects, mirror_runs, newest_records
+from tablehaul.operators.history import log_rows, mirror_objects, mirrored_parts, newest_records, run_rows
 from tablehaul.operators.merge import new_rows, upsert
 from tablehaul.operators.skew import join_per_key
-from tablehaul.operators.versions import create_table, table_exists
+from tablehaul.operators.versions import create_table, delete_folder, table_exists
+from tablehaul.session import scratch_path
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
@@ -185,16 +186,21 @@ def mirror_records(records: DataFrame, table: str, root: str, order: str = "seq"
 
     Of several records of one run the newest counts, for all three. Objects and
     lines that a run had before are gone. The runs are stored last, so a run that is
-    listed has its children.
+    listed has its children. The newest records are worked out once, as a scratch copy
+    of what is stored of them, which all three are made from.
     """
     spark = records.sparkSession
     root = root.rstrip("/")
-    newest = newest_records(records, order)
+    picked = newest_records(mirrored_parts(records, order), order)
+    copy = scratch_path(spark, "newest-records")
+    picked.write.parquet(copy)
+    newest = spark.read.schema(picked.schema).parquet(copy)
     named = newest.select("run_summary.run_id")
     mirror_children(log_rows(newest), named, f"{root}/logs")
     mirror_children(mirror_objects(newest), named, f"{root}/objects")
-    parents = mirror_runs(newest, order)
+    parents = run_rows(newest)
     if table_exists(spark, table) or versions.newest(spark, f"{root}/runs")[1]:
         upsert_load(parents, table, f"{root}/runs", ["run_id"])
     else:
         publish(parents, table, f"{root}/runs")
+    delete_folder(spark, copy)

@@ -180,6 +180,27 @@ def children(spark, *rows):
     return spark.createDataFrame(list(rows), "run_id string, message string")
 
 
+def test_mirror_stores_one_reading_of_the_records(spark, tmp_path):
+    """Objects and parents agree even if the records come out differently when computed again."""
+    from pyspark.sql.functions import uuid
+
+    from tablehaul.functions.records import RECORD_SCHEMA
+
+    line = '{"run_summary": {"run_id": "r%d", "object_results": [{"object_name": "x", "status": "error"}, null]}, "logs": ["a", null], "seq": %d}'
+    (tmp_path / "log.json").write_text("\n".join([line % (i % 3, i) for i in range(5)] + ['{"run_summary": {"run_id": " "}, "seq": 9}']))
+    records = spark.read.schema(RECORD_SCHEMA).json(str(tmp_path / "log.json")).withColumn("_name", uuid())
+    objects = F.transform("run_summary.object_results", lambda o: F.when(o.isNotNull(), o.withField("object_name", F.col("_name"))))
+    records = records.withColumn("run_summary", F.col("run_summary").withField("object_results", objects)).drop("_name")
+    root = scratch_path(spark, "one-reading")
+    name = "t_" + root.rsplit("-", 1)[1]
+    for _ in range(2):
+        writes.mirror_records(records, name, root)
+    parents = {r["run_id"]: r["current_object_name"] for r in spark.table(name).collect()}
+    found = writes.read_children(spark, f"{root}/objects").where("sequence_no = 1").collect()
+    assert {r["run_id"]: r["object_name"] for r in found} == parents and sorted(parents) == ["r0", "r1", "r2"]
+    assert writes.read_children(spark, f"{root}/objects").count() == writes.read_children(spark, f"{root}/logs").count() == 6
+
+
 def test_mirror_keeps_runs_that_it_does_not_name(spark, rows):
     path = scratch_path(spark, "bucket")
     stored = [(f"r{i}", "old") for i in range(20)]
