@@ -10,6 +10,8 @@ from tablehaul.session import scratch_path
 
 # Times with all six digits, or none; Spark's own JSON format would cut them to three.
 TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+# Log files are compressed, and a file is read by one task, so its number of records is limited.
+WRITTEN = {**TIMES, "compression": "gzip", "maxRecordsPerFile": "100000"}
 
 
 ZONE = r"[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"
@@ -53,13 +55,13 @@ def append_runs(records: DataFrame, path: str, archive: str | None = None) -> No
     out differently when computed again.
     """
     records = _fixed(records) if archive else records
-    records.write.mode("append").options(**TIMES).json(path)
+    records.write.mode("append").options(**WRITTEN).json(path)
     if archive:
-        success_archive(records).write.mode("append").options(**TIMES).json(archive)
+        success_archive(records).write.mode("append").options(**WRITTEN).json(archive)
 
 
 def append_diagnostics(diagnostics: DataFrame, path: str, archive: str | None = None) -> None:
     diagnostics = _fixed(diagnostics) if archive else diagnostics
-    diagnostics.write.mode("append").options(**TIMES).json(path)
+    diagnostics.write.mode("append").options(**WRITTEN).json(path)
     if archive:
-        diagnostics_archive(diagnostics).write.mode("append").options(**TIMES).json(archive)
+        diagnostics_archive(diagnostics).write.mode("append").options(**WRITTEN).json(archive)

@@ -201,6 +201,20 @@ def test_mirror_stores_one_reading_of_the_records(spark, tmp_path):
     assert writes.read_children(spark, f"{root}/objects").count() == writes.read_children(spark, f"{root}/logs").count() == 6
 
 
+def test_run_log_is_written_compressed_in_files_of_bounded_rows(spark, rows, tmp_path, monkeypatch):
+    import glob
+
+    plain = tmp_path / "plain.json"
+    plain.write_text("\n".join('{"run_summary": {"run_id": "r%d", "status": "success"}, "logs": ["line"], "seq": %d}' % (i, i) for i in range(50)))
+    records = run_log.read_runs(spark, str(plain))
+    monkeypatch.setitem(run_log.WRITTEN, "maxRecordsPerFile", "20")
+    run_log.append_runs(records, str(tmp_path / "log"), str(tmp_path / "archive"))
+    for folder in ("log", "archive"):
+        files = glob.glob(str(tmp_path / folder / "part-*"))
+        assert len(files) >= 3 and all(f.endswith(".json.gz") for f in files)
+        assert rows(run_log.read_runs(spark, str(tmp_path / folder)).select("seq", "logs", "run_summary.run_id")) == rows(records.select("seq", "logs", "run_summary.run_id"))
+
+
 def test_mirror_keeps_runs_that_it_does_not_name(spark, rows):
     path = scratch_path(spark, "bucket")
     stored = [(f"r{i}", "old") for i in range(20)]
