@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tablehaul.functions.encode import STYLES, cell_value
 from tablehaul.functions.names import quoted
+from tablehaul.operators import versions
 from tablehaul.operators.columns import encode_cells
+from tablehaul.session import scratch_path
 
 # The same quoting for writing and reading; cells may hold line ends and blanks.
 _FORMAT = {
@@ -80,21 +84,44 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, style:
 
 
 def bulk_extract(df: DataFrame, path: str, output_partitions: int | None = None, count_rows: bool = True) -> dict:
-    """Scan to headered CSV; rows are counted while they are written."""
+    """Scan to headered CSV; rows are counted while they are scanned.
+
+    One task writes a file. With ``output_partitions`` the scan keeps all its tasks:
+    it deals its rows evenly to so many folders of compressed columns below the
+    shared scratch folder, and a file's task reads its folder.
+    """
+    spark = df.sparkSession
     counted = Observation()
     out = df.observe(counted, F.count(F.lit(1)).alias("row_count")) if count_rows else df
-    if output_partitions:
-        out = out.repartition(max(1, output_partitions))  # coalesce would narrow the scan too
     flat = [
         F.to_json(quoted(f.name)).alias(f.name)
         if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
         else F.col(quoted(f.name))
         for f in df.schema.fields
     ]
-    out.select(*flat).write.mode("overwrite").options(**_FORMAT).csv(path, header=True)
+    out = out.select(*flat)
+    staged = scratch_path(spark, "extract-stage")
+    if output_partitions:
+        out = _dealt(out, staged, max(1, output_partitions))
+    out.write.mode("overwrite").options(**_FORMAT).csv(path, header=True)
+    if output_partitions:
+        versions.delete_folder(spark, staged)
     return {
         "status": "success",
         "output_dir": path,
         "row_count": counted.get["row_count"] if count_rows else None,
         "num_partitions": output_partitions,
     }
+
+
+def _dealt(df: DataFrame, staged: str, files: int) -> DataFrame:
+    """``df`` from a copy in ``staged``, in ``files`` partitions of nearly as many rows each; fewer only where rows are."""
+    spark, names = df.sparkSession, df.columns
+    # places as names, as folders hold the number of the file beside them
+    turn = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(files)).cast("int")
+    copy = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("file", turn)
+    copy.write.partitionBy("file").option("compression", "zstd").parquet(staged)
+    rows = spark.read.schema(copy.schema).parquet(staged)
+    # each folder has a scan and so a partition of its own, however small; their scans have equally many
+    folders = [rows.where(F.col("file") == i).drop("file") for i in range(files)]
+    return reduce(DataFrame.unionAll, folders).coalesce(files).toDF(*names)

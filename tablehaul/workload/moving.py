@@ -442,7 +442,7 @@ def csv_documents(spark, sf):
 @query("SELECT 'success' AS status, count(*) AS row_count, 4 AS files, count(*) AS rows_on_disk FROM lineitem")
 def bulk_extract(spark, sf):
     path = scratch_path(spark, "extract")
-    result = staged_csv.bulk_extract(base(spark, sf, "lineitem").repartition(8), path, output_partitions=4)
+    result = staged_csv.bulk_extract(base(spark, sf, "lineitem"), path, output_partitions=4)
     files = spark.read.csv(result["output_dir"], header=True).select("_metadata.file_name")
     return files.groupBy("file_name").agg(F.count("*").alias("n")).agg(
         F.lit(result["status"]).alias("status"), F.lit(result["row_count"]).cast("bigint").alias("row_count"),

@@ -69,6 +69,32 @@ def test_extract_counts_while_writing(spark):
     assert len(spark.read.csv(path, header=True).inputFiles()) == 3
 
 
+def test_extract_reads_compressed_columns(spark, rows, tmp_path):
+    """A file's task reads its share of compressed columns, not of shuffled rows, and the copy goes at the end."""
+    import glob
+    import os
+
+    path = str(tmp_path / "out")
+    df = spark.range(5003, numPartitions=9).selectExpr("id AS `a.b`", "IF(id % 5 = 0, NULL, concat('x\n', id)) AS file", "array(id) AS `f g`")
+    plans, write = [], staged_csv._dealt
+    staged_csv._dealt = lambda *a: plans.append(write(*a)) or plans[0]
+    try:
+        assert staged_csv.bulk_extract(df, path, 4)["row_count"] == 5003
+    finally:
+        staged_csv._dealt = write
+    assert "Exchange" not in plans[0]._jdf.queryExecution().toString()
+    files = sorted(glob.glob(path + "/part-*.csv"))
+    back = [spark.read.options(header=True, multiLine=True, escape='"').csv(f) for f in files]
+    assert back[0].columns == ["a.b", "file", "f g"] and [1245 <= f.count() <= 1256 for f in back] == [True] * 4
+    assert sorted(int(r[0]) for f in back for r in f.collect()) == list(range(5003))
+    assert {tuple(r) for r in back[0].where("`a.b` % 5 > 0").limit(3).collect()} <= {(str(i), f"x\n{i}", f"[{i}]") for i in range(5003)}
+    assert not glob.glob(f"{shared_root(spark)}/tablehaul/extract-stage-*") and not os.path.exists(path + "/file=0")
+    for few in (0, 1, 3):
+        assert staged_csv.bulk_extract(spark.range(few), path, 4)["row_count"] == few
+        assert sorted(r[0] for r in spark.read.csv(path, header=True, schema="id bigint").collect()) == list(range(few))
+        assert glob.glob(path + "/part-*.csv")
+
+
 def test_append_sends_the_shared_columns(spark, rows):
     path = scratch_path(spark, "test")
     spark.createDataFrame([(1, "a")], "id bigint, name string").write.parquet(path)
