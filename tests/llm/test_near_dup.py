@@ -157,3 +157,24 @@ def test_texts_are_dealt_only_where_signatures_may_link(spark, monkeypatch):
     out = {r.doc_id: r.component_id for r in near_dup.near_dup_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
     assert out == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
     assert counts["signature",] > 1000 and counts["signature",] > 10 * counts["signature", "text"], counts
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """Only the last step's shuffle files are left when the groups are known; settings stay as they were."""
+    import time
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(name)
+    df = spark.createDataFrame(near_copies(), "doc_id bigint, text string").repartition(4)
+    found = near_dup.group(df, k=4)
+    until = time.time() + 20
+    while time.time() < until and shuffled() - before:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(name) == setting
+    assert found.count() == df.count()
+    with pytest.raises(ZeroDivisionError), near_dup.shuffles_deleted(spark):
+        assert spark.conf.get(name) == "true"
+        1 / 0
+    assert spark.conf.get(name) == setting
